@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm import simhash
+from graphlens.llm import packing, quality, simhash
 from graphlens.llm.common import table
 
 
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels that are not held out."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens packed into sequences of at most 4096."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at two or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
@@ -17,7 +27,11 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
-    return {"op10_simhash_components": op10_simhash_components}
+    return {
+        "op4_quality_scores": op4_quality_scores,
+        "op8_packed_sequences": op8_packed_sequences,
+        "op10_simhash_components": op10_simhash_components,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
