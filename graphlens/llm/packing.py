@@ -15,6 +15,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -45,28 +46,61 @@ PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", part long, bin long, offset long, open boolean, certified boolean"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the letter that byte-level vocabularies write for it: printable ones for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class WordIds(dict):
-    """Word -> its token ids as little-endian unsigned 32-bit bytes."""
+    """Word -> its token ids as little-endian unsigned 32-bit bytes, the first CACHE_WORDS kept.
+
+    Where the tokenizer lower-cases, splits by one pattern and then works on bytes, a word's ids are
+    those of its pieces, and pieces are kept too. Any other tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = [x["type"] for x in steps], [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        self.simple = (
+            kinds == (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"])
+            and steps[0]["invert"]
+            and steps[0]["behavior"] == "Removed"
+            and not steps[1]["add_prefix_space"]
+            and not steps[1].get("use_regex", True)
+        )
+        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.simple else None
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
+            if len(self.pieces) < CACHE_WORDS and len(piece) <= CACHE_CHARS:
+                self.pieces[piece] = ids
+        return ids
+
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
+        ids = b"".join(map(self.piece, self.find(word.lower())))
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARS:
             self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        if WHOLE.search(text):
+        if not self.simple or WHOLE.search(text):
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 
