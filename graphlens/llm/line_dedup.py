@@ -40,8 +40,11 @@ BROADCAST_ROWS = 2_000_000
 PLACES = 10_000_000_000
 
 
-def edit_distance(a: Column, b: Column, max_edits: int) -> Column:
-    """Edit distance of two strings if at most max_edits, else some larger number.
+def edit_distance(x: Column, y: Column, max_edits: int) -> Column:
+    """Edit distance of two arrays of letters if at most max_edits, else some larger number.
+
+    x and y should be stored columns: the steps look letters up, and an expression would be
+    computed again for each.
 
     Banded bit-parallel columns: bit r of a column j stands for row j - t + r. vp and vn hold
     where the distance grows or falls downwards, d0 where a diagonal step is free; the wanted
@@ -49,8 +52,7 @@ def edit_distance(a: Column, b: Column, max_edits: int) -> Column:
     """
     t = max_edits
     mask = (1 << (2 * t + 1)) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
+    m, n = F.size(x), F.size(y)
     wide = lambda v: F.lit(v).cast("long")
 
     def matches(c: Column, k: Column) -> Column:
@@ -140,11 +142,12 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     if pairs.count() * 2 <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = written(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines-met")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"
-    )
-    return both.where(edit_distance(F.col("la"), F.col("lb"), t) <= t).select("a", "b")
+    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    letters = written(texts.select("id", F.split("line", "").alias("letters")), "lines-met")
+    both = pairs.join(letters.toDF("a", "x"), "a").join(letters.toDF("b", "y"), "b")
+    # spread out again: few pairs can be much work
+    spread = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return spread.where(edit_distance(F.col("x"), F.col("y"), t) <= t).select("a", "b")
 
 
 def links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
@@ -153,7 +156,7 @@ def links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     lines has (id, line), id a hash of the line; lines may repeat. Every link outside crowded
     entries is returned; inside them enough links to give the same connected components.
     """
-    found = entries(lines, max_edits, min_chars).select("key", "id", "side").distinct()
+    found = written(entries(lines, max_edits, min_chars).select("key", "id", "side").distinct(), "lines-entries")
     sizes = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("side") == 0, F.col("id"))).alias("lead"))
     crowded = written(sizes.where((F.col("n") > crowd) & F.col("lead").isNotNull()).select("key", "lead"), "lines-crowded")
     if crowded.isEmpty():

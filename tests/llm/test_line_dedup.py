@@ -29,8 +29,8 @@ def test_banded_distance(spark, t):
     for _ in range(250):
         a = "".join(rnd.choices("abcé", k=rnd.randint(0, 30)))
         pairs.append((a, edited(rnd, a, rnd.randint(0, t + 2))))
-    df = spark.createDataFrame(pairs, "a string, b string")
-    for r in df.select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b"), t).alias("d")).collect():
+    df = spark.createDataFrame([(a, b, list(a), list(b)) for a, b in pairs], "a string, b string, x array<string>, y array<string>")
+    for r in df.select("a", "b", line_dedup.edit_distance(F.col("x"), F.col("y"), t).alias("d")).collect():
         want = distance(r.a, r.b)
         assert (r.d == want) if want <= t else (r.d > t), (r, want)
 
