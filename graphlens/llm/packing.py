@@ -37,7 +37,7 @@ ROUNDS = 6
 #: A certified partition gives back bins with at least capacity // LOOSE free.
 LOOSE = 16
 #: Words kept with their ids by each worker, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
 #: Beyond these characters a text goes through the tokenizer whole: inside them neither
 #: normalisation nor special tokens can reach across white space.
 WHOLE = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
