@@ -81,10 +81,12 @@ class Item:
     item_id: int
     words: list[str]
     masks: dict[str, int] = field(init=False)
+    distinct: frozenset[str] = field(init=False)
     answer: list[str] = field(init=False)
     answer_masks: dict[str, int] = field(init=False)
 
     def __post_init__(self) -> None:
+        self.distinct = frozenset(self.words)
         self.answer = self.words[-max(3, len(self.words) // 4) :]
         self.masks, self.answer_masks = _places(self.words), _places(self.answer)
 
@@ -143,9 +145,11 @@ class Index:
         at = np.flatnonzero(known & (weight > 0))
         if not len(at):
             return
-        run = np.zeros((len(at) + 1, self.basis.shape[1]), dtype=np.float32)
-        np.cumsum(self.basis[ids[at]], axis=0, out=run[1:])
-        rows = run[np.searchsorted(at, ends)] - run[np.searchsorted(at, starts)]
+        # a window is two blocks of one stride: sum each block once
+        blocks = np.zeros((len(starts) + 1, self.basis.shape[1]), dtype=np.float32)
+        home, first = np.unique(at // STRIDE, return_index=True)
+        blocks[home] = np.add.reduceat(self.basis[ids[at]], first, axis=0)
+        rows = blocks[:-1] + blocks[1:]
         rows /= norms[:, None].astype(np.float32)
         for low in range(0, len(self.latent), BLOCK):
             hit, item = np.nonzero(rows @ self.latent[low : low + BLOCK].T >= self.cosine)
@@ -156,20 +160,24 @@ class Index:
         """(contaminated, best item, its shares, all items) of a whole text."""
         words = words_of(text)
         found: dict[int, tuple[float, float]] = {}
-        tried: set[tuple[int, int]] = set()
+        longest, near_at, near = max(len(i.words) for i in self.items), -1, frozenset()
         for low in range(0, len(words), SPAN):
             part = words[low : low + SPAN + 2 * WINDOW]
             for start, i in self.candidates(self.ids(part)):
                 item = self.items[i]
                 m = len(item.words)
-                if i in found or (low + start, i) in tried:
+                if i in found:
+                    continue
+                if near_at != low + start:
+                    near_at = low + start
+                    near = frozenset(words[max(0, near_at - longest) : near_at + WINDOW + longest])
+                # words that are nowhere near bound the subsequence from above
+                if len(item.distinct - near) > (1 - HALF) * m:
                     continue
-                tried.add((low + start, i))
                 around = words[max(0, low + start - m) : low + start + WINDOW + m]
                 share, answer = item.covered(around)
                 if is_leak(share, answer):
                     found[i] = (share, answer)
-            tried.clear()
         if not found:
             return False, None, None, None, []
         best = min(found, key=lambda i: (-found[i][0], self.items[i].item_id))
