@@ -99,35 +99,36 @@ def _windows(t: int, delta: int, i: int) -> tuple[int, int]:
 
 def entries(lines: DataFrame, t: int, shortest: int, prefix: Column | None = None) -> DataFrame:
     """(key, id, side, start, width): index entries (side 0) and probes (side 1) of (id, line)."""
-    length = F.char_length("line")
-    head = [] if prefix is None else [prefix]
-    made = []
+    # places first and contents after the explode, so that nothing is computed under a condition
+    length, places = F.col("length"), []
     for i, (p, w) in enumerate(_segments(length, t)):
-        made.append((F.lit(True), length, i, p, w, 0))
+        places.append((F.lit(True), length, i, p, w, 0))
     for delta in range(t + 1):
         size = length - delta
         for i, (p, w) in enumerate(_segments(size, t)):
             low, high = _windows(t, delta, i)
             for shift in range(low, high + 1):
                 q = p + shift
-                made.append(((size >= shortest) & (q >= 0) & (q + w <= length), size, i, q, w, 1))
+                places.append(((size >= shortest) & (q >= 0) & (q + w <= length), size, i, q, w, 1))
     items = F.array(
         *(
-            F.when(
-                ok,
-                F.struct(
-                    F.xxhash64(*head, size, F.lit(i), F.substring(F.col("line"), q + 1, w)).alias("key"),
-                    F.lit(side).cast("byte").alias("side"),
-                    q.cast("int").alias("start"),
-                    w.cast("int").alias("width"),
-                ),
+            F.struct(
+                ok.alias("ok"),
+                size.cast("int").alias("size"),
+                F.lit(i).alias("part"),
+                q.cast("int").alias("start"),
+                w.cast("int").alias("width"),
+                F.lit(side).cast("byte").alias("side"),
             )
-            for ok, size, i, q, w, side in made
+            for ok, size, i, q, w, side in places
         )
     )
-    return lines.select("id", "line", F.explode(F.array_compact(items)).alias("e")).select(
-        "e.key", "id", "e.side", "e.start", "e.width", "line"
-    )
+    head = [] if prefix is None else [prefix]
+    measured = lines.select("id", "line", F.char_length("line").alias("length"))
+    exploded = measured.select("id", "line", F.explode(items).alias("e")).where("e.ok")
+    content = F.substring(F.col("line"), F.col("e.start") + 1, F.col("e.width"))
+    key = F.xxhash64(*head, F.col("e.size"), F.col("e.part"), content)
+    return exploded.select(key.alias("key"), "id", "e.side", "e.start", "e.width", "line")
 
 
 def _met(found: DataFrame, keys: list[str]) -> DataFrame:
