@@ -6,7 +6,9 @@ partitions multiply their rows with the current basis and add up their share of
 term, and the driver only orthogonalises a matrix of terms by rank. The basis is fitted on all
 benchmark items and a hash sample of about `fit_passages` passages; every passage of every document
 is then scored against every item. Windows whose latent inner product, over both full norms,
-reaches `cosine` are candidates. Each is checked on the words around it: the longest common
+reaches `cosine` are candidates, and so are those whose whole inner product does: the share of an
+item that the basis holds falls as the benchmark grows, the sparse product over all terms does not
+change with it. Each is checked on the words around it: the longest common
 subsequence must cover most of the item, or over half of it and nearly all of its answer, the item's
 last quarter, which catches paraphrases.
 
@@ -41,6 +43,8 @@ COSINE = 0.25
 MOST, HALF, ANSWER = 0.75, 0.6, 0.8
 MAX_ITEMS = 200_000
 BLOCK = 2048
+#: Products of windows and items held at once.
+CELLS = 1 << 21
 #: Words of a text handled at once.
 SPAN = 50_000
 SEED = 99
@@ -120,6 +124,10 @@ class Index:
     unknown: float = 1.0
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None
+    #: Per term, the places in `held` and `share` where the items that hold it start.
+    starts: np.ndarray | None = None
+    held: np.ndarray | None = None
+    share: np.ndarray | None = None
     cosine: float = COSINE
 
     def ids(self, words: list[str]) -> np.ndarray:
@@ -132,9 +140,16 @@ class Index:
         sums = np.stack([self.basis[r[r < len(self.terms)]].sum(axis=0) for r in rows])
         norms = np.array([np.sqrt((self.idf[r[r < len(self.terms)]] ** 2).sum()) for r in rows])
         self.latent = (sums / np.maximum(norms, 1e-9)[:, None]).astype(np.float32)
+        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        ids = np.concatenate(rows)
+        order = np.argsort(ids, kind="stable")
+        self.starts = np.searchsorted(ids[order], np.arange(len(self.terms) + 1))
+        self.held = at[order]
+        # what one occurrence of the term adds to a window's product with the item, over the item's norm
+        self.share = self.idf[ids[order]] ** 2 / np.maximum(norms[self.held], 1e-9)
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window start, item) with a latent cosine of at least the threshold."""
+        """(window start, item) with a latent or a whole cosine of at least the threshold."""
         n, d = len(ids), len(self.terms)
         starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
         ends = np.minimum(starts + WINDOW, n)
@@ -151,10 +166,25 @@ class Index:
         blocks[home] = np.add.reduceat(self.basis[ids[at]], first, axis=0)
         rows = blocks[:-1] + blocks[1:]
         rows /= norms[:, None].astype(np.float32)
-        for low in range(0, len(self.latent), BLOCK):
-            hit, item = np.nonzero(rows @ self.latent[low : low + BLOCK].T >= self.cosine)
-            for h, i in zip(hit.tolist(), item.tolist(), strict=True):
-                yield int(starts[h]), low + i
+        many = len(self.items)
+        step = max(1, CELLS // many)
+        for top in range(0, len(starts), step):
+            part = rows[top : top + step]
+            near = self._whole(ids, at, top, len(part)) >= self.cosine * norms[top : top + len(part), None]
+            for low in range(0, many, BLOCK):
+                near[:, low : low + BLOCK] |= part @ self.latent[low : low + BLOCK].T >= self.cosine
+            for h, i in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                yield int(starts[top + h]), i
+
+    def _whole(self, ids: np.ndarray, at: np.ndarray, top: int, count: int) -> np.ndarray:
+        """Inner products over all terms, by window and item, of `count` windows from number `top` on."""
+        many = len(self.items)
+        own = at[np.searchsorted(at, top * STRIDE) : np.searchsorted(at, (top + count + 1) * STRIDE)]
+        first, sizes = self.starts[ids[own]], self.starts[ids[own] + 1] - self.starts[ids[own]]
+        places = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        cells = np.repeat((own // STRIDE - top) * many, sizes) + self.held[places]
+        blocks = np.bincount(cells, self.share[places], (count + 1) * many).reshape(count + 1, many)
+        return blocks[:-1] + blocks[1:]
 
     def check(self, text: str | None) -> tuple:
         """(contaminated, best item, its shares, all items) of a whole text."""

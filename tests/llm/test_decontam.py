@@ -61,3 +61,26 @@ def test_paraphrase_and_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 5
     assert decontam.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_recall_on_a_large_benchmark(spark):
+    rnd = np.random.default_rng(4)
+    vocabulary = np.array([f"w{i}" for i in range(6000)])
+    say = lambda n: rnd.choice(vocabulary, n).tolist()
+    items = [say(rnd.integers(15, 60)) for _ in range(1200)]
+    docs, held = [], {}
+    for i in range(300):
+        words = list(items[4 * i])
+        if i % 2:  # a paraphrase: one word in five is another
+            for at in range(0, len(words) - max(3, len(words) // 4), 5):
+                words[at] = say(1)[0]
+        docs.append((i, " ".join(say(90) + words + say(90))))
+        held[i] = 4 * i
+    docs += [(300 + i, " ".join(say(200))) for i in range(100)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r["items"] for r in decontam.find_leaks(table, bench).collect()}
+    exact = sum(held[i] in found[i] for i in range(0, 300, 2))
+    said_again = sum(held[i] in found[i] for i in range(1, 300, 2))
+    assert exact == 150 and said_again == 150, (exact, said_again)
+    assert not any(found[300 + i] for i in range(100))
