@@ -4,8 +4,8 @@ The standard library's streaming parser turns a page into lines: a line is the t
 block boundaries, with its number of tags and link characters and the container it stands in. Each
 line's text-to-tag ratio is smoothed with a Gaussian; lines over a threshold taken from the page's
 own ratios cluster into content regions. A region claims its container, the nearest <article> or
-<main>, or else the element that holds its blocks, so short paragraphs and headings between long
-ones stay. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and
+<main>, or else the smallest container that holds all its blocks, so list items, cells, short
+paragraphs and headings between long ones stay. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments have ratio zero: they take no part in regions and never enter the text.
 
 Defined results: null, empty or text-free html gives the empty text; broken markup is read as
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ DROPPED = frozenset(
 HOLDERS = frozenset(
     "html body main article section div header footer nav aside form table td th tr ul ol li dl blockquote".split()
 )
+#: Holders that are part of the text around them.
+PARTS = frozenset("ul ol li dl blockquote table tr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -79,6 +82,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped, article or main, holder
         self.lines: list[list] = []
+        self.holders: dict[int, tuple[str, int]] = {}  # holder: its tag and the one around it, 0 outside all
         self.count = 0
         self.line: list = [[], 0, 0, (0, 0), False]
 
@@ -117,6 +121,8 @@ class _Lines(HTMLParser):
         else:
             out = dropped or tag in DROPPED or tag == "header" and not article or _marked(attrs, bool(article))
             here = (tag, out, article, self.count if tag in HOLDERS else holder)
+        if here[3] != holder:
+            self.holders[here[3]] = (tag, holder)
         changed = here[1] != dropped
         self.open.append(here)
         if tag not in INLINE or changed:
@@ -172,6 +178,32 @@ def regions(ratios: np.ndarray, sigma: float = SIGMA, share: float = SHARE) -> n
     return chosen
 
 
+def _claimed(seeds: set[int], holders: dict[int, tuple[str, int]]) -> set[int]:
+    """Holders that a region with these seeds claims: all in the smallest container of the seeds.
+
+    A list, quote, row or table is part of what stands around it. Of the page's own body, only what
+    holds a seed is claimed, and its lists, tables and quotes if a seed stands right in it.
+    """
+    paths = []
+    for at in seeds:
+        path = [at]
+        while path[-1]:
+            path.append(holders[path[-1]][1])
+        paths.append(path)
+    shared = set(paths[0]).intersection(*paths[1:])
+    top = next(h for h in paths[0] if h in shared)
+    tag = lambda h: holders[h][0] if h else "body"
+    while tag(top) in PARTS:
+        top = holders[top][1]
+    held, whole = {top}, tag(top) not in ("html", "body")
+    seeded = {h for path in paths for h in path}
+    # a holder comes after the one around it
+    for h, (name, outer) in holders.items():
+        if outer in held and (whole or outer != top or h in seeded or top in seeds and name in PARTS):
+            held.add(h)
+    return held if whole or top in seeds else held - {top}
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: blocks in order, joined by one space."""
     parser = _Lines()
@@ -190,8 +222,15 @@ def main_text(html: str | None) -> str:
     articles = {a for a, _ in picked if a}
     if articles:
         return " ".join(t for t, _, _, (a, _), dropped in lines if a in articles and not dropped)
-    holders = {h for _, h in picked}
-    return " ".join(t for t, _, _, (_, h), dropped in lines if h in holders and not dropped)
+    held: set[int] = set()
+    full = ratios >= SHARE * ratios[ratios > 0].mean() if chosen.any() else chosen
+    # boilerplate, of ratio zero, does not end a region
+    lined = [(line[3][1], c, f) for line, c, f, r in zip(lines, chosen, full, ratios, strict=True) if r > 0]
+    for is_chosen, run in groupby(lined, key=lambda x: x[1]):
+        if is_chosen:
+            run = list(run)
+            held |= _claimed({h for h, _, f in run if f} or {h for h, *_ in run}, parser.holders)
+    return " ".join(t for t, _, _, (_, h), dropped in lines if h in held and not dropped)
 
 
 @F.pandas_udf(T.StringType())

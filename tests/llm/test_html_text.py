@@ -33,6 +33,23 @@ def test_pages_without_article():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p><script>x</script>") == ""
 
 
+def test_lists_cells_and_nested_blocks_without_article():
+    long = "words of the story that go on for a while " * 7
+    items = [f"point number {i} of it" for i in range(8)]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    cells = "<table><tr><td>one</td><td>two</td></tr><tr><td>three</td><td>four</td></tr></table>"
+    nested = "<div><p>brief</p><div><p>deep</p></div></div>"
+    box = '<div id="nav"><a href=1>one</a></div>', '<div class="box"><p>Some</p><p>small</p><p>words</p></div>'
+    for inside, want in [(listed, " ".join(items)), (cells, "one two three four"), (nested, "brief deep")]:
+        for content in (f"<p>{long}</p><p>{long}</p>{inside}", f"<p>{long}</p>{inside}<p>{long}</p>"):
+            got = html_text.main_text(f'<body>{box[0]}<div class="content">{content}<p>End.</p></div>{box[1]}')
+            order = (long, long, want) if content.endswith(inside) else (long, want, long)
+            assert got in (" ".join(f"{' '.join(order)} End.".split()), " ".join(f"{' '.join(order)} End. Some small words".split()))
+        assert got.count("story") == 14
+    bare = html_text.main_text(f"<body><p>{long}</p><p>{long}</p>{listed}{box[1]}</body>")
+    assert bare == " ".join(f"{long}{long}{' '.join(items)}".split())
+
+
 def test_smoothing_keeps_order_of_size():
     chosen = html_text.regions(np.array([0, 3, 50, 60, 55, 2, 0, 0, 1.0]))
     assert chosen[2:5].all() and not chosen[[0, 6, 7, 8]].any()
