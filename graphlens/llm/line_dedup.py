@@ -14,7 +14,7 @@ another one are fetched again for verification. Entries shared by more than `cro
 first checked against one leader each; pairs that this leaves in different classes then meet by
 longer keys (the segment together with a segment of the rest of the line).
 
-Defined results: null texts stay null, blank and short lines always stay, repeated rows are
+Defined results: null texts stay null, blank lines, and short ones unless exact_chars says otherwise, always stay, repeated rows are
 treated alike (the same lines go from each), null ids come after all others, an empty table gives
 an empty result, and other columns are kept; n_lines and n_dropped replace columns of these names.
 """
@@ -31,8 +31,10 @@ from graphlens.llm.common import components, written
 
 #: Edits within which two lines count as the same.
 MAX_EDITS = 1
-#: Shorter lines are never dropped: a few characters repeat by chance.
+#: Lines from so many characters on take part in the join of near-identical ones.
 MIN_CHARS = 24
+#: (characters of the shorter line, edits) from which more edits count as the same, in ascending order.
+BANDS = ((80, 2), (160, 3))
 #: Lines that share an index entry above which a leader stands in for all pairs.
 CROWD = 300
 #: Ids of lines to verify that are broadcast at most (8 bytes each); beyond it, a shuffle join.
@@ -185,6 +187,18 @@ def links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     return first.union(written(_verified(apart, lines, max_edits), "lines-links"))
 
 
+def banded_links(lines: DataFrame, max_edits: int, min_chars: int, crowd: int, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """links() with the edits of each band of lengths; the shorter line of a pair tells its band."""
+    steps, out = [(min_chars, max_edits), *bands], None
+    for i, (low, t) in enumerate(steps):
+        size = F.char_length("line")
+        # a longer line of the next bands can be within t edits of one of this band
+        own = lines.where(size >= low) if i + 1 == len(steps) else lines.where((size >= low) & (size < steps[i + 1][0] + t))
+        found = links(own, t, low, crowd)
+        out = found if out is None else out.union(found)
+    return out
+
+
 def dedup_lines(
     docs: DataFrame,
     max_edits: int = MAX_EDITS,
@@ -192,8 +206,15 @@ def dedup_lines(
     crowd: int = CROWD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    bands: tuple[tuple[int, int], ...] = (),
+    exact_chars: int | None = None,
 ) -> DataFrame:
-    """The documents with repeated lines cut from text_col, and n_lines and n_dropped."""
+    """The documents with repeated lines cut from text_col, and n_lines and n_dropped.
+
+    bands gives longer lines more edits. Not blank lines from exact_chars characters on (min_chars
+    where None) go where they repeat exactly.
+    """
+    shortest = min_chars if exact_chars is None else min(exact_chars, min_chars)
     text = F.col(text_col).cast("string")
     own = F.xxhash64(text)
     # a row is known by its id, or by its text where that is null, and by its text
@@ -201,8 +222,8 @@ def dedup_lines(
     place = F.coalesce(F.col(id_col).cast("decimal(20,0)"), unnamed.cast("decimal(20,0)"))
     every = docs.select(
         place.alias("place"), own.alias("own"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line")
-    ).where(F.char_length("line") >= min_chars)
-    lines = every.select(F.xxhash64("line").alias("id"), "line")
+    ).where((F.char_length("line") >= min_chars) | (F.char_length("line") >= shortest) & F.col("line").rlike(r"\S"))
+    lines = every.where(F.char_length("line") >= min_chars).select(F.xxhash64("line").alias("id"), "line")
     seen = written(
         every.select(
             "place",
@@ -215,7 +236,7 @@ def dedup_lines(
         "lines-seen",
     )
     firsts = seen.groupBy("id", "check").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
-    roots = written(components(links(lines, max_edits, min_chars, crowd), "lines"), "lines-roots")
+    roots = written(components(banded_links(lines, max_edits, min_chars, crowd, bands), "lines"), "lines-roots")
     linked = firsts.join(roots, "id")
     heads = linked.groupBy("root").agg(F.min("first").alias("keep"))
     near = linked.join(heads, "root").select("id", "check", "keep")

@@ -43,8 +43,8 @@ def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without lines that repeat an earlier line up to one edit."""
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    """All documents without lines that repeat an earlier line, up to one to three edits by length."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), bands=line_dedup.BANDS, exact_chars=1)
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 

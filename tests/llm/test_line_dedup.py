@@ -91,3 +91,20 @@ def test_edges(spark):
     ]
     assert [r.n_dropped for r in out] == [0, 0, 0, 0, 1, 1, 0, 1] and out[0].n_lines == 0 and out[3].place == "d"
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_edits_follow_length_and_short_lines_repeat(spark):
+    rnd = random.Random(3)
+    docs, at = [], 0
+    for n in (30, 79, 80, 81, 159, 160, 161, 300):
+        for e in (1, 2, 3, 4):
+            base = "".join(rnd.choices("abcdefgh ", k=n))
+            # e replaced letters, far from each other
+            other = "".join("Z" if i in [k * (n // 5) + 2 for k in range(e)] else c for i, c in enumerate(base))
+            docs += [(at, base, None), (at + 1, other, e > (1 if n < 80 else 2 if n < 160 else 3))]
+            at += 2
+    rows = [(i, t) for i, t, _ in docs] + [(900, "tiny\n\n \nown"), (901, "tiny\n\n \nelse")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, bands=line_dedup.BANDS, exact_chars=1).collect()}
+    assert all((got[i] != "") == stays for i, _, stays in docs if stays is not None)
+    assert got[900] == "tiny\n\n \nown" and got[901] == "\n \nelse"
