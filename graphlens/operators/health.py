@@ -112,10 +112,13 @@ def health(graph: Graph, longest_cycle: int = 4) -> DataFrame:
     return scores.withColumn("note", advice).unionByName(overall)
 
 
-def backlog(graph: Graph, levels: tuple[str, ...] = ("CRITICAL",), longest_cycle: int = 4) -> DataFrame:
-    """Issues to remediate, the worst dimensions first, with the words a fixer is given."""
+def backlog(graph: Graph, levels: tuple[str, ...] | None = None, longest_cycle: int = 4) -> DataFrame:
+    """Issues to remediate, the worst dimensions first, with the words a fixer is given.
+
+    levels picks some levels; None takes all.
+    """
     found = issues(graph, longest_cycle)
-    rows = found.where(F.col("level").isin(*levels)).join(dimension_scores(found).select("dimension", "score"), "dimension")
+    rows = (found if levels is None else found.where(F.col("level").isin(*levels))).join(dimension_scores(found).select("dimension", "score"), "dimension")
     ask = F.format_string("Fix %s of %s (%s, penalty %d).", F.col("reason"), F.col("node_id"), F.lower("dimension"), F.col("penalty"))
     return rows.select("dimension", "score", "node_id", "reason", "level", ask.alias("prompt")).orderBy("score", "dimension", "node_id")
 

@@ -84,8 +84,11 @@ def transaction_scope(graph: Graph, name: str) -> DataFrame:
     return _details(graph, ids).join(remote, "id", "left").withColumn("remote_calls", F.coalesce("remote_calls", F.lit(0)).cast("long"))
 
 
-def request_flow(graph: Graph, verb: str, path: str, depth: int = 20) -> DataFrame:
-    """Nodes that a request passes, from its endpoint on: (id, name, type, depth, transactional)."""
+def request_flow(graph: Graph, verb: str, path: str, depth: int | None = None) -> DataFrame:
+    """Nodes that a request passes, from its endpoint on: (id, name, type, depth, transactional).
+
+    depth bounds the hops; None walks to the end.
+    """
     start = graph.of("CONTROLLER_ENDPOINT").where(
         (F.upper(F.col("metadata")["httpMethod"]) == verb.upper()) & (F.col("metadata")["path"] == path)
     )

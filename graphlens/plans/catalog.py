@@ -152,7 +152,7 @@ def queries() -> dict[str, Query]:
         "export_cypher": _graph(lambda g: graph_files.export(g, "cypher")),
         "dependency_cycles": _graph(traversal.cycles),
         "architectural_health": _graph(health.health),
-        "remediation_backlog": _graph(health.backlog),
+        "remediation_backlog": _graph(lambda g: health.backlog(g, ("CRITICAL",))),
         "fix_context": _graph(lambda g: health.fix_context(g, "class:s3", "untested")),
         "blast_radius": _graph(lambda g: traversal.blast_radius(g, "c0", 3)),
         "transaction_boundaries": _graph(lambda g: traversal.transaction_boundaries(g, "c0", 5)),

@@ -105,3 +105,13 @@ def test_streaming_facts(spark, tmp_path):
     query.awaitTermination()
     row = refresh.current_nodes(spark, str(tmp_path / "facts")).first()
     assert (row.name, row.type, row.metadata) == ("A", "CLASS", {"k": "2"})
+
+
+def test_backlog_and_request_flow_are_whole(spark):
+    chain = [f"n{i}" for i in range(25)]
+    start = ("e", "CONTROLLER_ENDPOINT", {"httpMethod": "GET", "path": "/x"})
+    edges = [("e", "n0", "ROUTES_TO"), *((a, b, "CALLS") for a, b in zip(chain, chain[1:], strict=False))]
+    g = graph(spark, [start, *((x, "SERVICE", {}) for x in chain)], edges)
+    assert {r.id for r in traversal.request_flow(g, "get", "/x").collect()} == {"e", *chain}
+    small = graph(spark, [("x", "SERVICE", {}), ("y", "SERVICE", {})], [("x", "y", "INJECTS"), ("y", "x", "INJECTS")])
+    assert {"dependency cycle", "untested", "not instrumented"} <= {r.reason for r in health.backlog(small).collect()}
