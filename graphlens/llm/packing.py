@@ -5,8 +5,9 @@ Documents become pieces of at most `capacity` tokens. Pieces are dealt into part
 number of sequences from dual-feasible functions. Bins equal to the bound certify the partition.
 Open bins of partitions with a gap, and the loose bins of certified ones (the emptiest, and those
 with a sixteenth of the capacity free), give their pieces back; these are pooled, dealt anew and
-packed again, until one partition holds them all. Only
-piece lengths and ids travel, never texts or token ids.
+packed again, until one partition holds them all or dealing them anew saves no more (see pack). Only
+piece lengths and ids travel, never texts or token ids, and an id never leaves Arrow's own types, so
+large ids beside null ones stay as they are.
 
 Defined results: null text counts as empty; every document ends with one end token, so an empty
 one is a piece of length 1; repeated rows are packed once each; null ids are kept; an empty table
@@ -19,13 +20,16 @@ import json
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlens.llm.common import written
 
@@ -33,17 +37,19 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 PER_PARTITION = 20_000
-ROUNDS = 6
+#: A round that closes less than one piece in so many is idle; two idle rounds in a row are the last.
+SETTLED = 50
 #: A certified partition gives back bins with at least capacity // LOOSE free.
 LOOSE = 16
-#: Words kept with their ids by each worker, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 150_000, 48
+#: Words kept with their ids by each worker until it starts anew, and bytes of text handled at once.
+CACHE_WORDS, SPAN = 300_000, 4 << 20
 #: Beyond these characters a text goes through the tokenizer whole: inside them neither
 #: normalisation nor special tokens can reach across white space.
 WHOLE = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
 
-PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", part long, bin long, offset long, open boolean, certified boolean"
+CUT = "piece int, start long, length long, ids_crc32 long"
+PIECES = "id {id}, " + CUT
+PLACED = "part long, bin long, offset long, open boolean, certified boolean"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,18 +59,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class WordIds(dict):
-    """Word -> its token ids as little-endian unsigned 32-bit bytes, the first CACHE_WORDS kept.
+class WordIds:
+    """Token ids of the words that a worker has met, as one array of ids with each word's place in it.
 
-    Where the tokenizer lower-cases, splits by one pattern and then works on bytes, a word's ids are
-    those of its pieces, and pieces are kept too. Any other tokenizer gets whole texts.
+    Where the tokenizer lower-cases, splits by one pattern and then works on bytes, a text's ids are
+    those of its words, and a word's those of its pieces. Texts beyond that, and all texts of any
+    other tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -79,30 +85,66 @@ class WordIds(dict):
         )
         self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.simple else None
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.ids, self.starts = array("I"), array("q", [0])
 
-    def piece(self, piece: str) -> bytes:
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
             letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
-            if len(self.pieces) < CACHE_WORDS and len(piece) <= CACHE_CHARS:
-                self.pieces[piece] = ids
-        return ids
-
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.piece, self.find(word.lower())))
-        if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARS:
-            self[word] = ids
+            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(letters)]
         return ids
 
-    def ids(self, text: str) -> bytes:
-        if not self.simple or WHOLE.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def places(self, words: list[str]) -> np.ndarray:
+        """Number of each word; -1 for one that the whole text is needed for."""
+        known, out = self.words, np.empty(len(words), dtype=np.int64)
+        for n, word in enumerate(words):
+            at = known.get(word)
+            if at is None:
+                if WHOLE.search(word):
+                    at = known[word] = -1
+                else:
+                    at = known[word] = len(self.starts) - 1
+                    for piece in self.find(word.lower()):
+                        self.ids.extend(self.piece(piece))
+                    self.starts.append(len(self.ids))
+            out[n] = at
+        return out
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's ids start (and the last ones end)."""
+        if not self.simple:
+            return _laid_out([self.encode(t or "") for t in texts.to_pylist()])
+        if len(self.words) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
+            self._forget()
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        word = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+        odd = np.add.reduceat(np.append(word < 0, False), edges[:-1], dtype=np.int64) * (np.diff(edges) > 0)
+        flat, starts = np.frombuffer(self.ids, dtype=np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.starts, dtype=np.int64)
+        sizes = np.where(word < 0, 0, starts[word + 1] - starts[word])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], sizes)]
+        bounds = ends[edges]
+        if not odd.any():
+            return ids, bounds
+        parts = [
+            self.encode(texts[n].as_py()) if odd[n] else ids[bounds[n] : bounds[n + 1]] for n in range(len(texts))
+        ]
+        return _laid_out(parts)
+
+
+def _laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")), bounds.astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -114,6 +156,29 @@ def _words(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _cut(texts: pa.Array, words: WordIds, capacity: int, end_id: int) -> pa.Array:
+    """The pieces of each text: arrays of (piece, start, length, ids_crc32)."""
+    rows, counts = [], []
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(texts):
+        # texts of about SPAN bytes at a time, so that long batches take little memory
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + SPAN)))
+        ids, bounds = words.texts(texts.slice(low, high - low))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = np.append(ids[a:b], end_id).astype("<u4")
+            for n, at in enumerate(range(0, len(own), capacity)):
+                cut = own[at : at + capacity]
+                rows.append((n, at, len(cut), zlib.crc32(cut.tobytes())))
+            counts.append(n + 1)
+        low = high
+    table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+    made = pa.StructArray.from_arrays(
+        [pa.array(table[:, 0].astype(np.int32)), *(pa.array(table[:, i]) for i in (1, 2, 3))], names=[c.split()[0] for c in CUT.split(", ")]
+    )
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), made)
+
+
 def pieces(
     docs: DataFrame,
     tokenizer: str = TOKENIZER,
@@ -123,23 +188,12 @@ def pieces(
     text_col: str = "text",
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's tokens, cut only where too long."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    end = np.array([end_id], dtype="<u4").tobytes()
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _words(tokenizer)
-        for frame in frames:
-            out = []
-            for n, text in enumerate(frame["t"]):
-                ids = (words.ids(text) if text else b"") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    out.append((n, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            part = pd.DataFrame(out, columns=["n", "piece", "start", "length", "ids_crc32"])
-            part.insert(0, "id", frame["id"].to_numpy()[part.pop("n").to_numpy()] if len(part) else frame["id"])
-            yield part
+    @F.arrow_udf(f"array<struct<{','.join(c.replace(' ', ':') for c in CUT.split(', '))}>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return _cut(texts, _words(tokenizer), capacity, end_id)
 
-    return rows.mapInPandas(batches, PIECES.format(id=rows.schema["id"].dataType.simpleString()))
+    return docs.select(F.col(id_col).alias("id"), cut(F.col(text_col).cast("string")).alias("p")).select("id", F.inline("p"))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,47 +257,53 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return int(best)
 
 
-def _pack_part(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "ids_crc32", "id", "piece"], kind="stable").reset_index(drop=True)
-        lengths = frame["length"].to_numpy(dtype=np.int64)
+def _pack_part(capacity: int) -> Callable[[pa.Table], pa.Table]:
+    def pack(table: pa.Table) -> pa.Table:
+        # by what a piece holds, so that a lost and repeated task packs alike
+        order = [(c, "ascending") for c in ("length", "ids_crc32", "row")]
+        table = table.combine_chunks().sort_by(order)
+        lengths = table["length"].to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         certified = len(free) == lower_bound(lengths, capacity)
         back = free >= (capacity // LOOSE if certified else 1)
         back[int(free.argmax())] = free.max() > 0
-        return frame.assign(bin=bins, offset=offsets, open=back[bins], certified=certified)
+        more = {"bin": bins, "offset": offsets, "open": back[bins], "certified": np.full(len(bins), certified)}
+        for name, values in more.items():
+            table = table.append_column(name, pa.array(values))
+        return table
 
     return pack
 
 
-def pack(
-    found: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS
-) -> DataFrame:
-    """Places pieces (from pieces()) in sequences: adds sequence_id, offset and certified."""
-    schema = PLACED.format(id=found.schema["id"].dataType.simpleString())
-    columns = [c.split()[0] for c in PIECES.split(", ")]
-    waiting, settled = written(found, "packing-pieces"), None
-    for turn in range(rounds):
-        count = waiting.count()
+def pack(found: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
+    """Places pieces (from pieces()) in sequences: adds sequence_id, offset and certified.
+
+    Rounds go on until one partition holds all open pieces, or until two rounds in a row have closed
+    less than one piece in SETTLED of those that they were given: then dealing them anew saves no
+    sequence worth a round, and what is open stays where the last round put it.
+    """
+    waiting, settled = written(found.withColumn("row", F.monotonically_increasing_id()), "packing-pieces"), None
+    columns = waiting.columns
+    schema = T.StructType([*waiting.schema.fields, *T.StructType.fromDDL(PLACED).fields])
+    turn, idle = 0, 0
+    count = waiting.count()
+    while True:
         parts = max(1, math.ceil(count / per_partition))
-        last = parts == 1 or turn == rounds - 1
-        dealt = waiting.select(
-            *columns,
-            F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)).alias("part"),
-        )
-        placed = written(dealt.groupBy("part").applyInPandas(_pack_part(capacity), schema), "packing-placed")
-        keep = placed if last else placed.where(~F.col("open"))
-        keep = keep.select(
+        dealt = waiting.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
+        placed = written(dealt.groupBy("part").applyInArrow(_pack_part(capacity), schema), "packing-placed")
+        left = placed.where("open").count() if parts > 1 else 0
+        idle = idle + 1 if left > count - count / SETTLED else 0
+        last = parts == 1 or idle == 2
+        keep = (placed if last else placed.where(~F.col("open"))).select(
             *columns,
-            (F.lit(turn).cast("long") * F.lit(1 << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"),
+            (F.lit(turn).cast("long") * F.lit(1 << 54) + F.col("part") * F.lit(1 << 22) + F.col("bin")).alias("sequence_id"),
             "offset",
             "certified",
         )
         settled = keep if settled is None else settled.unionByName(keep)
-        if last:
-            break
-        waiting = placed.where("open").select(*columns)
-    return settled
+        if last or not left:
+            return settled.drop("row")
+        waiting, count, turn = placed.where("open").select(*columns), left, turn + 1
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
