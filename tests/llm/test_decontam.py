@@ -38,8 +38,8 @@ def test_recall_against_brute_force(spark):
                     break
     hits = {(d, i) for d, got in found.items() for i in got}
     assert brute and hits <= brute and len(hits) >= 0.9 * len(brute)
-    flat = {i.item_id: " ".join(i.words) for i in items}
-    verbatim = {(r.doc_id, i) for r in docs.collect() for i, t in flat.items() if t in " ".join(decontam.words_of(r.text))}
+    flat = {i.item_id: " ".join(map(str, i.words)) for i in items}
+    verbatim = {(r.doc_id, i) for r in docs.collect() for i, t in flat.items() if t in " ".join(map(str, decontam.words_of(r.text)))}
     assert verbatim <= hits
 
 
