@@ -41,8 +41,11 @@ PER_PARTITION = 20_000
 SETTLED = 50
 #: A certified partition gives back bins with at least capacity // LOOSE free.
 LOOSE = 16
-#: Words kept with their ids by each worker until it starts anew, and bytes of text handled at once.
-CACHE_WORDS, SPAN = 300_000, 4 << 20
+#: Words kept with their ids by each worker until it starts anew, and so many pieces of them, if no
+#: longer than this.
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Bytes of text handled at once.
+SPAN = 4 << 20
 #: Beyond these characters a text goes through the tokenizer whole: inside them neither
 #: normalisation nor special tokens can reach across white space.
 WHOLE = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
@@ -87,9 +90,10 @@ class WordIds:
         self.letters = _byte_letters()
         self._forget()
 
+        self.pieces: dict[str, list[int]] = {}
+
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.ids, self.starts = array("I"), array("q", [0])
 
     def encode(self, text: str) -> np.ndarray:
@@ -99,7 +103,9 @@ class WordIds:
         ids = self.pieces.get(piece)
         if ids is None:
             letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+            if len(self.pieces) < CACHE_WORDS and len(piece) <= CACHE_CHARS:
+                self.pieces[piece] = ids
         return ids
 
     def places(self, words: list[str]) -> np.ndarray:
@@ -193,7 +199,9 @@ def pieces(
     def cut(texts: pa.Array) -> pa.Array:
         return _cut(texts, _words(tokenizer), capacity, end_id)
 
-    return docs.select(F.col(id_col).alias("id"), cut(F.col(text_col).cast("string")).alias("p")).select("id", F.inline("p"))
+    # said to be nondeterministic, or a filter on its size would run it a second time
+    made = cut.asNondeterministic()(F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col).alias("id"), made.alias("p")).select("id", F.inline("p"))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
