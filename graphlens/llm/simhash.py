@@ -20,7 +20,6 @@ rows come back once each; null ids are kept, and component_id is the smallest id
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,14 +57,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) for every row, fp a signed 64-bit fingerprint."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fps = np.fromiter((fingerprint(t, width) for t in frame["t"]), dtype=np.int64, count=len(frame))
-            yield pd.DataFrame({"id": frame["id"], "fp": fps})
+    # only texts enter Python: an id beside null ones would become a double there
+    @F.pandas_udf("long")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), dtype=np.int64, count=len(texts)))
 
-    return rows.mapInPandas(batches, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return docs.select(F.col(id_col).alias("id"), prints(F.col(text_col).cast("string")).alias("fp"))
 
 
 def _cuts(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -107,7 +105,9 @@ def links(distinct: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFra
     """Pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to max_bits bits."""
     fp, parts = F.col("fp"), _cuts(64, max(2, max_bits // 2 + 1))
     entries = [e for i, (s, w) in enumerate(parts) for e in _variants(fp, s, w, i * 65)]
-    index = distinct.select("fp", F.inline(F.array(*entries)))
+    # fingerprints are few bytes and their entries many: deal them out before they are made
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = dealt.select("fp", F.inline(F.array(*entries)))
     sizes = index.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
     crowded = written(sizes.select("slot", "key"), "simhash-crowded")
     if crowded.isEmpty():
