@@ -3,7 +3,7 @@
 A payload becomes a medium (a binary greyscale image, 64 eight-bit samples a row, losslessly), and
 the medium is cut where a rolling gear hash of its last bytes has its low bits zero. Chunk digests
 are counted over all media. Chunks that occur once are stored in the row of their medium; chunks
-that occur more often are deduplicated by their digest into a chunk table. Every medium keeps its
+that occur more often are stored in a chunk table only, once by their digest. Every medium keeps its
 ordered chunk list. Reading back joins the lists of media with shared chunks to the chunk table,
 puts each medium together in order, verifies its digest, and only then reads samples and features.
 
@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlens.llm.common import written
 
@@ -39,9 +41,11 @@ FILTER_BITS = 1 << 23
 GEAR = np.random.default_rng(1729).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 STORED = (
-    "id {id}, n_bytes long, media_bytes long, media_sha256 string, whole boolean,"
+    "n_bytes long, media_bytes long, media_sha256 string, whole boolean,"
     " chunks array<struct<hi:long,lo:long,n:int,data:binary>>"
 )
+#: Media that read a shared chunk for each of its copies in the join that puts them together.
+COPY_EVERY = 1000
 READ = (
     "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, stored_bytes long,"
     " stored_sha256 string, feature string"
@@ -131,33 +135,47 @@ def repeated_map(docs: DataFrame) -> np.ndarray:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Writes media and chunk table to the shared folder: (media rows, chunk table)."""
+    """Writes media and chunk table to the shared folder: (media rows, chunk table).
+
+    A media row holds the bytes of its own chunks only; of a shared one it holds the digest, and the
+    bytes are in the chunk table.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     repeated = rows.sparkSession.sparkContext.broadcast(repeated_map(rows.select("t")))
+    schema = T.StructType([*rows.select("id").schema.fields, *T.StructType.fromDDL(STORED).fields])
+    chunk = pa.list_(pa.struct({"hi": pa.int64(), "lo": pa.int64(), "n": pa.int32(), "data": pa.binary()}))
+    kinds = {"n_bytes": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "whole": pa.bool_(), "chunks": chunk}
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, bits = zstandard.ZstdCompressor(level=3), repeated.value
-        for frame in frames:
-            out = []
-            for text in frame["t"]:
+        for table in tables:
+            out, lent = [], {}
+            for text in table.column("t").to_pylist():
                 payload, n = payload_of(text)
                 medium = medium_of(payload)
                 parts, whole = [], True
-                for hi, lo, chunk in chunks_of(medium):
+                for hi, lo, data in chunks_of(medium):
                     slot = _slot(lo)
                     shared = bool(bits[slot >> 5] >> np.uint32(slot & 31) & 1)
                     whole &= not shared
-                    parts.append({"hi": hi, "lo": lo, "n": -len(chunk) if shared else len(chunk), "data": squeeze.compress(chunk)})
-                out.append((n, len(medium), hashlib.sha256(medium).hexdigest(), whole, parts))
-            made = pd.DataFrame(out, columns=["n_bytes", "media_bytes", "media_sha256", "whole", "chunks"])
-            made.insert(0, "id", frame["id"].to_numpy())
-            yield made
-
-    schema = STORED.format(id=rows.schema["id"].dataType.simpleString())
-    media = written(rows.mapInPandas(batches, schema), "media-rows")
-    shared = media.where("not whole").select(F.explode("chunks").alias("c")).where("c.n < 0")
+                    if shared and (hi, lo) not in lent:
+                        lent[hi, lo] = squeeze.compress(data)
+                    parts.append((hi, lo, -len(data), None) if shared else (hi, lo, len(data), squeeze.compress(data)))
+                out.append((n, len(medium), hashlib.sha256(medium).hexdigest(), whole, _chunks(parts)))
+            # rows without a digest carry the shared chunks, each once a batch
+            out += [(None, None, None, None, _chunks([(hi, lo, -1, data)])) for (hi, lo), data in lent.items()]
+            ids = table.column("id")
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(len(lent), ids.type)]), *columns], names=["id", *kinds])
+
+    made = written(rows.mapInArrow(batches, schema), "media-rows")
+    shared = made.where("media_sha256 is null").select(F.explode("chunks").alias("c"))
     table = shared.groupBy("c.hi", "c.lo").agg(F.first("c.data").alias("data"))
-    return media, written(table, "media-chunks")
+    return made.where("media_sha256 is not null"), written(table, "media-chunks")
+
+
+def _chunks(parts: list[tuple]) -> list[dict]:
+    return [dict(zip(("hi", "lo", "n", "data"), p, strict=True)) for p in parts]
 
 
 def _facts(medium: bytes) -> tuple:
@@ -202,7 +220,14 @@ def read(media: DataFrame, table: DataFrame) -> DataFrame:
     own = mixed.select("media_sha256", F.posexplode("chunks").alias("at", "c")).where("c.n > 0").groupBy("media_sha256", "at").agg(
         F.first("c.data").alias("data")
     )
-    lent = spots.where("n < 0").join(table, ["hi", "lo"]).select("media_sha256", "at", "data")
+    lent = spots.where("n < 0").select("media_sha256", "at", "hi", "lo")
+    # a chunk that many media share has as many copies as spread them out
+    wanted = lent.groupBy("hi", "lo").agg((F.floor(F.count("*") / COPY_EVERY) + 1).cast("int").alias("copies"))
+    copies = table.join(wanted, ["hi", "lo"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    salted = lent.join(wanted.where("copies > 1"), ["hi", "lo"], "left").withColumn(
+        "copy", F.coalesce(F.pmod(F.xxhash64("media_sha256"), F.col("copies")), F.lit(0)).cast("int")
+    )
+    lent = salted.join(copies, ["hi", "lo", "copy"]).select("media_sha256", "at", "data")
     ordered = F.array_sort(F.collect_list(F.struct("at", "data")))
     joined = own.select("media_sha256", "at", "data").unionByName(lent).groupBy("media_sha256").agg(ordered.alias("parts"))
     together = joined.select("media_sha256", F.transform("parts", lambda p: p["data"]).alias("chunks"))
