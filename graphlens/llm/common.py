@@ -41,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from those taken."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8_bytes(text: Column) -> Column:
     """Length of a text in UTF-8 bytes, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

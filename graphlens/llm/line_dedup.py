@@ -1,33 +1,40 @@
 """Operator 5: near-duplicate lines by a segment-partition edit join, DataFrame functions only.
 
-Lines of at least `min_chars` characters are the join's items; equal lines are one item. For an
-edit threshold t a line is cut into t + 1 segments of nearly equal length. If two lines are within
-t edits, a segment of the shorter one occurs unchanged in the longer one, close to its own place
-(pigeonhole); so every line indexes its segments by (its length, segment number, content) and
-probes, for each shorter or equal length, just the substrings that the multi-match-aware windows
-allow. Pairs that meet are verified by a banded bit-parallel edit distance: a band of 2t + 1 rows
-lives in one long, and each column takes a dozen bit operations. Links become classes (connected
-components), and of each class only the first occurrence by (id, line number) stays.
-
-Texts are never shuffled for the join: entries carry 64-bit line ids, and only lines that meet
-another one are fetched again for verification. Entries shared by more than `crowd` lines are
-first checked against one leader each; pairs that this leaves in different classes then meet by
-longer keys (the segment together with a segment of the rest of the line).
-
-Defined results: null texts stay null, blank lines, and short ones unless exact_chars says otherwise, always stay, repeated rows are
-treated alike (the same lines go from each), null ids come after all others, an empty table gives
+Lines of at least `min_chars` characters are the join's items; equal lines are one item. Lines are
+kept in classes of lengths (a length's three leading binary digits), and for an edit threshold t the
+lines of a class are cut into t + 1 segments of one width. If two lines are within t edits, some
+segment i of the shorter one occurs unchanged in the longer one with exactly i edits before it
+(pigeonhole), so at most i places from its own. Every line indexes its segments by (class, segment
+number, content); every line probes, for the classes of its own length and of the t lengths below,
+the few substrings that such a shift allows. Pairs that meet and whose lengths agree are verified by
+a banded bit-parallel edit distance: a band of 2t + 1 rows lives in one long, and each column takes
+a dozen bit operations. Links become classes (connected components), and of each class only the
+first occurrence by (id, line number) stays.
+
+Texts are not shuffled for the join: entries carry 64-bit line ids, and only lines that meet another
+one are fetched again for verification. An entry under which more than `crowd` lines are indexed is
+first checked against one leader each. Where this leaves lines in different classes, what is left of
+them without the shared segment is cut again in the same way, under a key that holds the first one,
+and so on until no entry is crowded or nothing is left that t edits could not change: so lines that
+share a start, or a start and most of the rest, never make all pairs.
+
+Defined results: null texts stay null, blank lines, and short ones unless exact_chars says otherwise,
+always stay, repeated rows are treated alike (the same lines go from each), ids may be whole numbers
+or anything with a text form (ordered as texts), null ids come after all others, an empty table gives
 an empty result, and other columns are kept; n_lines and n_dropped replace columns of these names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphlens.llm.common import components, written
+from graphlens.llm.common import components, unused, written
 
 #: Edits within which two lines count as the same.
 MAX_EDITS = 1
@@ -35,10 +42,11 @@ MAX_EDITS = 1
 MIN_CHARS = 24
 #: (characters of the shorter line, edits) from which more edits count as the same, in ascending order.
 BANDS = ((80, 2), (160, 3))
-#: Lines that share an index entry above which a leader stands in for all pairs.
-CROWD = 300
-#: Ids of lines to verify that are broadcast at most (8 bytes each); beyond it, a shuffle join.
-BROADCAST_ROWS = 2_000_000
+#: Lines indexed under an entry above which a leader stands in for all pairs.
+CROWD = 100
+#: Ids of lines to verify that are broadcast at most (8 bytes each), and numbers of lines to drop;
+#: beyond them, a shuffle join.
+BROADCAST_ROWS, BROADCAST_LINES = 2_000_000, 1_000_000
 PLACES = 10_000_000_000
 
 
@@ -84,119 +92,175 @@ def edit_distance(x: Column, y: Column, max_edits: int) -> Column:
     return F.when(F.abs(m - n) > t, F.lit(t + 1).cast("long")).when(n == 0, m.cast("long")).otherwise(walked)
 
 
-def _segments(length: Column, t: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of each of t + 1 segments; the last ones take the remainder."""
-    k = t + 1
-    base, extra = F.floor(length / k).cast("int"), (length % k).cast("int")
-    return [
-        (base * i + F.greatest(F.lit(0), extra - (k - i)), base + (extra >= k - i).cast("int"))
-        for i in range(k)
-    ]
+def _edits(length: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """The edit threshold of a (shorter) line's length; bands are (characters, edits) in ascending order."""
+    chosen = None
+    for low, t in sorted(bands, reverse=True):
+        chosen = F.when(length >= low, t) if chosen is None else chosen.when(length >= low, t)
+    return chosen.otherwise(sorted(bands)[0][1])
 
 
-def _windows(t: int, delta: int, i: int) -> tuple[int, int]:
-    """Shifts of segment i's start in a line longer by delta: multi-match-aware bounds."""
-    return max(-i, delta - (t - i)), min(i, delta + (t - i))
-
-
-def entries(lines: DataFrame, t: int, shortest: int, prefix: Column | None = None) -> DataFrame:
-    """(key, id, side, start, width): index entries (side 0) and probes (side 1) of (id, line)."""
-    # places first and contents after the explode, so that nothing is computed under a condition
-    length, places = F.col("length"), []
-    for i, (p, w) in enumerate(_segments(length, t)):
-        places.append((F.lit(True), length, i, p, w, 0))
-    for delta in range(t + 1):
-        size = length - delta
-        for i, (p, w) in enumerate(_segments(size, t)):
-            low, high = _windows(t, delta, i)
-            for shift in range(low, high + 1):
-                q = p + shift
-                places.append(((size >= shortest) & (q >= 0) & (q + w <= length), size, i, q, w, 1))
-    items = F.array(
-        *(
-            F.struct(
-                ok.alias("ok"),
-                size.cast("int").alias("size"),
-                F.lit(i).alias("part"),
-                q.cast("int").alias("start"),
-                w.cast("int").alias("width"),
-                F.lit(side).cast("byte").alias("side"),
-            )
-            for ok, size, i, q, w, side in places
-        )
+def _class(length: Column) -> Column:
+    """The least length of a length's class: its three leading binary digits, the others zero."""
+    low = F.greatest(F.length(F.bin(length.cast("long"))) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", length.cast("int"), low), low)
+
+
+def _shifts(t: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the substrings that a line probes, which is no shorter than what it looks for."""
+    return [(i, s) for i in range(t + 1) for s in range(max(-i, i - t), i + 1)]
+
+
+def _keys(t: int, places: list[tuple[int, int]]) -> Column:
+    """Hashes of the contents at the places (segment, shift), of columns chain, low, line."""
+    width = F.floor(F.col("low") / (t + 1)).cast("int")
+    return F.array(
+        *(F.xxhash64("chain", F.lit(t), "low", F.lit(i), F.substring(F.col("line"), width * i + (s + 1), width)) for i, s in places)
     )
-    head = [] if prefix is None else [prefix]
-    measured = lines.select("id", "line", F.char_length("line").alias("length"))
-    exploded = measured.select("id", "line", F.explode(items).alias("e")).where("e.ok")
-    content = F.substring(F.col("line"), F.col("e.start") + 1, F.col("e.width"))
-    key = F.xxhash64(*head, F.col("e.size"), F.col("e.part"), content)
-    return exploded.select(key.alias("key"), "id", "e.side", "e.start", "e.width", "line")
 
 
-def _met(found: DataFrame, keys: list[str]) -> DataFrame:
-    left = found.where("side = 0").select(*keys, F.col("id").alias("a"))
-    right = found.where("side = 1").select(*keys, F.col("id").alias("b"))
-    return left.join(right, keys).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _by_edits(make: Callable[[int], Column], most: int) -> Column:
+    chosen = F.when(F.col("t") == 1, make(1))
+    for t in range(2, most + 1):
+        chosen = chosen.when(F.col("t") == t, make(t))
+    return chosen
+
+
+def _entries(lines: DataFrame, most: int, probing: bool) -> DataFrame:
+    """(key, at, ...) of lines with columns chain, line, t, low: at tells which of the places it is."""
+    keys = _by_edits(lambda t: _keys(t, _shifts(t) if probing else [(i, 0) for i in range(t + 1)]), most)
+    others = [c for c in lines.columns if c != "chain"]
+    return lines.select(F.posexplode(keys).alias("at", "key"), *others)
+
+
+def _indexed(lines: DataFrame, bands: tuple) -> DataFrame:
+    """The lines (id, chain, line, length) as they are indexed: with their edits t, unless given, and class."""
+    edits = F.col("t") if "t" in lines.columns else _edits(F.col("length"), bands)
+    return lines.withColumns({"t": edits, "low": _class(F.col("length"))}).where("low > t")
+
+
+def _probing(lines: DataFrame, bands: tuple) -> DataFrame:
+    """The lines with the edits and class of every length that they look for."""
+    own, given = F.col("length"), "t" in lines.columns
+    kinds = [
+        F.struct((F.col("t") if given else _edits(own - d, bands)).alias("t"), _class(own - d).alias("low"))
+        for d in range(max(t for _, t in bands) + 1)
+    ]
+    wanted = F.filter(F.array_distinct(F.array(*kinds)), lambda k: k["low"] > k["t"])
+    return lines.select(*(c for c in lines.columns if c != "t"), F.inline(wanted))
+
+
+def _met(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Pairs (a, b) under a common key whose lengths allow a link, and that no links connect yet; a is the shorter."""
+    a, b = (
+        rows.select(on, *(F.col(c).alias(n if c == "id" else f"{n}_{c}") for c in ("id", "length", "t", "root") if c in rows.columns))
+        for n, rows in (("a", left), ("b", right))
+    )
+    near = (F.col("b_length") - F.col("a_length")).between(F.lit(0), F.col("a_t")) & (F.col("a") != F.col("b"))
+    met = a.hint("shuffle_hash").join(b, on).where(near)
+    return (met.where("a_root <> b_root") if "a_root" in met.columns else met).select(*_pair("a", "b"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose lines are within t edits; lines has (id, line), repeats allowed."""
+def _verified(pairs: DataFrame, lines: DataFrame, bands: tuple) -> DataFrame:
+    """The pairs (a, b) whose lines are within their edits; lines has (id, line) once each."""
     pairs = written(pairs.distinct(), "lines-candidates")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     if pairs.count() * 2 <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    texts = lines.join(wanted, "id", "left_semi")
     letters = written(texts.select("id", F.split("line", "").alias("letters")), "lines-met")
     both = pairs.join(letters.toDF("a", "x"), "a").join(letters.toDF("b", "y"), "b")
     # spread out again: few pairs can be much work
     spread = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    return spread.where(edit_distance(F.col("x"), F.col("y"), t) <= t).select("a", "b")
+    most = max(t for _, t in bands)
+    allowed = _edits(F.least(F.size("x"), F.size("y")), bands)
+    return written(spread.where(edit_distance(F.col("x"), F.col("y"), most) <= allowed).select("a", "b"), "lines-links")
 
 
-def links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b) of line ids that connect all lines within max_edits of each other.
+def _pair(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    lines has (id, line), id a hash of the line; lines may repeat. Every link outside crowded
-    entries is returned; inside them enough links to give the same connected components.
+
+def _rest(most: int, probing: bool) -> Column:
+    """The line without the segment at place `at`."""
+    def without(t: int) -> Column:
+        places = _shifts(t) if probing else [(i, 0) for i in range(t + 1)]
+        width = F.floor(F.col("low") / (t + 1)).cast("int")
+        start = F.element_at(F.array(*(width * i + s for i, s in places)), F.col("at") + 1)
+        return F.concat(F.substring(F.col("line"), F.lit(1), start), F.substring(F.col("line"), start + width + 1, F.length("line")))
+
+    return _by_edits(without, most)
+
+
+def _ends(index: DataFrame, probes: DataFrame, most: int) -> DataFrame:
+    """Pairs of lines of which too little is left to cut.
+
+    Lines are indexed at equal places, so those under a key of which no more letters are left than
+    edits are all links: one leader stands for them. What probes under the key with as little, or up
+    to as many letters more, is compared with each different rest of them: few, they are so short.
     """
-    found = written(entries(lines, max_edits, min_chars).select("key", "id", "side").distinct(), "lines-entries")
-    sizes = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("side") == 0, F.col("id"))).alias("lead"))
-    crowded = written(sizes.where((F.col("n") > crowd) & F.col("lead").isNotNull()).select("key", "lead"), "lines-crowded")
-    if crowded.isEmpty():
-        return written(_verified(_met(found, ["key"]), lines, max_edits), "lines-links")
-    calm = _met(found.join(crowded, "key", "left_anti"), ["key"])
-    stars = found.join(crowded, "key").where("id <> lead").select(
-        F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")
-    )
-    first = written(_verified(calm.union(stars), lines, max_edits), "lines-links")
-    roots = components(first, "lines-stars")
-    inside = entries(lines, max_edits, min_chars).join(crowded.select("key"), "key", "left_semi")
-    rest = F.concat(F.expr("substring(line, 1, start)"), F.expr("substring(line, start + width + 1)"))
-    again = inside.select(F.col("key").alias("key1"), F.col("side").alias("side1"), "id", rest.alias("line")).distinct()
-    deeper = (
-        entries(again.select(F.struct("key1", "side1", "id").alias("id"), "line"), max_edits, 0, F.col("id.key1"))
-        .where("side = id.side1")
-        .select("key", F.col("id.id").alias("id"), "side")
-        .distinct()
-        .join(roots, "id", "left")
-        .withColumn("root", F.coalesce("root", "id"))
-    )
-    left = deeper.where("side = 0").select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    right = deeper.where("side = 1").select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    apart = left.join(right, "key").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return first.union(written(_verified(apart, lines, max_edits), "lines-links"))
+    short = index.where(F.col("length") <= F.col("t"))
+    lead = short.groupBy("chain").agg(F.min("id").alias("lead"))
+    stars = short.join(lead, "chain").where("id <> lead").select(*_pair("id", "lead"))
+    rests = short.groupBy("chain", "line", "length", "t").agg(F.min(F.struct("id", "root")).alias("r"))
+    rests = rests.select("chain", "length", "t", "r.id", "r.root")
+    return stars.union(_met(rests, probes.where(F.col("length") <= 2 * most), "chain"))
 
 
-def banded_links(lines: DataFrame, max_edits: int, min_chars: int, crowd: int, bands: tuple[tuple[int, int], ...]) -> DataFrame:
-    """links() with the edits of each band of lengths; the shorter line of a pair tells its band."""
-    steps, out = [(min_chars, max_edits), *bands], None
-    for i, (low, t) in enumerate(steps):
-        size = F.char_length("line")
-        # a longer line of the next bands can be within t edits of one of this band
-        own = lines.where(size >= low) if i + 1 == len(steps) else lines.where((size >= low) & (size < steps[i + 1][0] + t))
-        found = links(own, t, low, crowd)
-        out = found if out is None else out.union(found)
-    return out
+def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of line ids that connect all lines within their edits of each other.
+
+    lines has (id, line), each line once and longer than its edits; the shorter line of a pair tells
+    the edits. Every link outside crowded entries is returned; inside them enough links to give the
+    same components.
+    """
+    most = max(t for _, t in bands)
+    index = lines.select("id", F.lit(0).cast("long").alias("chain"), "line", F.char_length("line").alias("length"))
+    probes, found = index, None
+    while True:
+        entries = _entries(_indexed(index, bands), most, False)
+        asked = _entries(_probing(probes, bands), most, True)
+        sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > crowd)
+        crowded = written(sizes.select("key", "lead"), "lines-crowded")
+        busy = not crowded.isEmpty()
+        pairs = _met(entries.join(crowded, "key", "left_anti") if busy else entries, asked, "key")
+        members = [(e.join(crowded, "key"), probing) for e, probing in ((entries, False), (asked, True))]
+        for rows, _ in members if busy else ():
+            pairs = pairs.union(rows.where("id <> lead").select(*_pair("id", "lead")))
+        if found is not None:
+            pairs = pairs.union(_ends(index, probes, most))
+        fresh = _verified(pairs, lines, bands)
+        found = fresh if found is None else found.union(fresh)
+        if not busy:
+            return found
+        roots = written(components(found, "lines-stars"), "lines-stars")
+        again = []
+        for rows, probing in members:
+            rest = rows.select(F.col("key").alias("chain"), "id", "t", _rest(most, probing).alias("line")).distinct()
+            rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            again.append(written(rest.withColumn("length", F.char_length("line")), "lines-again"))
+        both = again[0].select("chain", "root").union(again[1].select("chain", "root"))
+        apart = both.groupBy("chain").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two")
+        apart = written(apart.select("chain"), "lines-apart")
+        if apart.isEmpty():
+            return found
+        index, probes = (rows.join(apart, "chain", "left_semi") for rows in again)
+
+
+def _places(docs: DataFrame, id_col: str, text: Column) -> tuple[Column, Column]:
+    """A row's place in the order of ids, null ones last, and its text's digest: rows alike in both are alike."""
+    own = F.xxhash64(text)
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        unnamed = F.lit(Decimal(10**19)).cast("decimal(20,0)") + own.bitwiseAND(F.lit((1 << 62) - 1)).cast("decimal(20,0)")
+        return F.coalesce(F.col(id_col).cast("decimal(20,0)"), unnamed.cast("decimal(20,0)")), own
+    named = F.concat(F.lit("0"), F.col(id_col).cast("string"))
+    return F.coalesce(named, F.concat(F.lit("1"), own.cast("string"))), own
+
+
+def _order(place: Column, at: Column, numbers: bool) -> Column:
+    if numbers:
+        return (place * F.lit(PLACES).cast("decimal(11,0)") + at).cast("decimal(38,0)")
+    return F.concat(place, F.lit("\0"), F.lpad(at.cast("string"), 10, "0"))
 
 
 def dedup_lines(
@@ -214,16 +278,19 @@ def dedup_lines(
     bands gives longer lines more edits. Not blank lines from exact_chars characters on (min_chars
     where None) go where they repeat exactly.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     shortest = min_chars if exact_chars is None else min(exact_chars, min_chars)
+    steps = ((min_chars, max_edits), *((low, t) for low, t in bands if low > min_chars))
+    if any(low <= t for low, t in steps):
+        raise ValueError("lines must be longer than their edits")
     text = F.col(text_col).cast("string")
-    own = F.xxhash64(text)
-    # a row is known by its id, or by its text where that is null, and by its text
-    unnamed = F.lit(Decimal(10**19)).cast("decimal(20,0)") + own.bitwiseAND(F.lit((1 << 62) - 1)).cast("decimal(20,0)")
-    place = F.coalesce(F.col(id_col).cast("decimal(20,0)"), unnamed.cast("decimal(20,0)"))
-    every = docs.select(
-        place.alias("place"), own.alias("own"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line")
-    ).where((F.char_length("line") >= min_chars) | (F.char_length("line") >= shortest) & F.col("line").rlike(r"\S"))
-    lines = every.where(F.char_length("line") >= min_chars).select(F.xxhash64("line").alias("id"), "line")
+    place, own = _places(docs, id_col, text)
+    numbers = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    every = docs.select(place.alias("place"), own.alias("own"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    length = F.char_length("line")
+    every = every.where((length >= min_chars) | (length >= shortest) & F.col("line").rlike(r"\S"))
+    lines = every.where(length >= min_chars).select(F.xxhash64("line").alias("id"), "line").groupBy("id").agg(F.first("line").alias("line"))
+    lines = written(lines, "lines-distinct")
     seen = written(
         every.select(
             "place",
@@ -231,12 +298,12 @@ def dedup_lines(
             "at",
             F.xxhash64("line").alias("id"),
             F.xxhash64(F.lit("check"), "line").alias("check"),
-            (F.col("place") * F.lit(PLACES).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)").alias("ord"),
+            _order(F.col("place"), F.col("at"), numbers).alias("ord"),
         ),
         "lines-seen",
     )
     firsts = seen.groupBy("id", "check").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
-    roots = written(components(banded_links(lines, max_edits, min_chars, crowd, bands), "lines"), "lines-roots")
+    roots = written(components(links(lines, steps, crowd), "lines"), "lines-roots")
     linked = firsts.join(roots, "id")
     heads = linked.groupBy("root").agg(F.min("first").alias("keep"))
     near = linked.join(heads, "root").select("id", "check", "keep")
@@ -244,25 +311,34 @@ def dedup_lines(
         firsts.where("n > 1").join(roots, "id", "left_anti").select("id", "check", F.col("first").alias("keep"))
     )
     repeated = written(near.unionByName(alone), "lines-repeated")
-    dropped = (
+    a, b, c = unused(docs.columns, "place", "own", "gone")
+    dropped = written(
         seen.join(repeated, ["id", "check"])
         .where(F.col("ord") > F.col("keep"))
-        .groupBy(F.col("place").alias("_place"), F.col("own").alias("_own"))
-        .agg(F.collect_set("at").alias("_gone"))
+        .groupBy(F.col("place").alias(a), F.col("own").alias(b))
+        .agg(F.collect_set("at").alias(c)),
+        "lines-dropped",
     )
-    parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    many = dropped.agg(F.sum(F.size(c) + 8)).first()[0] or 0
+    if many <= BROADCAST_LINES:
+        dropped = F.broadcast(dropped)
+
+    def left(parts: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(c))
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    # split once: the parts are an argument of the inner function
+    cut = F.transform(F.array(F.split(text, "\n", -1)), left)[0]
+    breaks = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     return (
-        docs.drop("n_lines", "n_dropped")
-        .withColumns({"_place": place, "_own": own})
-        .join(dropped, ["_place", "_own"], "left")
+        docs.withColumns({a: place, b: own})
+        .join(dropped, [a, b], "left")
         .withColumns(
             {
-                "n_lines": F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)),
-                "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")),
-                text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cut),
+                "n_lines": F.when(text.isNull(), F.lit(0)).otherwise(breaks + 1),
+                "n_dropped": F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)),
+                text_col: F.when(F.col(c).isNull(), F.col(text_col)).otherwise(cut),
             }
         )
-        .drop("_place", "_own", "_gone")
+        .drop(a, b, c)
     )

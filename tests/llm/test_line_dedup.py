@@ -108,3 +108,47 @@ def test_edits_follow_length_and_short_lines_repeat(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, bands=line_dedup.BANDS, exact_chars=1).collect()}
     assert all((got[i] != "") == stays for i, _, stays in docs if stays is not None)
     assert got[900] == "tiny\n\n \nown" and got[901] == "\n \nelse"
+
+
+def test_shared_starts_and_ends_refine(spark):
+    rnd = random.Random(11)
+    start, end = "".join(rnd.choices("abcdef ", k=30)), "".join(rnd.choices("abcdef ", k=24))
+    texts = set()
+    while len(texts) < 200:
+        core = "".join(rnd.choices("0123", k=rnd.choice([0, 1, 2, 5, 6, 7, 8, 9])))
+        texts.add(edited(rnd, rnd.choice([start + core + end, core + start + end, start + end + core]), rnd.choice([0, 0, 1])))
+    docs = [(i, t) for i, t in enumerate(sorted(texts))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, 2, 12, 8).collect()}
+    assert got == brute(docs, 2, 12)
+
+
+def test_numbered_lines_make_few_candidates(spark, monkeypatch):
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    ends = {"".join(rnd.choices(letters, k=9)) for _ in range(20_000)}
+    made = []
+    plain = line_dedup._verified
+
+    def counted(pairs, lines, bands):
+        made.append(pairs.distinct().count())
+        return plain(pairs, lines, bands)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    rows = [(i, f"This is the record with number {e}") for i, e in enumerate(sorted(ends))]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.where("n_dropped > 0").count() == 0
+    # each line meets a leader or a few lines a level
+    assert sum(made) <= 12 * len(ends), made
+
+
+def test_text_ids_and_clashing_names(spark):
+    line = "a line of more than twenty-four letters"
+    rows = [("b", line, 1, 2, 3), ("a", f"{line}\nown", 4, 5, 6), (None, line, 7, 8, 9), ("10", "x", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, place int, own int, gone int")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert (out["a"].text, out["b"].text, out[None].text) == (f"{line}\nown", "", "")
+    assert (out["a"].place, out["a"].own, out["a"].gone) == (4, 5, 6)
+    assert line_dedup.dedup_lines(df).columns == [*df.columns, "n_lines", "n_dropped"]
+    with pytest.raises(ValueError, match="longer than their edits"):
+        line_dedup.dedup_lines(df, max_edits=2, min_chars=2)
