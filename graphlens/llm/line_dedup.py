@@ -6,8 +6,8 @@ lines of a class are cut into t + 1 segments of one width. If two lines are with
 segment i of the shorter one occurs unchanged in the longer one with exactly i edits before it
 (pigeonhole), so at most i places from its own. Every line indexes its segments by (class, segment
 number, content); every line probes, for the classes of its own length and of the t lengths below,
-the few substrings that such a shift allows. Pairs that meet and whose lengths agree are verified by
-a banded bit-parallel edit distance: a band of 2t + 1 rows lives in one long, and each column takes
+the few substrings that such a shift allows. Pairs that meet, and whose lengths and numbers of some
+characters agree as far as t edits need, are verified by a banded bit-parallel edit distance: a band of 2t + 1 rows lives in one long, and each column takes
 a dozen bit operations. Links become classes (connected components), and of each class only the
 first occurrence by (id, line number) stays.
 
@@ -43,7 +43,9 @@ MIN_CHARS = 24
 #: (characters of the shorter line, edits) from which more edits count as the same, in ascending order.
 BANDS = ((80, 2), (160, 3))
 #: Lines indexed under an entry above which a leader stands in for all pairs.
-CROWD = 100
+CROWD = 500
+#: Characters whose numbers in a line go into its signature.
+COUNTED = ("e", "t", "a", "o", "n", " ")
 #: Ids of lines to verify that are broadcast at most (8 bytes each), and numbers of lines to drop;
 #: beyond them, a shuffle join.
 BROADCAST_ROWS, BROADCAST_LINES = 2_000_000, 1_000_000
@@ -134,14 +136,15 @@ def _entries(lines: DataFrame, most: int, probing: bool) -> DataFrame:
 
 
 def _indexed(lines: DataFrame, bands: tuple) -> DataFrame:
-    """The lines (id, chain, line, length) as they are indexed: with their edits t, unless given, and class."""
-    edits = F.col("t") if "t" in lines.columns else _edits(F.col("length"), bands)
-    return lines.withColumns({"t": edits, "low": _class(F.col("length"))}).where("low > t")
+    """The lines (id, chain, line, sig) as they are indexed: with their edits t, unless given, and class."""
+    length = F.char_length("line")
+    edits = F.col("t") if "t" in lines.columns else _edits(length, bands)
+    return lines.withColumns({"t": edits, "low": _class(length)}).where("low > t")
 
 
 def _probing(lines: DataFrame, bands: tuple) -> DataFrame:
     """The lines with the edits and class of every length that they look for."""
-    own, given = F.col("length"), "t" in lines.columns
+    own, given = F.char_length("line"), "t" in lines.columns
     kinds = [
         F.struct((F.col("t") if given else _edits(own - d, bands)).alias("t"), _class(own - d).alias("low"))
         for d in range(max(t for _, t in bands) + 1)
@@ -150,15 +153,38 @@ def _probing(lines: DataFrame, bands: tuple) -> DataFrame:
     return lines.select(*(c for c in lines.columns if c != "t"), F.inline(wanted))
 
 
+def _signature(line: Column) -> Column:
+    """A line's length modulo 4096 and, from bit 12 on, its numbers of the counted characters modulo 256."""
+    out = F.char_length(line).cast("long").bitwiseAND(F.lit(4095))
+    for n, c in enumerate(COUNTED):
+        many = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(many.cast("long").bitwiseAND(F.lit(255)), 12 + 8 * n))
+    return out
+
+
+def _near(a: Column, b: Column, t: Column) -> Column:
+    """Whether the signatures allow t edits from a line to one that is no shorter.
+
+    An edit changes the length by one at most, and the numbers of the counted characters by two.
+    """
+    apart = None
+    for n in range(len(COUNTED)):
+        d = (F.shiftrightunsigned(a, 12 + 8 * n) - F.shiftrightunsigned(b, 12 + 8 * n)).bitwiseAND(F.lit(255))
+        step = F.least(d, F.lit(256) - d)
+        apart = step if apart is None else apart + step
+    return ((b - a).bitwiseAND(F.lit(4095)) <= t) & (apart <= 2 * t)
+
+
 def _met(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Pairs (a, b) under a common key whose lengths allow a link, and that no links connect yet; a is the shorter."""
+    """Pairs (a, b) under a common key whose signatures allow a link, and that no links connect yet; a is the shorter."""
     a, b = (
-        rows.select(on, *(F.col(c).alias(n if c == "id" else f"{n}_{c}") for c in ("id", "length", "t", "root") if c in rows.columns))
-        for n, rows in (("a", left), ("b", right))
+        rows.select(on, *(F.col(c).alias(n if c == "id" else f"{n}_{c}") for c in (*names, "root") if c in rows.columns))
+        for n, rows, names in (("a", left, ("id", "sig", "t")), ("b", right, ("id", "sig")))
     )
-    near = (F.col("b_length") - F.col("a_length")).between(F.lit(0), F.col("a_t")) & (F.col("a") != F.col("b"))
-    met = a.hint("shuffle_hash").join(b, on).where(near)
-    return (met.where("a_root <> b_root") if "a_root" in met.columns else met).select(*_pair("a", "b"))
+    fits = _near(F.col("a_sig"), F.col("b_sig"), F.col("a_t")) & (F.col("a") != F.col("b"))
+    if "root" in left.columns:
+        fits &= F.col("a_root") != F.col("b_root")
+    return a.hint("shuffle_hash").join(b.withColumnRenamed(on, "_on"), (F.col(on) == F.col("_on")) & fits).select(*_pair("a", "b"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, bands: tuple) -> DataFrame:
@@ -199,12 +225,12 @@ def _ends(index: DataFrame, probes: DataFrame, most: int) -> DataFrame:
     edits are all links: one leader stands for them. What probes under the key with as little, or up
     to as many letters more, is compared with each different rest of them: few, they are so short.
     """
-    short = index.where(F.col("length") <= F.col("t"))
+    short = index.where(F.char_length("line") <= F.col("t"))
     lead = short.groupBy("chain").agg(F.min("id").alias("lead"))
     stars = short.join(lead, "chain").where("id <> lead").select(*_pair("id", "lead"))
-    rests = short.groupBy("chain", "line", "length", "t").agg(F.min(F.struct("id", "root")).alias("r"))
-    rests = rests.select("chain", "length", "t", "r.id", "r.root")
-    return stars.union(_met(rests, probes.where(F.col("length") <= 2 * most), "chain"))
+    rests = short.groupBy("chain", "line", "t").agg(F.min(F.struct("id", "root", "sig")).alias("r"))
+    rests = rests.select("chain", "t", "r.*")
+    return stars.union(_met(rests, probes.where(F.char_length("line") <= 2 * most), "chain"))
 
 
 def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CROWD) -> DataFrame:
@@ -215,18 +241,23 @@ def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CRO
     same components.
     """
     most = max(t for _, t in bands)
-    index = lines.select("id", F.lit(0).cast("long").alias("chain"), "line", F.char_length("line").alias("length"))
+    index = lines.select("id", F.lit(0).cast("long").alias("chain"), "line", _signature(F.col("line")).alias("sig"))
     probes, found = index, None
     while True:
-        entries = _entries(_indexed(index, bands), most, False)
-        asked = _entries(_probing(probes, bands), most, True)
-        sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > crowd)
+        sides = [_entries(_indexed(index, bands), most, False), _entries(_probing(probes, bands), most, True)]
+        lead = F.min(F.struct("id", "sig", "t")).alias("lead")
+        sizes = sides[0].groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > crowd)
         crowded = written(sizes.select("key", "lead"), "lines-crowded")
         busy = not crowded.isEmpty()
-        pairs = _met(entries.join(crowded, "key", "left_anti") if busy else entries, asked, "key")
-        members = [(e.join(crowded, "key"), probing) for e, probing in ((entries, False), (asked, True))]
-        for rows, _ in members if busy else ():
-            pairs = pairs.union(rows.where("id <> lead").select(*_pair("id", "lead")))
+        pairs = _met(sides[0].join(crowded, "key", "left_anti") if busy else sides[0], sides[1], "key")
+        members = [written(e.join(crowded, "key"), "lines-members") for e in sides] if busy else []
+        if busy:
+            leads = members[0].where("id = lead").groupBy("key").agg(lead)
+            leads = leads.select("key", F.col("lead.id").alias("_lead"), F.col("lead.sig").alias("_sig"), F.col("lead.t").alias("_t"))
+            for rows in members:
+                both = rows.join(leads, "key").where(F.col("id") != F.col("_lead"))
+                either = _near(F.col("sig"), F.col("_sig"), F.col("_t")) | _near(F.col("_sig"), F.col("sig"), F.col("_t"))
+                pairs = pairs.union(both.where(either).select(*_pair("id", "_lead")))
         if found is not None:
             pairs = pairs.union(_ends(index, probes, most))
         fresh = _verified(pairs, lines, bands)
@@ -234,17 +265,21 @@ def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CRO
         if not busy:
             return found
         roots = written(components(found, "lines-stars"), "lines-stars")
-        again = []
-        for rows, probing in members:
-            rest = rows.select(F.col("key").alias("chain"), "id", "t", _rest(most, probing).alias("line")).distinct()
-            rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            again.append(written(rest.withColumn("length", F.char_length("line")), "lines-again"))
-        both = again[0].select("chain", "root").union(again[1].select("chain", "root"))
-        apart = both.groupBy("chain").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two")
-        apart = written(apart.select("chain"), "lines-apart")
+        rooted = [rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) for rows in members]
+        both = rooted[0].select("key", "root").union(rooted[1].select("key", "root"))
+        apart = both.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two")
+        apart = written(apart.select("key"), "lines-apart")
         if apart.isEmpty():
             return found
-        index, probes = (rows.join(apart, "chain", "left_semi") for rows in again)
+        index, probes = (
+            written(
+                rows.join(apart, "key", "left_semi")
+                .select(F.col("key").alias("chain"), "id", "t", "sig", "root", _rest(most, probing).alias("line"))
+                .distinct(),
+                "lines-again",
+            )
+            for rows, probing in zip(rooted, (False, True), strict=True)
+        )
 
 
 def _places(docs: DataFrame, id_col: str, text: Column) -> tuple[Column, Column]:
