@@ -37,7 +37,7 @@ def api_surface(graph: Graph) -> DataFrame:
     """Endpoints with controller, by path and verb."""
     routes = graph.links("ROUTES_TO").select(F.col("source_id").alias("id"), F.col("target_id").alias("controller"))
     rows = graph.of("CONTROLLER_ENDPOINT").join(routes, "id", "left")
-    return rows.select("id", meta.get("path", "/").alias("path"), meta.get("httpMethod", "GET").alias("verb"), F.coalesce("controller", F.lit("unknown")).alias("controller")).orderBy("path", "verb")
+    return rows.select("id", meta.get("path", "/").alias("path"), meta.get("httpVerb", "GET").alias("verb"), F.coalesce("controller", F.lit("unknown")).alias("controller")).orderBy("path", "verb")
 
 
 def message_flow(graph: Graph, topic: str) -> DataFrame:
@@ -53,7 +53,7 @@ def module_graph(graph: Graph) -> DataFrame:
     names = graph.of("MODULE").select(F.col("id").alias("target_id"), "name")
     deps = graph.links("DEPENDS_ON").join(names, "target_id", "left")
     lists = deps.groupBy(F.col("source_id").alias("id")).agg(joined(F.coalesce("name", F.lit("unknown"))).alias("depends_on"))
-    return graph.of("MODULE").join(lists, "id", "left").select("id", meta.get("artifactId").alias("artifact"), F.coalesce("depends_on", F.lit("")).alias("depends_on"))
+    return graph.of("MODULE").join(lists, "id", "left").select("id", F.coalesce(meta.get("artifactId"), "name").alias("artifact"), F.coalesce("depends_on", F.lit("")).alias("depends_on"))
 
 
 def layer_of(name: Column, layers: list[str]) -> Column:
@@ -74,7 +74,7 @@ def unsecured_endpoints(graph: Graph) -> DataFrame:
     """Endpoints without a SECURED_BY edge at either end: (id, verb, path, severity)."""
     edges = graph.links("SECURED_BY")
     rows = graph.of("CONTROLLER_ENDPOINT").join(_ends(edges, "source_id"), "id", "left_anti").join(_ends(edges, "target_id"), "id", "left_anti")
-    verb = meta.get("httpMethod", "GET")
+    verb = meta.get("httpVerb", "GET")
     return rows.select("id", verb.alias("verb"), meta.get("path", "").alias("path"), F.when(F.upper(verb).isin(*STATE_CHANGING), "CRITICAL").otherwise("HIGH").alias("severity"))
 
 
@@ -94,8 +94,9 @@ def config_property(graph: Graph, key: str) -> DataFrame:
     ids = keys.select(F.col("id").alias("key"), meta.is_true("hasDefault").alias("has_default"))
     used = graph.links("USES_CONFIG").join(ids, F.col("target_id") == F.col("key")).select(F.lit("consumer").alias("role"), F.col("source_id").alias("id"), "has_default")
     told = graph.links("RESOLVES_TO").join(ids, F.col("source_id") == F.col("key")).select(F.lit("definition").alias("role"), F.col("target_id").alias("id"), "has_default")
-    rows, defined = used.unionByName(told), F.max(F.col("role") == "definition").over(Window.partitionBy(F.lit(1)))
-    return rows.select("role", "id", (~defined & ~F.col("has_default")).alias("undefined"))
+    # one row: whether any definition is there
+    defined = told.agg((F.count("*") > 0).alias("defined"))
+    return used.unionByName(told).join(F.broadcast(defined)).select("role", "id", (~F.col("defined") & ~F.col("has_default")).alias("undefined"))
 
 
 def undefined_properties(graph: Graph) -> DataFrame:
@@ -107,7 +108,7 @@ def undefined_properties(graph: Graph) -> DataFrame:
 def undocumented_endpoints(graph: Graph) -> DataFrame:
     """Endpoints without an OpenAPI annotation or specification."""
     rows = graph.of("CONTROLLER_ENDPOINT").where(~meta.is_true("hasOpenApiAnnotation") & ~meta.is_true("hasOpenApiSpec"))
-    return rows.select("id", meta.get("path", "").alias("path"), meta.get("httpMethod", "GET").alias("verb"))
+    return rows.select("id", meta.get("path", "").alias("path"), meta.get("httpVerb", "GET").alias("verb"))
 
 
 def dto_lineage(graph: Graph, name: str) -> DataFrame:
@@ -160,7 +161,7 @@ def observability_map(graph: Graph) -> DataFrame:
 
 def uninstrumented(graph: Graph) -> DataFrame:
     """Services and controllers without instrumentation flags, metrics and spans."""
-    rows = graph.of("SERVICE", "CONTROLLER").where(~meta.is_true("instrumented") & ~meta.is_true("hasMeterRegistry") & ~meta.is_true("hasTracer"))
+    rows = graph.of("SERVICE", "CONTROLLER").where(~meta.is_true("instrumented") & ~meta.is_true("hasMeterRegistry") & ~meta.is_true("hasTracerInjection"))
     return rows.join(_ends(graph.links("MEASURES", "TRACES"), "source_id"), "id", "left_anti").select("id", "name", "type")
 
 
@@ -200,7 +201,7 @@ def native_compatibility(graph: Graph) -> DataFrame:
     n = lambda w: F.count(F.when(issue.contains(w), 1))
     rows = graph.of("COMPATIBILITY_ISSUE").agg(
         n("reflect").alias("reflection"), n("prox").alias("proxies"), n("resource").alias("resources"), n("scope").alias("scopes"), n("lazy").alias("lazies"))
-    aot = graph.nodes.agg(F.count(F.when(meta.is_true("aotReady"), 1)).alias("aot"))
+    aot = graph.nodes.agg(F.count(F.when(meta.is_true("hasAotHints"), 1)).alias("aot"))
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.expr("100 - 15*reflection - 12*proxies - 8*resources - 10*scopes - 10*lazies + 5*aot")))
     out = rows.join(aot).withColumn("readiness", score.cast("long"))
     label = F.when(F.col("readiness") >= 80, "Near-ready").when(F.col("readiness") >= 50, "Work needed").otherwise("Not ready")
@@ -224,7 +225,7 @@ def dead_components(graph: Graph) -> DataFrame:
 def deprecated_usage(graph: Graph) -> DataFrame:
     """Deprecated nodes and their callers: (id, caller), caller null if there is none."""
     old = by_annotation(graph, "Deprecated").select("id")
-    calls = graph.links("CALLS", "ROUTES_TO").select(F.col("target_id").alias("id"), F.col("source_id").alias("caller"))
+    calls = graph.links("CALLS").select(F.col("target_id").alias("id"), F.col("source_id").alias("caller"))
     return old.join(calls, "id", "left")
 
 
@@ -236,23 +237,38 @@ def simulate_injection(beans: DataFrame, interface: str, qualifier: str | None =
     """
     fits = beans.where((F.col("qualified_name") == interface) | F.array_contains("interfaces", interface))
     asked = F.lit(False) if not (qualifier or "").strip() else (F.col("qualifier") == qualifier) | (F.col("bean_name") == qualifier)
-    every = Window.partitionBy(F.lit(1))
-    rank = F.when(F.count("*").over(every) == 1, 0).when(F.coalesce(asked, F.lit(False)), 1).when(F.col("is_primary"), 2)
-    rows = fits.withColumn("rank", rank).withColumn("best", F.min("rank").over(every))
-    first = F.row_number().over(every.orderBy(F.col("rank").asc_nulls_last(), "qualified_name")) == 1
-    taken = first & F.col("best").isNotNull()
-    return rows.select("qualified_name", "bean_name", "is_primary", taken.alias("resolved"), F.col("best").isNull().alias("ambiguous"))
+    order = F.struct(F.when(F.coalesce(asked, F.lit(False)), 1).when(F.col("is_primary"), 2).otherwise(3).alias("rank"), "qualified_name")
+    # one row: the best candidate and how many there are
+    best = fits.agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 0")
+    settled = (F.col("n") == 1) | (F.col("best.rank") < 3)
+    rows = fits.join(F.broadcast(best))
+    return rows.select("qualified_name", "bean_name", "is_primary", (settled & (F.col("qualified_name") == F.col("best.qualified_name"))).alias("resolved"), (~settled).alias("ambiguous"))
 
 
-def provenance(commits: DataFrame) -> DataFrame:
+def provenance(commits: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """Commits against the signing policy: (hash8, message, violation), compliant ones left out.
 
-    commits has hash, message, signature (GPG, SSH or null). GPG is forbidden, SSH is required.
+    commits has hash, message, signature (GPG, SSH or null) and, where keys are allowed only from a
+    list, key. GPG is forbidden, SSH is required; an empty list takes every key.
     """
     v = F.when(F.col("signature") == "GPG", "GPG_FORBIDDEN").when(F.coalesce("signature", F.lit("")) != "SSH", "MISSING_SIGNATURE")
+    if allowed:
+        v = F.coalesce(v, F.when(~F.coalesce(F.col("key").isin(*allowed), F.lit(False)), "UNAUTHORIZED_KEY"))
     return commits.select(F.substring("hash", 1, 8).alias("hash8"), "message", v.alias("violation")).where("violation is not null")
 
 
+def provenance_summary(violations: DataFrame) -> DataFrame:
+    """(violation, n, compliant) of provenance(): counts by kind, or one row `NONE` that says compliant."""
+    counts = violations.groupBy("violation").agg(F.count("*").alias("n"))
+    none = violations.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("NONE").alias("violation"), "n", F.lit(True).alias("compliant"))
+    return counts.withColumn("compliant", F.lit(False)).unionByName(none)
+
+
+def recent_commits(commits: DataFrame, n: int) -> DataFrame:
+    """The n latest commits (at, then hash): how many is the feature."""
+    return commits.orderBy(F.desc("at"), "hash").limit(n)
+
+
 def string_usage(lines: DataFrame, pattern: str, limit: int | None = 500) -> DataFrame:
     """Lines that hold a text, or match `regex:` + a pattern: (file, line, content).
 
@@ -266,23 +282,57 @@ def string_usage(lines: DataFrame, pattern: str, limit: int | None = 500) -> Dat
 
 # Field types whose mutable use in singletons is a risk, by severity.
 RISKY = {
-    "HIGH": ("HashMap", "LinkedHashMap", "TreeMap"),
+    "HIGH": ("HashMap",),
+    "MEDIUM": (
+        "ArrayList", "HashSet", "LinkedList", "ArrayDeque", "StringBuilder", "SimpleDateFormat", "DateFormat", "Random", "Integer", "Long", "Double",
+        "Float", "Boolean",
+    ),
     "LOW": ("int", "long", "double", "float", "boolean", "String", "Date"),
-    "MEDIUM": ("ArrayList", "LinkedList", "HashSet", "LinkedHashSet", "TreeSet", "Map", "List", "Set", "Collection", "StringBuilder", "SimpleDateFormat", "Calendar"),
 }
 
 
 def thread_safety(lines: DataFrame, singletons: DataFrame) -> DataFrame:
     """Mutable private fields of singleton classes: (file, line, class, field_type, severity).
 
-    lines has file and text, singletons a column class of simple names.
+    lines has file and text, singletons a column class of names, with or without packages.
     """
-    rows = lines.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+    rows = lines.select("file", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     named = F.nullif(F.regexp_extract("raw", r"\bclass\s+(\w+)", 1), F.lit(""))
     order = Window.partitionBy("file").orderBy("at")
     rows = rows.withColumn("class", F.last(named, ignorenulls=True).over(order))
     types = "|".join(t for group in RISKY.values() for t in group)
-    field = F.regexp_extract("raw", rf"^\s*private\s+(?!final\b)(?:static\s+)?(?!final\b)({types})\b(?:<[^=;]*>)?\s+\w+\s*[=;]", 1)
+    field = F.regexp_extract("raw", rf"\bprivate\s+(?!(?:\w+\s+)*final\b)(?:(?:static|volatile|transient)\s+)*({types})\b(?:<[^=;]*>)?\s+\w+", 1)
     kind = F.coalesce(*(F.when(F.col("field_type").isin(*v), k) for k, v in RISKY.items()))
-    hits = rows.withColumn("field_type", field).where("field_type <> ''").join(singletons.select("class").distinct(), "class", "left_semi")
+    simple = singletons.select(F.substring_index("class", ".", -1).alias("class")).distinct()
+    hits = rows.withColumn("field_type", field).where("field_type <> ''").join(simple, "class", "left_semi")
     return hits.select("file", (F.col("at") + 1).cast("long").alias("line"), "class", "field_type", kind.alias("severity"))
+
+
+def singletons(graph: Graph) -> DataFrame:
+    """Classes of which there is one instance: (class)."""
+    return graph.of("SERVICE", "COMPONENT", "CONTROLLER").select(F.col("name").alias("class"))
+
+
+def auth_rules(graph: Graph) -> DataFrame:
+    """(id, name, annotation, expression) of authorisation rules."""
+    return graph.of("AUTH_RULE").select("id", "name", meta.get("annotation").alias("annotation"), meta.get("expression").alias("expression"))
+
+
+def instrumentation(graph: Graph) -> DataFrame:
+    """(instrumented, total) of services and controllers: one row."""
+    return graph.of("SERVICE", "CONTROLLER").agg(F.count(F.when(meta.is_true("instrumented"), 1)).alias("instrumented"), F.count("*").alias("total"))
+
+
+def lookup(graph: Graph, node_id: str) -> DataFrame:
+    """The node of an id."""
+    return graph.nodes.where(F.col("id") == node_id)
+
+
+def by_name(graph: Graph, name: str) -> DataFrame:
+    """The nodes of a name, by id: the first is the one that single lookups take."""
+    return graph.nodes.where(F.col("name") == name).orderBy("id")
+
+
+def websocket(topics: tuple[str, ...] = ("/topic/graph-updates", "/topic/health-updates", "/topic/analysis-progress")) -> dict:
+    """Where live events would be subscribed to: fixed facts of the interface."""
+    return {"endpoint": "/ws", "protocol": "STOMP", "topics": list(topics)}

@@ -11,14 +11,14 @@ from graphlens.functions import meta
 from graphlens.model import EDGE_TYPES, NODE_TYPES, Graph
 from graphlens.operators import audit, traversal
 
-RULE = "rule_id string, severity string, forbidden_edge string, source_type string, target_type string"
+RULE = "rule_id string, severity string, forbidden_edge string, source_type string, target_type string, description string, rationale string"
 # The standard rules.
 STANDARD_RULES = (
-    ("ARCH-001", "ERROR", "INJECTS", "CONTROLLER", "REPOSITORY"),
-    ("ARCH-002", "ERROR", "INJECTS", "CONTROLLER", "DATA_REPOSITORY"),
-    ("ARCH-003", "ERROR", "INJECTS", "REPOSITORY", "SERVICE"),
-    ("ARCH-004", "WARNING", "PUBLISHES_TO", "CONTROLLER", "MESSAGE_TOPIC"),
-    ("ARCH-005", "WARNING", "CALLS_REMOTE", "CONTROLLER", "EXTERNAL_SERVICE"),
+    ("ARCH-001", "ERROR", "INJECTS", "CONTROLLER", "REPOSITORY", "Controllers do not inject repositories", "Services stand between"),
+    ("ARCH-002", "ERROR", "INJECTS", "CONTROLLER", "DATA_REPOSITORY", "Controllers do not inject data repositories", "Services stand between"),
+    ("ARCH-003", "ERROR", "INJECTS", "REPOSITORY", "SERVICE", "Repositories do not inject services", "Layers depend downwards"),
+    ("ARCH-004", "WARNING", "PUBLISHES_TO", "CONTROLLER", "MESSAGE_TOPIC", "Controllers do not publish messages", "Services own messages"),
+    ("ARCH-005", "WARNING", "CALLS_REMOTE", "CONTROLLER", "EXTERNAL_SERVICE", "Controllers call no external services", "Services own remote calls"),
 )
 # Dimensions in their order.
 DIMENSIONS = (
@@ -27,16 +27,30 @@ DIMENSIONS = (
 )
 
 
+#: Which of the branches of issues() watch observability.
+WATCHING = (0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 0)
+
+
 def standard_rules(spark: SparkSession) -> DataFrame:
     """The rules that always hold."""
     return spark.createDataFrame(list(STANDARD_RULES), RULE)
 
 
-def add_rule(rules: DataFrame, rule_id: str, severity: str, edge: str, source: str, target: str) -> DataFrame:
+def add_rule(rules: DataFrame, rule_id: str, severity: str, edge: str, source: str, target: str, description: str = "", rationale: str = "") -> DataFrame:
     """The rules and one more; unknown types are an error."""
     if edge not in EDGE_TYPES or source not in NODE_TYPES or target not in NODE_TYPES:
         raise ValueError(f"unknown type in rule {rule_id}")
-    return rules.unionByName(rules.sparkSession.createDataFrame([(rule_id, severity, edge, source, target)], RULE))
+    return rules.unionByName(rules.sparkSession.createDataFrame([(rule_id, severity, edge, source, target, description, rationale)], RULE))
+
+
+def remove_rule(rules: DataFrame, rule_id: str) -> DataFrame:
+    """The rules without those of an id."""
+    return rules.where(F.col("rule_id") != rule_id)
+
+
+def list_rules(rules: DataFrame) -> DataFrame:
+    """The rules by id."""
+    return rules.orderBy("rule_id", "severity")
 
 
 def rule_violations(graph: Graph, rules: DataFrame) -> DataFrame:
@@ -48,11 +62,17 @@ def rule_violations(graph: Graph, rules: DataFrame) -> DataFrame:
     return rows.select("rule_id", "severity", "source_id", "target_id")
 
 
-def _issues(rows: DataFrame, dimension: int, node: Column, reason: str, penalty: Column | int, risk: int, level: str) -> DataFrame:
-    penalty = F.lit(penalty) if isinstance(penalty, int) else penalty
+def rule_counts(violations: DataFrame) -> DataFrame:
+    """(violations, errors, warnings) of rule_violations(): one row."""
+    n = lambda level: F.count(F.when(F.col("severity") == level, 1))
+    return violations.agg(F.count("*").alias("violations"), n("ERROR").alias("errors"), n("WARNING").alias("warnings"))
+
+
+def _issues(rows: DataFrame, dimension: int, node: Column, reason: str, penalty: Column | int, risk: Column | int, level: Column | str) -> DataFrame:
+    penalty, risk, level = (v if isinstance(v, Column) else F.lit(v) for v in (penalty, risk, level))
     return rows.select(
         F.lit(DIMENSIONS[dimension]).alias("dimension"), node.alias("node_id"), F.lit(reason).alias("reason"),
-        penalty.cast("long").alias("penalty"), F.lit(risk).cast("long").alias("risk"), F.lit(level).alias("level"),
+        penalty.cast("long").alias("penalty"), risk.cast("long").alias("risk"), level.alias("level"),
     )
 
 
@@ -60,7 +80,13 @@ def issues(graph: Graph, longest_cycle: int = 4) -> DataFrame:
     """Every finding with its penalty: (dimension, node_id, reason, penalty, risk, level)."""
     ids, src = F.col("id"), F.col("source_id")
     open_ends = audit.unsecured_endpoints(graph)
-    critical = F.col("severity") == "CRITICAL"
+    critical, error = F.col("severity") == "CRITICAL", F.col("severity") == "ERROR"
+    short = traversal.cycles(graph, longest_cycle)
+    # components that no listed cycle lies in: their cycles are longer
+    knotted = traversal.on_cycles(graph)
+    listed = short.select(F.explode(F.split("path", " -> ")).alias("id")).distinct()
+    seen = knotted.join(listed, "id", "left_semi").select("component").distinct()
+    long = knotted.join(seen, "component", "left_anti").select("component").distinct()
     watched = graph.links("MEASURES", "TRACES").select(F.col("source_id").alias("id")).distinct()
     classes = graph.of("SERVICE", "CONTROLLER")
     retry = graph.of("PROXY").where(F.coalesce(meta.get("PROXY_STEREOTYPE"), F.lit("")).rlike("RETRY|CIRCUIT_BREAKER_INTERCEPTOR"))
@@ -74,8 +100,9 @@ def issues(graph: Graph, longest_cycle: int = 4) -> DataFrame:
     flags = graph.of("SECURITY_FLAG").where(F.col("name") == "CSRF_DISABLED")
     rules = rule_violations(graph, standard_rules(graph.nodes.sparkSession))
     parts = [
-        _issues(traversal.cycles(graph, longest_cycle), 0, F.col("path"), "dependency cycle", 20, 40, "MEDIUM"),
-        _issues(open_ends, 1, ids, "unsecured endpoint", F.when(critical, 25).otherwise(15), 90, "CRITICAL"),
+        _issues(short, 0, F.col("path"), "dependency cycle", 20, 40, "MEDIUM"),
+        _issues(long, 0, F.col("component"), "long dependency cycle", 20, 40, "MEDIUM"),
+        _issues(open_ends, 1, ids, "unsecured endpoint", F.when(critical, 25).otherwise(15), F.when(critical, 90).otherwise(70), F.col("severity")),
         _issues(flags, 1, ids, "CSRF disabled", 20, 75, "HIGH"),
         _issues(unguarded, 2, src, "remote call without retry", 15, 55, "MEDIUM"),
         _issues(audit.untested_components(graph), 3, ids, "untested", 5, 35, "MEDIUM"),
@@ -85,8 +112,11 @@ def issues(graph: Graph, longest_cycle: int = 4) -> DataFrame:
         _issues(remote.join(traced, "source_id", "left_anti"), 4, src, "untraced remote call", 12, 12, "HIGH"),
         _issues(audit.undocumented_endpoints(graph), 5, ids, "undocumented endpoint", 10, 30, "LOW"),
         _issues(audit.undefined_properties(graph), 5, ids, "undefined property", 8, 80, "HIGH"),
-        _issues(rules, 6, src, "rule violation", F.when(F.col("severity") == "ERROR", 20).otherwise(10), 20, "HIGH"),
+        _issues(rules, 6, src, "rule violation", F.when(error, 20).otherwise(10), F.when(error, 20).otherwise(10), F.when(error, "HIGH").otherwise("MEDIUM")),
     ]
+    if classes.isEmpty():
+        # nothing to observe
+        parts = [p for p, n in zip(parts, WATCHING, strict=True) if not n]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -112,6 +142,27 @@ def health(graph: Graph, longest_cycle: int = 4) -> DataFrame:
     return scores.withColumn("note", advice).unionByName(overall)
 
 
+def recommendations(scores: DataFrame) -> DataFrame:
+    """(dimension, advice) of the dimensions under 80, or one line that says that all are healthy; scores as dimension_scores()."""
+    poor = scores.where("score < 80")
+    text = F.format_string("%s: %s score is %d — address %d issues", F.when(F.col("score") < 60, "CRITICAL").otherwise("IMPROVE"), "dimension", "score", "n_issues")
+    fine = scores.agg(F.min("score").alias("least")).where("least >= 80")
+    return poor.select("dimension", text.alias("advice")).unionByName(fine.select(F.lit("ALL").alias("dimension"), F.lit("Architecture is healthy").alias("advice")))
+
+
+def gate(graph: Graph, least: int = 65, longest_cycle: int = 4) -> DataFrame:
+    """A health report for a build: (passed, report), report as JSON with score, counts, dimensions, critical issues and advice."""
+    found = issues(graph, longest_cycle)
+    scores = dimension_scores(found)
+    dims = scores.agg(F.round(F.avg("score")).cast("long").alias("overallScore"), F.array_sort(F.collect_list(F.struct("dimension", "score"))).alias("dimensions"))
+    top = found.where("level = 'CRITICAL'").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("nodeId"), "reason", F.col("risk").alias("score"), "level"))).alias("criticalIssues"))
+    advice = recommendations(scores).agg(F.array_sort(F.collect_list("advice")).alias("recommendations"))
+    counts = graph.nodes.agg(F.count("*").alias("nodeCount")).join(graph.edges.agg(F.count("*").alias("edgeCount")))
+    # one row each
+    row = dims.join(counts).join(top).join(advice)
+    return row.select((F.col("overallScore") >= least).alias("passed"), F.to_json(F.struct(*row.columns)).alias("report"))
+
+
 def backlog(graph: Graph, levels: tuple[str, ...] | None = None, longest_cycle: int = 4) -> DataFrame:
     """Issues to remediate, the worst dimensions first, with the words a fixer is given.
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from graphlens.model import Graph
 from graphlens.storage import settle
 
-#: Hops after which an unbounded closure raises instead of going on.
-MAX_HOPS = 200
-
 
 def resolve_id(graph: Graph, name: str) -> DataFrame:
     """The id of a class: `class:` + name if there is such a node, else the least id with that name."""
@@ -26,29 +23,56 @@ def _steps(edges: DataFrame, both_ways: bool) -> DataFrame:
     return (out.union(back) if both_ways else out).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int | None, both_ways: bool = False, expand: DataFrame | None = None) -> DataFrame:
-    """(seed, id, depth): ids within `hops` of each seed, the seed at depth 0; None: to the end.
+def reach(edges: DataFrame, seeds: DataFrame, hops: int | None, both_ways: bool = False, expand: DataFrame | None = None, per_seed: bool = True) -> DataFrame:
+    """(seed, id, depth): ids within `hops` of each seed, the seed at depth 0; None: until nothing new is met.
 
     seeds has column id. expand, if given, holds the ids (column id) from which the walk goes on.
-    Dangling ids are walked through like any others.
+    Dangling ids are walked through like any others. Without per_seed an id comes once, with its
+    distance from the nearest seed, and seed is null: the walk then never holds more rows than ids.
     """
     steps = settle(_steps(edges, both_ways), "steps")
-    front = settle(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).cast("long").alias("depth")).distinct(), "front")
-    parts = [front]
-    for hop in range(1, (hops if hops is not None else MAX_HOPS) + 1):
+    seed = F.col("id") if per_seed else F.lit(None).cast("string")
+    key = ["seed", "id"] if per_seed else ["id"]
+    front = settle(seeds.select(seed.alias("seed"), "id", F.lit(0).cast("long").alias("depth")).distinct(), "front")
+    parts, hop = [front], 0
+    while hops is None or hop < hops:
+        hop += 1
         going = front if expand is None or hop == 1 else front.join(expand, "id", "left_semi")
         found = going.join(steps, F.col("id") == F.col("from_id")).select("seed", F.col("to_id").alias("id")).distinct()
-        seen = reduce(DataFrame.union, parts).select("seed", "id")
-        front = settle(found.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(hop).cast("long")), "front")
+        seen = reduce(DataFrame.union, parts).select(*key)
+        front = settle(found.join(seen, key, "left_anti").withColumn("depth", F.lit(hop).cast("long")).select("seed", "id", "depth"), "front")
         if front.isEmpty():
             break
         parts.append(front)
-    else:
-        if hops is None:
-            raise RuntimeError(f"closure goes on after {MAX_HOPS} hops")
+        if len(parts) > 16:
+            # long walks read their past as one table
+            parts = [settle(reduce(DataFrame.union, parts), "walked")]
     return reduce(DataFrame.union, parts)
 
 
+def reach_of_several(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(id, depth, other): ids within `hops` of any seed, and whether a seed other than the id itself reaches it.
+
+    Each id keeps the two nearest of the seeds that reach it: they decide both, so the walk holds at
+    most two rows an id however many seeds there are.
+    """
+    steps = settle(_steps(edges, True), "steps")
+    held = settle(seeds.select("id", F.col("id").alias("seed"), F.lit(0).cast("long").alias("depth")).distinct(), "held")
+    front = held
+    for hop in range(1, hops + 1):
+        found = front.join(steps, F.col("id") == F.col("from_id")).groupBy(F.col("to_id").alias("id")).agg(F.min("seed").alias("a"), F.max("seed").alias("b"))
+        found = found.select("id", F.explode(F.array_distinct(F.array("a", "b"))).alias("seed"))
+        full = held.groupBy("id").agg(F.count("*").alias("n"), F.min("seed").alias("one"))
+        new = found.join(full, "id", "left").where(F.col("n").isNull() | (F.col("n") == 1) & (F.col("seed") != F.col("one")))
+        new = new.groupBy("id", "n").agg(F.min("seed").alias("a"), F.max("seed").alias("b"))
+        new = new.select("id", F.explode(F.when(F.col("n") == 1, F.array("a")).otherwise(F.array_distinct(F.array("a", "b")))).alias("seed"))
+        front = settle(new.withColumn("depth", F.lit(hop).cast("long")), "front")
+        if front.isEmpty():
+            break
+        held = settle(held.unionByName(front), "held")
+    return held.groupBy("id").agg(F.min("depth").alias("depth"), F.max(F.col("seed") != F.col("id")).alias("other"))
+
+
 def _details(graph: Graph, ids: DataFrame) -> DataFrame:
     return ids.join(graph.nodes.select("id", "name", "type"), "id")
 
@@ -59,15 +83,15 @@ def blast_radius(graph: Graph, name: str, depth: int = 3) -> DataFrame:
     The class is first closed over IMPLEMENTS, EXTENDS and CALLS; every member of the closure then
     looks `depth` edges around in both directions and does not count itself.
     """
-    closure = reach(graph.links("IMPLEMENTS", "EXTENDS", "CALLS"), resolve_id(graph, name), None).select("id").distinct()
-    around = reach(graph.edges, closure, depth, both_ways=True).where("depth > 0")
-    return _details(graph, around.select("id").distinct())
+    closure = reach(graph.links("IMPLEMENTS", "EXTENDS", "CALLS"), resolve_id(graph, name), None, per_seed=False).select("id")
+    around = reach_of_several(graph.edges, closure, depth)
+    return _details(graph, around.where("other").select("id"))
 
 
 def transaction_boundaries(graph: Graph, name: str, depth: int = 5) -> DataFrame:
     """Transactional proxies on the calls of a class: (id, depth), the depth of the calling node."""
     calls = graph.links("CALLS")
-    callers = reach(calls, resolve_id(graph, name), depth).select("id", "depth")
+    callers = reach(calls, resolve_id(graph, name), depth, per_seed=False).select("id", "depth")
     proxies = graph.of("PROXY").where(F.coalesce(F.col("metadata")["PROXY_STEREOTYPE"], F.lit("")).contains("TRANSACTION_INTERCEPTOR"))
     hits = callers.join(calls, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id"), "depth")
     return hits.join(proxies.select("id"), "id", "left_semi").groupBy("id").agg(F.min("depth").alias("depth"))
@@ -79,7 +103,7 @@ def transaction_scope(graph: Graph, name: str) -> DataFrame:
     The walk follows CALLS and goes on from services and proxies only.
     """
     through = graph.of("SERVICE", "PROXY").select("id")
-    ids = reach(graph.links("CALLS"), resolve_id(graph, name), None, expand=through).select("id", "depth")
+    ids = reach(graph.links("CALLS"), resolve_id(graph, name), None, expand=through, per_seed=False).select("id", "depth")
     remote = graph.links("CALLS_REMOTE").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("remote_calls"))
     return _details(graph, ids).join(remote, "id", "left").withColumn("remote_calls", F.coalesce("remote_calls", F.lit(0)).cast("long"))
 
@@ -90,9 +114,9 @@ def request_flow(graph: Graph, verb: str, path: str, depth: int | None = None) -
     depth bounds the hops; None walks to the end.
     """
     start = graph.of("CONTROLLER_ENDPOINT").where(
-        (F.upper(F.col("metadata")["httpMethod"]) == verb.upper()) & (F.col("metadata")["path"] == path)
+        (F.upper(F.col("metadata")["httpVerb"]) == verb.upper()) & (F.col("metadata")["path"] == path)
     )
-    ids = reach(graph.links("ROUTES_TO", "CALLS", "INJECTS", "IMPLEMENTS"), start.select("id"), depth).select("id", "depth")
+    ids = reach(graph.links("ROUTES_TO", "CALLS", "INJECTS", "IMPLEMENTS"), start.select("id"), depth, per_seed=False).select("id", "depth")
     marked = F.coalesce(F.col("metadata")["PROXY_STEREOTYPE"], F.lit("")).contains("TRANSACTION_INTERCEPTOR") | F.coalesce(
         F.col("metadata")["annotations"], F.lit("")
     ).contains("Transactional")
@@ -105,7 +129,7 @@ def data_flow(graph: Graph, name: str, depth: int = 5) -> DataFrame:
     real = graph.nodes.select("id")
     edges = graph.links("MAPS_TO", "CALLS", "RETURNS", "ACCEPTS")
     edges = edges.join(real.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", "type")
-    ids = reach(edges, starts, depth).groupBy("id").agg(F.min("depth").alias("depth"))
+    ids = reach(edges, starts, depth, per_seed=False).select("id", "depth")
     sinks = graph.links("RETURNS", "MAPS_TO").select(F.col("target_id").alias("id")).distinct().withColumn("sink", F.lit(True))
     return _details(graph, ids).join(sinks, "id", "left").withColumn("sink", F.coalesce("sink", F.lit(False)) & (F.col("depth") > 0))
 
@@ -129,6 +153,49 @@ def cycles(graph: Graph, longest: int = 4, kind: str = "INJECTS") -> DataFrame:
     return every.select("length", F.concat(F.array_join("path", " -> "), F.lit(" -> "), F.get("path", F.lit(0))).alias("path")).distinct()
 
 
+def on_cycles(graph: Graph, kind: str = "INJECTS") -> DataFrame:
+    """(id, component): every node on a cycle of any length, with the least id of its strongly connected component.
+
+    Rounds: nodes that no edge enters or leaves go until none does; the least id that reaches a node
+    is its colour; what reaches the node of that id inside the colour is that node's component. Edges
+    between different colours are on no cycle and go, and the rest is coloured again.
+    """
+    rest = settle(graph.links(kind).select("source_id", "target_id").distinct(), "cycle-edges")
+    out = None
+    while not rest.isEmpty():
+        count, left = rest.count(), None
+        while left != count:
+            left = count
+            inner = rest.join(rest.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
+            inner = inner.join(rest.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi")
+            rest = settle(inner.select("source_id", "target_id"), "cycle-edges")
+            count = rest.count()
+        if not count:
+            break
+        colours = rest.select(F.col("source_id").alias("id")).distinct().withColumn("colour", F.col("id"))
+        changed = 1
+        while changed:
+            lower = rest.join(colours, F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("id")).agg(F.min("colour").alias("least"))
+            both = settle(colours.join(lower, "id", "left").select("id", F.coalesce(F.least("colour", "least"), "colour").alias("colour"), (F.col("least") < F.col("colour")).alias("new")), "cycle-colours")
+            changed, colours = both.where("new").count(), both.select("id", "colour")
+        a, b = colours.toDF("source_id", "from_colour"), colours.toDF("target_id", "to_colour")
+        same = settle(rest.join(a, "source_id").join(b, "target_id").where("from_colour = to_colour").select("source_id", "target_id", F.col("from_colour").alias("colour")), "cycle-same")
+        back = same.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+        found = reach(back, colours.where("id = colour").select("id"), None, per_seed=False).select("id").distinct()
+        found = settle(found.join(colours, "id").select("id", F.col("colour").alias("component")), "cycle-found")
+        # a component of one node is a cycle only by an edge to itself
+        whole = found.join(same.select(F.col("source_id").alias("id"), F.col("colour").alias("component")).distinct(), ["id", "component"], "left_semi")
+        sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+        loops = same.where("source_id = target_id").select(F.col("source_id").alias("id"), F.lit(True).alias("loop"))
+        whole = whole.join(sizes, "component").join(loops.distinct(), "id", "left").where((F.col("n") > 1) | F.col("loop")).select("id", "component")
+        out = whole if out is None else out.unionByName(whole)
+        for end in ("source_id", "target_id"):
+            same = same.join(found.select(F.col("id").alias(end)), end, "left_anti")
+        rest = settle(same.select("source_id", "target_id"), "cycle-edges")
+    none = graph.edges.sparkSession.createDataFrame([], "id string, component string")
+    return none if out is None else settle(out, "cycle-components")
+
+
 def neighbours(graph: Graph, node_id: str) -> DataFrame:
     """Edges at a node: (direction, other_id, type)."""
     out = graph.edges.where(F.col("source_id") == node_id).select(F.lit("out").alias("direction"), F.col("target_id").alias("other_id"), "type")

@@ -100,7 +100,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _table(spark, sf_dir, "orders").where("o_orderkey = 1").select(endpoint_id().alias("e")).first()["e"]
     _, verb, path, _ = first.split(":")
-    return traversal.request_flow(stored(spark, sf_dir), verb, path, 3)
+    return traversal.request_flow(stored(spark, sf_dir), verb, path)
 
 
 def string_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +151,14 @@ def queries() -> dict[str, Query]:
         "export_dot": _graph(lambda g: graph_files.export(g, "dot")),
         "export_cypher": _graph(lambda g: graph_files.export(g, "cypher")),
         "dependency_cycles": _graph(traversal.cycles),
+        "cyclic_classes": _graph(traversal.on_cycles),
+        "authorization_rules": _graph(audit.auth_rules),
+        "instrumented_services": _graph(audit.instrumentation),
+        "rule_counts": _graph(lambda g: health.rule_counts(health.rule_violations(g, health.standard_rules(g.nodes.sparkSession)))),
+        "provenance_summary": lambda spark, sf_dir: audit.provenance_summary(git_provenance(spark, sf_dir)),
+        "node_by_name": _graph(lambda g: audit.by_name(g, "order 1").select("id", "name", "type")),
         "architectural_health": _graph(health.health),
-        "remediation_backlog": _graph(lambda g: health.backlog(g, ("CRITICAL",))),
+        "remediation_backlog": _graph(health.backlog),
         "fix_context": _graph(lambda g: health.fix_context(g, "class:s3", "untested")),
         "blast_radius": _graph(lambda g: traversal.blast_radius(g, "c0", 3)),
         "transaction_boundaries": _graph(lambda g: traversal.transaction_boundaries(g, "c0", 5)),

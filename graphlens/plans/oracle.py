@@ -8,7 +8,7 @@ _NATIVE = "CASE lang WHEN 'de' THEN 'Uses reflection' WHEN 'fr' THEN 'Creates dy
 _STEREO = "concat_ws(',', CASE WHEN s_suppkey % 3 = 0 THEN 'TRANSACTION_INTERCEPTOR' END, CASE WHEN s_suppkey % 5 = 0 THEN 'RETRY_INTERCEPTOR' END)"
 _PROXIED = "s_suppkey % 3 = 0 OR s_suppkey % 5 = 0"
 
-PRELUDE = f"""WITH RECURSIVE n0 AS (
+PRELUDE = f"""WITH RECURSIVE nodes AS MATERIALIZED (
   SELECT 'module:r' || r_regionkey AS id, r_name AS name, 'MODULE' AS type, r_name AS artifact, NULL AS file, NULL AS ann, NULL AS instr, NULL AS proxy, NULL AS verb, NULL AS path, NULL AS spec, NULL AS dflt, NULL AS version, NULL AS severity, NULL AS issue FROM region
   UNION ALL BY NAME SELECT 'module:n' || n_nationkey AS id, n_name AS name, 'MODULE' AS type, n_name AS artifact FROM nation
   UNION ALL BY NAME SELECT 'class:c' || c_custkey AS id, c_name AS name, 'CONTROLLER' AS type, c_mktsegment || '.java' AS file, 'RestController' || CASE WHEN c_custkey % 10 = 0 THEN ',Deprecated' ELSE '' END AS ann FROM customer
@@ -35,9 +35,9 @@ PRELUDE = f"""WITH RECURSIVE n0 AS (
   UNION ALL BY NAME SELECT 'perf:issue:' || doc_id AS id, 'N+1 query' AS name, 'PERFORMANCE_ISSUE' AS type, 'HIGH' AS severity FROM labels JOIN documents USING (doc_id) WHERE quality = 0
   UNION ALL BY NAME SELECT 'perf:hint:' || doc_id AS id, 'cacheable' AS name, 'PERFORMANCE_HINT' AS type, 'LOW' AS severity FROM labels JOIN documents USING (doc_id) WHERE quality = 1
   UNION ALL BY NAME SELECT 'compat_issue:' || doc_id AS id, {_NATIVE} AS name, 'COMPATIBILITY_ISSUE' AS type, {_NATIVE} AS issue FROM labels JOIN documents USING (doc_id) WHERE toxic = 1
-), nodes AS (SELECT * FROM n0), ol AS (SELECT * FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+), ol AS (SELECT * FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 op AS (SELECT * FROM ol JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50),
-edges AS (
+edges AS MATERIALIZED (
   SELECT 'module:n' || n_nationkey AS s, 'module:r' || n_regionkey AS t, 'DEPENDS_ON' AS type FROM nation
   UNION SELECT {_EP}, 'class:c' || o_custkey, 'ROUTES_TO' FROM orders
   UNION SELECT {_EP}, 'auth_rule:O', 'SECURED_BY' FROM orders WHERE o_orderstatus = 'O'
@@ -82,10 +82,20 @@ c4 AS (SELECT x.s a, x.t b, y.t c, z.t d FROM inj x JOIN inj y ON x.t = y.s JOIN
   WHERE x.s < x.t AND x.s < y.t AND x.s < z.t AND x.t <> y.t AND y.t <> z.t AND x.t <> z.t),
 cyc AS (SELECT CAST(1 AS BIGINT) AS length, a || ' -> ' || a AS path FROM c1 UNION SELECT 2, a || ' -> ' || b || ' -> ' || a FROM c2
   UNION SELECT 3, a || ' -> ' || b || ' -> ' || c || ' -> ' || a FROM c3 UNION SELECT 4, a || ' -> ' || b || ' -> ' || c || ' -> ' || d || ' -> ' || a FROM c4)"""
+#: Classes on cycles: all of the projection's cycles go from services to parts and back.
+_KNOTS = """ss AS (SELECT DISTINCT x.s AS a, y.t AS b FROM inj x JOIN inj y ON x.t = y.s WHERE x.s LIKE 'class:s%' AND y.t LIKE 'class:s%'),
+sr AS (SELECT a, b FROM ss UNION SELECT sr.a, ss.b FROM sr JOIN ss ON sr.b = ss.a),
+scc AS (SELECT f.a AS id, min(f.b) AS root FROM sr f JOIN sr g ON g.a = f.b AND g.b = f.a GROUP BY f.a),
+member AS (SELECT id, root FROM scc
+  UNION SELECT x.t, c.root FROM inj x JOIN scc c ON c.id = x.s JOIN inj y ON y.s = x.t JOIN scc d ON d.id = y.t AND d.root = c.root),
+comp AS (SELECT root, min(id) AS least FROM member GROUP BY root)"""
+_LONG = """short AS (SELECT a AS id FROM c2 UNION SELECT b FROM c2 UNION SELECT a FROM c4 UNION SELECT b FROM c4 UNION SELECT c FROM c4 UNION SELECT d FROM c4),
+long AS (SELECT least FROM comp WHERE root NOT IN (SELECT root FROM scc JOIN short USING (id)))"""
 _GUARDED = "SELECT t FROM edges WHERE type = 'CALLS' AND s IN (SELECT id FROM nodes WHERE type = 'PROXY' AND regexp_matches(proxy, 'RETRY|CIRCUIT_BREAKER_INTERCEPTOR'))"
 _ISSUES = (
     "iss AS (SELECT 'DEPENDENCY_HEALTH' AS dimension, path AS node_id, 'dependency cycle' AS reason, 20 AS penalty, 'MEDIUM' AS level FROM cyc"
-    f" UNION ALL SELECT 'SECURITY_HEALTH', id, 'unsecured endpoint', CASE severity WHEN 'CRITICAL' THEN 25 ELSE 15 END, 'CRITICAL' FROM ({_UNSECURED})"
+    f" UNION ALL SELECT 'SECURITY_HEALTH', id, 'unsecured endpoint', CASE severity WHEN 'CRITICAL' THEN 25 ELSE 15 END, severity FROM ({_UNSECURED})"
+    " UNION ALL SELECT 'DEPENDENCY_HEALTH', least, 'long dependency cycle', 20, 'MEDIUM' FROM long"
     " UNION ALL SELECT 'SECURITY_HEALTH', id, 'CSRF disabled', 20, 'HIGH' FROM nodes WHERE type = 'SECURITY_FLAG'"
     f" UNION ALL SELECT 'RESILIENCE_HEALTH', s, 'remote call without retry', 15, 'MEDIUM' FROM edges WHERE type = 'CALLS_REMOTE' AND t IN (SELECT id FROM nodes) AND s NOT IN ({_GUARDED})"
     f" UNION ALL SELECT 'TEST_HEALTH', id, 'untested', 5, 'MEDIUM' FROM ({_UNTESTED})"
@@ -95,7 +105,7 @@ _ISSUES = (
     " UNION ALL SELECT 'OBSERVABILITY_HEALTH', s, 'untraced remote call', 12, 'HIGH' FROM edges WHERE type = 'CALLS_REMOTE' AND s NOT IN (SELECT s FROM edges WHERE type = 'TRACES')"
     f" UNION ALL SELECT 'CONTRACT_HEALTH', id, 'undocumented endpoint', 10, 'LOW' FROM ({_UNDOCUMENTED})"
     f" UNION ALL SELECT 'CONTRACT_HEALTH', id, 'undefined property', 8, 'HIGH' FROM ({_UNDEFINED})"
-    f" UNION ALL SELECT 'ARCHITECTURE_RULES_HEALTH', source_id, 'rule violation', CASE severity WHEN 'ERROR' THEN 20 ELSE 10 END, 'HIGH' FROM ({_VIOLATIONS.format(more='')})),"
+    f" UNION ALL SELECT 'ARCHITECTURE_RULES_HEALTH', source_id, 'rule violation', CASE severity WHEN 'ERROR' THEN 20 ELSE 10 END, CASE severity WHEN 'ERROR' THEN 'HIGH' ELSE 'MEDIUM' END FROM ({_VIOLATIONS.format(more='')})),"
     " dims AS (SELECT dimension, CAST(count(node_id) AS BIGINT) AS n_issues, CAST(greatest(0, 100 - coalesce(sum(penalty), 0)) AS BIGINT) AS score FROM"
     " (VALUES ('DEPENDENCY_HEALTH'),('SECURITY_HEALTH'),('RESILIENCE_HEALTH'),('TEST_HEALTH'),('OBSERVABILITY_HEALTH'),('CONTRACT_HEALTH'),('ARCHITECTURE_RULES_HEALTH')) d(dimension) LEFT JOIN iss USING (dimension) GROUP BY dimension)"
 )
@@ -154,23 +164,29 @@ def oracle_sql() -> dict[str, str]:
         "native_compatibility": sql("SELECT *, CASE WHEN readiness >= 80 THEN 'Near-ready' WHEN readiness >= 50 THEN 'Work needed' ELSE 'Not ready' END AS label FROM (SELECT *, CAST(greatest(0, least(100, 100 - 15*reflection - 12*proxies - 8*resources - 10*scopes - 10*lazies)) AS BIGINT) AS readiness FROM (SELECT count(*) FILTER (contains(i, 'reflect')) AS reflection, count(*) FILTER (contains(i, 'prox')) AS proxies, count(*) FILTER (contains(i, 'resource')) AS resources, count(*) FILTER (contains(i, 'scope')) AS scopes, count(*) FILTER (contains(i, 'lazy')) AS lazies, CAST(0 AS BIGINT) AS aot FROM (SELECT lower(issue) AS i FROM nodes WHERE type = 'COMPATIBILITY_ISSUE')))"),
         "find_by_annotation": sql("SELECT id, name, type FROM nodes WHERE list_contains(string_split(ann, ','), 'Transactional')"),
         "dead_components": sql("SELECT id, name, type, id IN (SELECT t FROM edges WHERE type = 'TESTS') AS tested FROM nodes WHERE type IN ('SERVICE','REPOSITORY','COMPONENT','CONTROLLER') AND id NOT IN (SELECT t FROM edges WHERE type IN ('INJECTS','CALLS','IMPLEMENTS','EXTENDS','PUBLISHES_TO','SUBSCRIBES_FROM','CALLS_REMOTE','USES_CONFIG'))"),
-        "deprecated_usage": sql("SELECT n.id, e.s AS caller FROM nodes n LEFT JOIN edges e ON e.t = n.id AND e.type IN ('CALLS','ROUTES_TO') WHERE list_contains(string_split(n.ann, ','), 'Deprecated')"),
+        "deprecated_usage": sql("SELECT n.id, e.s AS caller FROM nodes n LEFT JOIN edges e ON e.t = n.id AND e.type = 'CALLS' WHERE list_contains(string_split(n.ann, ','), 'Deprecated')"),
         "string_usage": "SELECT file, line, trim(raw, ' ') AS content FROM (SELECT CAST(doc_id AS VARCHAR) AS file, CAST(i AS BIGINT) AS line, string_split(text, chr(10))[i] AS raw FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i)) WHERE contains(raw, 'License') ORDER BY file, line LIMIT 500",
         "simulate_dependency_injection": "SELECT qualified_name, bean_name, is_primary, rank IS NOT NULL AND row_number() OVER (ORDER BY rank NULLS LAST, qualified_name) = 1 AS resolved, min(rank) OVER () IS NULL AS ambiguous FROM (SELECT 'class:s' || s_suppkey AS qualified_name, s_name AS bean_name, s_suppkey % 11 = 0 AS is_primary, CASE WHEN count(*) OVER () = 1 THEN 0 WHEN s_suppkey % 11 = 0 THEN 2 END AS rank FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey = 3)",
         "git_provenance": f"SELECT substr(hash, 1, 8) AS hash8, message, CASE WHEN signature = 'GPG' THEN 'GPG_FORBIDDEN' ELSE 'MISSING_SIGNATURE' END AS violation FROM ({commits}) WHERE signature IS NULL OR signature <> 'SSH'",
         "list_projects": "SELECT substr(sha256('/src/' || r_name), 1, 16) AS id, r_name AS name, '/src/' || r_name AS root, 'PENDING' AS status, count(n_nationkey) AS nodes FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
         "refresh_changes": f"WITH mid AS (SELECT to_timestamp((epoch(min(o_orderdate)) + epoch(max(o_orderdate))) / 2)::TIMESTAMP AS m FROM orders), a AS ({old}), b AS (SELECT o_orderkey AS path, o_totalprice AS size, o_orderstatus AS sha256 FROM orders WHERE o_orderstatus <> 'P'), d AS (SELECT CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.sha256 <> b.sha256 THEN 'modified' END AS change FROM a FULL JOIN b USING (path)) SELECT change, count(*) AS n FROM d WHERE change IS NOT NULL GROUP BY change",
         "snapshot_diff": sql("SELECT 'node_added' AS change, count(*) AS n FROM late UNION ALL SELECT 'edge_added', count(*) FROM edges WHERE s IN (SELECT id FROM late) UNION ALL SELECT 'impacted', count(DISTINCT t) FROM edges WHERE s IN (SELECT id FROM late) AND t IN (SELECT id FROM nodes)", "mid AS (SELECT to_timestamp((epoch(min(o_orderdate)) + epoch(max(o_orderdate))) / 2)::TIMESTAMP AS m FROM orders)", f"late AS (SELECT {_EP} AS id FROM orders WHERE o_orderdate >= (SELECT m FROM mid))"),
+        "authorization_rules": sql("SELECT id, name, CAST(NULL AS VARCHAR) AS annotation, CAST(NULL AS VARCHAR) AS expression FROM nodes WHERE type = 'AUTH_RULE'"),
+        "instrumented_services": sql("SELECT count(*) FILTER (instr = 'true') AS instrumented, count(*) AS total FROM nodes WHERE type IN ('SERVICE','CONTROLLER')"),
+        "rule_counts": sql(f"SELECT count(*) AS violations, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM ({_VIOLATIONS.format(more='')})"),
+        "provenance_summary": f"SELECT CASE WHEN signature = 'GPG' THEN 'GPG_FORBIDDEN' ELSE 'MISSING_SIGNATURE' END AS violation, count(*) AS n, FALSE AS compliant FROM ({commits}) WHERE signature IS NULL OR signature <> 'SSH' GROUP BY 1",
+        "node_by_name": sql("SELECT id, name, type FROM nodes WHERE name = 'order 1'"),
         "export_dot": sql("SELECT 'node' AS part, '\"' || id || '\" [label=\"' || name || '\"];' AS value FROM nodes UNION ALL SELECT 'edge', '\"' || s || '\" -> \"' || t || '\" [label=\"' || type || '\"];' FROM edges"),
         "export_cypher": sql("SELECT 'node' AS part, 'CREATE (:' || type || ' {id: ''' || id || ''', name: ''' || name || '''});' AS value FROM nodes UNION ALL SELECT 'edge', 'MATCH (a {id: ''' || s || '''}), (b {id: ''' || t || '''}) CREATE (a)-[:' || type || ']->(b);' FROM edges"),
+        "cyclic_classes": sql("SELECT m.id, c.least AS component FROM member m JOIN comp c USING (root)", _INJ, _KNOTS),
         "dependency_cycles": sql("SELECT length, path FROM cyc", _INJ, _CYCLES),
-        "architectural_health": sql("SELECT dimension, n_issues, score, CASE WHEN score < 60 THEN 'CRITICAL' WHEN score < 80 THEN 'IMPROVE' ELSE 'healthy' END AS note FROM dims UNION ALL SELECT 'OVERALL', n, sc, CASE WHEN sc >= 90 THEN 'A' WHEN sc >= 80 THEN 'B' WHEN sc >= 70 THEN 'C' WHEN sc >= 60 THEN 'D' ELSE 'F' END FROM (SELECT CAST(sum(n_issues) AS BIGINT) AS n, CAST(round(avg(score)) AS BIGINT) AS sc FROM dims)", _INJ, _CYCLES, _ISSUES),
-        "remediation_backlog": sql("SELECT dimension, score, node_id, reason, level, 'Fix ' || reason || ' of ' || node_id || ' (' || lower(dimension) || ', penalty ' || penalty || ').' AS prompt FROM iss JOIN dims USING (dimension) WHERE level = 'CRITICAL'", _INJ, _CYCLES, _ISSUES),
+        "architectural_health": sql("SELECT dimension, n_issues, score, CASE WHEN score < 60 THEN 'CRITICAL' WHEN score < 80 THEN 'IMPROVE' ELSE 'healthy' END AS note FROM dims UNION ALL SELECT 'OVERALL', n, sc, CASE WHEN sc >= 90 THEN 'A' WHEN sc >= 80 THEN 'B' WHEN sc >= 70 THEN 'C' WHEN sc >= 60 THEN 'D' ELSE 'F' END FROM (SELECT CAST(sum(n_issues) AS BIGINT) AS n, CAST(round(avg(score)) AS BIGINT) AS sc FROM dims)", _INJ, _CYCLES, _KNOTS, _LONG, _ISSUES),
+        "remediation_backlog": sql("SELECT dimension, score, node_id, reason, level, 'Fix ' || reason || ' of ' || node_id || ' (' || lower(dimension) || ', penalty ' || penalty || ').' AS prompt FROM iss JOIN dims USING (dimension)", _INJ, _CYCLES, _KNOTS, _LONG, _ISSUES),
         "fix_context": sql("SELECT 'class:s3' AS node_id, 'untested at class:s3: ' || string_agg(l, '; ' ORDER BY l) AS prompt FROM (SELECT 'out ' || type || ' ' || t AS l FROM edges WHERE s = 'class:s3' UNION ALL SELECT 'in ' || type || ' ' || s FROM edges WHERE t = 'class:s3')"),
         "blast_radius": sql("SELECT DISTINCT n.id, n.name, n.type FROM seen JOIN nodes n USING (id) WHERE seen.depth > 0", closure, _bfs("SELECT s, t FROM edges", "SELECT id FROM clos", 3, both=True)),
         "transaction_boundaries": sql(f"SELECT c.t AS id, CAST(min(depth) AS BIGINT) AS depth FROM seen JOIN edges c ON c.s = seen.id AND c.type = 'CALLS' WHERE c.t IN ({trans}) GROUP BY c.t", _bfs(_calls("'CALLS'"), start, 5)),
         "transaction_scope": sql("SELECT n.id, n.name, n.type, CAST(d AS BIGINT) AS depth, (SELECT count(*) FROM edges r WHERE r.type = 'CALLS_REMOTE' AND r.s = n.id) AS remote_calls FROM (SELECT id, min(depth) AS d FROM sc GROUP BY id) JOIN nodes n USING (id)", "sc AS (SELECT 'class:c0' AS id, 0 AS depth UNION SELECT e.t, depth + 1 FROM sc JOIN edges e ON e.s = sc.id WHERE e.type = 'CALLS' AND depth < 20 AND (depth = 0 OR sc.id IN (SELECT id FROM nodes WHERE type IN ('SERVICE','PROXY'))))"),
-        "request_flow": sql("SELECT n.id, n.name, n.type, CAST(min(depth) AS BIGINT) AS depth, coalesce(contains(any_value(proxy), 'TRANSACTION_INTERCEPTOR'), FALSE) OR coalesce(contains(any_value(ann), 'Transactional'), FALSE) AS transactional FROM seen JOIN nodes n USING (id) GROUP BY n.id, n.name, n.type", _bfs(_calls("'ROUTES_TO','CALLS','INJECTS','IMPLEMENTS'"), f"SELECT {_EP} AS id FROM orders WHERE o_orderkey = 1", 3)),
+        "request_flow": sql("SELECT n.id, n.name, n.type, CAST(min(depth) AS BIGINT) AS depth, coalesce(contains(any_value(proxy), 'TRANSACTION_INTERCEPTOR'), FALSE) OR coalesce(contains(any_value(ann), 'Transactional'), FALSE) AS transactional FROM seen JOIN nodes n USING (id) GROUP BY n.id, n.name, n.type", _bfs(_calls("'ROUTES_TO','CALLS','INJECTS','IMPLEMENTS'"), f"SELECT {_EP} AS id FROM orders WHERE o_orderkey = 1", 40)),
         "data_flow": sql("SELECT n.id, n.name, n.type, CAST(d AS BIGINT) AS depth, d > 0 AND n.id IN (SELECT t FROM edges WHERE type IN ('RETURNS','MAPS_TO')) AS sink FROM (SELECT id, min(depth) AS d FROM seen GROUP BY id) JOIN nodes n USING (id)", _bfs(flow_edges, "SELECT id FROM nodes WHERE contains(name, 'order 1')", 5)),
         "search_architecture": sql("SELECT n.id, n.name, n.type, score FROM (SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM tf JOIN df USING (term), tot WHERE term IN ('transactional', 'service', 'true') GROUP BY id ORDER BY score DESC, id LIMIT 10) JOIN nodes n USING (id)", terms),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import meta
 from graphlens.model import Graph
+from graphlens.storage import settle
 
 # HTTP verbs that stand for the five order priorities.
 VERBS = {"1-URGENT": "POST", "2-HIGH": "PUT", "3-MEDIUM": "GET", "4-NOT SPECIFIED": "DELETE", "5-LOW": "PATCH"}
@@ -81,7 +82,7 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
         _nodes(t["part"], _id("class:p", "p_partkey"), F.col("p_name"), part_type),
         _nodes(proxied, _id("proxy:s", "s_suppkey"), _id("proxy of ", "s_name"), "PROXY", meta.pack(PROXY_STEREOTYPE=stereotypes)),
         _nodes(t["orders"], endpoint_id(), _id("order ", "o_orderkey"), "CONTROLLER_ENDPOINT", meta.pack(
-            httpMethod=verb(), path=_id("/orders/", "o_orderkey"), hasOpenApiSpec=yes(F.col("o_orderstatus") == "F"),
+            httpVerb=verb(), path=_id("/orders/", "o_orderkey"), hasOpenApiSpec=yes(F.col("o_orderstatus") == "F"),
         )),
         _nodes(spark.range(1), F.lit("auth_rule:O"), F.lit("open orders"), "AUTH_RULE"),
         _nodes(t["region"], _id("security_filter_chain:r", "r_regionkey"), F.col("r_name"), "SECURITY_FILTER_CHAIN"),
@@ -105,9 +106,11 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
         _nodes(marked.where("quality = 1"), _id("perf:hint:", "doc_id"), F.lit("cacheable"), "PERFORMANCE_HINT", meta.pack(severity=F.lit("LOW"))),
         _nodes(marked.where("toxic = 1"), _id("compat_issue:", "doc_id"), native, "COMPATIBILITY_ISSUE", meta.pack(issue=native)),
     ]
-    joined = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey"))
+    # the one large join, read by five kinds of edges; its few rows are written once
+    picked = t["lineitem"].where("l_quantity >= 49").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    joined = settle(t["orders"].select("o_orderkey", "o_custkey", "o_orderpriority").join(picked, F.col("o_orderkey") == F.col("l_orderkey")), "order-lines")
     custs, supps, parts = (F.concat(F.lit(p), F.col(c).cast("string")) for p, c in (("class:c", "o_custkey"), ("class:s", "l_suppkey"), ("class:p", "l_partkey")))
-    many = joined.where("l_quantity >= 49")
+    many = joined
     with_part = joined.where("l_quantity = 50").join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
     svc, proxy = _id("class:s", "s_suppkey"), _id("proxy:s", "s_suppkey")
     ext = t["customer"].where("c_mktsegment = 'MACHINERY'")

@@ -1,11 +1,11 @@
-"""Source trees as tables: text files, fingerprints, properties, migrations and Java declarations."""
+"""Source trees as tables: text files, fingerprints and properties."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.model import Graph, fold_edges
+from graphlens.storage import settle
 
 
 def text_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -14,10 +14,28 @@ def text_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
-def fingerprints(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, modified, size, sha256) of the files under a root."""
+def fingerprints(spark: SparkSession, root: str, glob: str = "*", before: DataFrame | None = None) -> DataFrame:
+    """(path, modified, size, sha256) of the files under a root.
+
+    before holds earlier fingerprints: a file of the same time and size keeps its digest, and contents
+    are read from the oldest of the other files on only (the reader skips older ones).
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    listed = rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    if before is None:
+        return rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    kept = listed.join(before.select("path", "modified", "size", "sha256"), ["path", "modified", "size"])
+    new = listed.join(kept.select("path"), "path", "left_anti")
+    oldest = new.agg(F.min("modified")).first()[0]
+    if oldest is None:
+        return kept
+    read = rows.where(F.col("modificationTime") >= F.lit(oldest)).select("path", F.sha2("content", 256).alias("sha256"))
+    return kept.unionByName(new.join(read, "path").select(*kept.columns))
+
+
+def persist_fingerprints(found: DataFrame, folder: str) -> None:
+    """Writes fingerprints to a folder for the next scan; what found was made from may lie there."""
+    settle(found, "fingerprints").write.mode("overwrite").parquet(folder)
 
 
 def properties(files: DataFrame) -> DataFrame:
@@ -26,65 +44,3 @@ def properties(files: DataFrame) -> DataFrame:
     key = F.trim(F.regexp_extract("line", r"^\s*([^=:\s][^=:]*?)\s*[=:]", 1))
     value = F.trim(F.regexp_extract("line", r"^[^=:]*[=:](.*)$", 1))
     return lines.select("file", "at", key.alias("key"), value.alias("value")).where("key <> ''").groupBy("file", "key").agg(F.max_by("value", "at").alias("value"))
-
-
-def migrations(files: DataFrame) -> Graph:
-    """Migrations, tables and columns of `V<n>__x.sql` files, each CREATE TABLE on its own."""
-    name = F.regexp_extract("file", r"([^/]+)$", 1)
-    rows = files.where(name.rlike(r"^V\d+.*\.sql$")).select(name.alias("m"), F.regexp_extract(name, r"^V(\d+)", 1).alias("v"), "text")
-    heads = F.regexp_extract_all("text", F.lit(r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+\s*\([^;]*)"), 1)
-    made = rows.select("m", F.explode(heads).alias("d"))
-    made = made.select("m", F.lower(F.regexp_replace(F.regexp_extract("d", r"^([\w.\"`]+)", 1), '["`]', "")).alias("t"), F.regexp_extract("d", r"(?s)\((.*)\)", 1).alias("body"))
-    parts = made.select("t", F.explode(F.split(F.regexp_replace("body", r"\([^)]*\)", ""), ",")).alias("c"))
-    cols = parts.select("t", F.lower(F.regexp_extract("c", r"^\s*[\"`]?(\w+)", 1)).alias("c")).where("c not in ('', 'primary', 'foreign', 'unique', 'constraint', 'check', 'key', 'index')")
-    none = F.create_map().cast("map<string,string>")
-    mid, tid, cid = F.concat(F.lit("schema_migration:"), "m"), F.concat(F.lit("schema_table:"), "t"), F.concat(F.lit("schema_column:"), "t", F.lit("."), "c")
-    nodes = rows.select(mid.alias("id"), F.col("m").alias("name"), F.lit("SCHEMA_MIGRATION").alias("type"), F.create_map(F.lit("version"), "v").alias("metadata")).unionByName(
-        made.select(tid.alias("id"), F.col("t").alias("name"), F.lit("SCHEMA_TABLE").alias("type"), none.alias("metadata")).dropDuplicates(["id"])).unionByName(
-        cols.select(cid.alias("id"), F.col("c").alias("name"), F.lit("SCHEMA_COLUMN").alias("type"), none.alias("metadata")).dropDuplicates(["id"]))
-    holds = made.select(mid.alias("source_id"), tid.alias("target_id")).union(cols.select(tid, cid)).withColumn("type", F.lit("CONTAINS"))
-    return Graph(nodes, fold_edges(holds))
-
-
-# Annotations that give a class its type.
-STEREOTYPES = {
-    "RestController": "CONTROLLER", "Controller": "CONTROLLER", "Service": "SERVICE", "Repository": "REPOSITORY",
-    "Component": "COMPONENT", "Configuration": "CONFIGURATION",
-}
-# Annotations that map a method to a verb.
-MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
-
-
-def java_classes(files: DataFrame) -> DataFrame:
-    """(file, class, annotations, injected, verb-and-path pairs) of stereotyped classes, one a file."""
-    body = F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*", "")
-    package = F.regexp_extract(body, r"(?m)^\s*package\s+([\w.]+)", 1)
-    simple = F.regexp_extract(body, r"\b(?:class|interface)\s+(\w+)", 1)
-    marks = F.regexp_extract_all(F.regexp_extract(body, r"(?s)((?:@\w+(?:\([^)]*\))?\s*)+)(?:public\s+|abstract\s+|final\s+)*(?:class|interface)\s", 1), F.lit(r"@(\w+)"), 1)
-    # a constructor: a public name in capitals with parameters and no type before it
-    args = F.regexp_extract(body, r"(?s)\bpublic\s+[A-Z]\w*\s*\(([^)]*)\)", 1)
-    fields = F.regexp_extract_all(body, F.lit(r"@Autowired\s+(?:private\s+|protected\s+)?(\w+)\s+\w+\s*;"), 1)
-    taken = F.array_distinct(F.concat(F.regexp_extract_all(args, F.lit(r"(\w+)\s+\w+\s*(?:,|$)"), 1), fields))
-    routes = F.regexp_extract_all(body, F.lit(r"@((?:Get|Post|Put|Delete|Patch)Mapping\(\s*\"[^\"]*\")"), 1)
-    rows = files.where(F.col("file").endswith(".java")).select("file", package.alias("package"), simple.alias("class"), marks.alias("annotations"), taken.alias("injected"), routes.alias("routes"))
-    return rows.where("class <> ''").withColumn("fqn", F.when(F.col("package") == "", F.col("class")).otherwise(F.concat_ws(".", "package", "class")))
-
-
-def java_graph(files: DataFrame) -> Graph:
-    """Classes, endpoints and injections of a tree of annotated Java classes."""
-    rows = java_classes(files)
-    kind = F.coalesce(*(F.when(F.array_contains("annotations", a), t) for a, t in STEREOTYPES.items()))
-    cid = F.concat(F.lit("class:"), "fqn")
-    found = rows.withColumn("type", kind).where("type is not null")
-    nodes = found.select(cid.alias("id"), F.col("fqn").alias("name"), "type", F.create_map(
-        F.lit("annotations"), F.array_join("annotations", ","), F.lit("sourceFile"), F.col("file")).alias("metadata"))
-    ends = found.where("type = 'CONTROLLER'").select(cid.alias("cid"), F.explode("routes").alias("r"))
-    verb = F.coalesce(*(F.when(F.col("r").startswith(a), v) for a, v in MAPPINGS.items()))
-    ends = ends.select("cid", verb.alias("verb"), F.regexp_extract("r", r"\"([^\"]*)", 1).alias("path"))
-    eid = F.concat(F.lit("endpoint:"), "verb", F.lit(":"), "path")
-    nodes = nodes.unionByName(ends.select(eid.alias("id"), F.concat_ws(" ", "verb", "path").alias("name"), F.lit("CONTROLLER_ENDPOINT").alias("type"), F.create_map(
-        F.lit("httpMethod"), "verb", F.lit("path"), "path").alias("metadata")))
-    known = found.select(F.col("class").alias("want"), cid.alias("target_id"))
-    uses = found.select(cid.alias("source_id"), F.explode("injected").alias("want")).join(known, "want")
-    edges = uses.select("source_id", "target_id", F.lit("INJECTS").alias("type")).unionByName(ends.select(eid.alias("source_id"), F.col("cid").alias("target_id"), F.lit("ROUTES_TO").alias("type")))
-    return Graph(nodes, fold_edges(edges))

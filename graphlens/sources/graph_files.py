@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlens.model import EDGE, NODE, Graph
 
 
 def read_json(spark: SparkSession, path: str) -> Graph:
-    """A graph file of {nodes: [...], edges: [...]}."""
+    """A graph file of {nodes: [...], edges: [...]}; an empty graph where there is none."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return Graph(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE))
     schema = f"nodes array<struct<{_fields(NODE)}>>, edges array<struct<sourceId:string,targetId:string,type:string>>"
     whole = spark.read.schema(schema).json(path, multiLine=True)
     nodes = whole.select(F.inline("nodes"))
@@ -57,3 +60,16 @@ def export(graph: Graph, form: str) -> DataFrame:
 def write_export(graph: Graph, form: str, path: str) -> None:
     """Writes the lines of a format as text files, nodes before edges in their folders."""
     export(graph, form).write.partitionBy("part").text(path)
+
+
+def write_json(graph: Graph, path: str) -> None:
+    """One JSON document that read_json() reads: for graphs that one task can write, others are tables.
+
+    The parts are texts in the order head, nodes, foot of the nodes, edges, foot; ids order the rows.
+    """
+    lines = export(graph, "json").select(F.when(F.col("part") == "node", 1).otherwise(3).alias("n"), "value")
+    spark = graph.nodes.sparkSession
+    frame = spark.createDataFrame([(0, '{"nodes":['), (2, '],"edges":['), (4, "]}")], "n int, value string")
+    ordered = lines.unionByName(frame).repartitionByRange(1, "n", "value").sortWithinPartitions("n", "value")
+    again = F.lag("n").over(Window.partitionBy(F.spark_partition_id()).orderBy("n", "value"))
+    ordered.select(F.concat(F.when((F.col("n") % 2 == 1) & (again == F.col("n")), ",").otherwise(""), "value").alias("value")).write.text(path)

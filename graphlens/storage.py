@@ -24,5 +24,9 @@ def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     Loops stay short in lineage and survive lost executors.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    if by:
+        # a task writes the rows of one value: few files each, and a large value is dealt over several tasks
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -1,7 +1,8 @@
 import pytest
 
 from graphlens import model
-from graphlens.operators import audit, diff, health, traversal
+from graphlens.operators import audit, diff, health, search, traversal
+from graphlens.plans import analysis
 from graphlens.sources import files, graph_files
 from graphlens.streaming import refresh
 
@@ -12,6 +13,7 @@ public class OrderController {
     private int count;
     private final Map<String, Long> fixed = null;
     private HashMap<String, Long> cache;
+    private volatile Random dice;
     public OrderController(OrderService orders) {}
     @GetMapping("/api/orders") public String all() { return ""; }
     @PostMapping("/api/orders") public void add() {}
@@ -66,36 +68,57 @@ def test_diff_is_the_inverse_backwards(spark):
 
 
 def test_java_sources_to_graph_and_audits(spark, tmp_path):
+    (tmp_path / "src").mkdir()
     for name, text in (("OrderController", CONTROLLER), ("OrderService", SERVICE), ("OrderRepository", REPO)):
-        (tmp_path / f"{name}.java").write_text(text)
-    found = files.text_files(spark, str(tmp_path), "*.java")
-    g = files.java_graph(found)
-    assert {(r.id, r.type) for r in g.nodes.collect()} == {
+        (tmp_path / "src" / f"{name}.java").write_text(text)
+    found = files.text_files(spark, str(tmp_path / "src"), "*.java")
+    g = analysis.analyze(spark, str(tmp_path / "src"), by_simple_name=True)
+    assert {(r.id, r.type) for r in g.nodes.where("type <> 'TEST'").collect()} == {
         ("class:shop.OrderController", "CONTROLLER"), ("class:shop.OrderService", "SERVICE"), ("class:shop.OrderRepository", "REPOSITORY"),
-        ("endpoint:GET:/api/orders", "CONTROLLER_ENDPOINT"), ("endpoint:POST:/api/orders", "CONTROLLER_ENDPOINT"),
+        ("endpoint:GET:/api/orders:all", "CONTROLLER_ENDPOINT"), ("endpoint:POST:/api/orders:add", "CONTROLLER_ENDPOINT"),
     }
     assert {(r.source_id, r.target_id) for r in g.links("INJECTS").collect()} == {
         ("class:shop.OrderController", "class:shop.OrderService"), ("class:shop.OrderService", "class:shop.OrderRepository")}
     assert audit.by_annotation(g, "@Transactional").count() == 1 and audit.unsecured_endpoints(g).count() == 2
-    risky = audit.thread_safety(found, spark.createDataFrame([("OrderController",)], "class string")).collect()
-    assert {(r.field_type, r.severity) for r in risky} == {("int", "LOW"), ("HashMap", "HIGH")}
-    assert files.fingerprints(spark, str(tmp_path)).count() == 3
+    risky = audit.thread_safety(found, audit.singletons(g)).collect()
+    assert {(r.field_type, r.severity) for r in risky} == {("int", "LOW"), ("HashMap", "HIGH"), ("Random", "MEDIUM")}
+    assert files.fingerprints(spark, str(tmp_path / "src")).count() == 3
 
 
-def test_migrations_properties_exports_snapshots(spark, tmp_path):
-    sql = "CREATE TABLE Users (id INT PRIMARY KEY, mail VARCHAR(20));\ncreate table if not exists pets (id int, owner int);"
-    g = files.migrations(spark.createDataFrame([("db/V1__a.sql", sql), ("db/readme.sql", sql)], "file string, text string"))
-    assert {r.id for r in g.of("SCHEMA_COLUMN").collect()} == {f"schema_column:{c}" for c in ("users.id", "users.mail", "pets.id", "pets.owner")}
+def test_properties_exports_snapshots(spark, tmp_path):
     props = files.properties(spark.createDataFrame([("a", "# c\nx = 1\ny: 2\nx=3")], "file string, text string"))
     assert {(r.key, r.value) for r in props.collect()} == {("x", "3"), ("y", "2")}
-    odd = graph(spark, [("a'\"<&", "CLASS", {})], [])
-    lines = {f: graph_files.export(odd, f).first().value for f in ("json", "cypher", "graphml", "dot")}
+    odd = graph(spark, [("a'\"<&", "CLASS", {"k": "v"}), ("b", "TEST", {})], [("a'\"<&", "b", "CALLS")])
+    lines = {f: graph_files.export(odd, f).orderBy("part", "value").collect()[1].value for f in ("json", "cypher", "graphml", "dot")}
     assert "\\'" in lines["cypher"] and "&lt;&amp;" in lines["graphml"] and '\\"' in lines["dot"]
     with pytest.raises(ValueError, match="unknown format"):
         graph_files.export(odd, "mermaid")
-    diff.take_snapshot(g, str(tmp_path), "one")
-    assert diff.diff(g, diff.read_snapshot(spark, str(tmp_path), "one")).count() == 0
-    assert [r.label for r in diff.list_snapshots(spark, str(tmp_path)).collect()] == ["one"]
+    graph_files.write_json(odd, str(tmp_path / "graph"))
+    back = graph_files.read_json(spark, str(tmp_path / "graph"))
+    assert diff.diff(odd, back).count() == 0 and back.edges.count() == 1
+    assert graph_files.read_json(spark, str(tmp_path / "none")).nodes.count() == 0
+    diff.take_snapshot(odd, str(tmp_path / "snaps"), "one")
+    assert diff.diff(odd, diff.read_snapshot(spark, str(tmp_path / "snaps"), "one")).count() == 0
+    assert [r.label for r in diff.list_snapshots(spark, str(tmp_path / "snaps")).collect()] == ["one"]
+
+
+def test_search_boosts_fuzzy_rules_and_removal(spark):
+    g = graph(spark, [("orders", "SERVICE", {"sourceFile": "a"}), ("x", "ORDERS", {}), ("y", "TEST", {"k": "orders orders"})], [("orders", "x", "CALLS"), ("x", "y", "CALLS")])
+    assert [r.id for r in search.search(g, "orders", weights=search.BOOSTED).collect()][0] == "x"
+    assert search.search(g, "ordrs").count() == 0 and search.search(g, "ordrs", fuzzy=1).count() == 3
+    assert [r.id for r in search.nodes_of_type(g, "TEST", 5).collect()] == ["y"] and search.edges_of_type(g, "CALLS", 1).count() == 1
+    rules = health.remove_rule(health.add_rule(health.standard_rules(spark), "OWN", "WARNING", "CALLS", "SERVICE", "TEST"), "ARCH-001")
+    assert [r.rule_id for r in health.list_rules(rules).collect()] == ["ARCH-002", "ARCH-003", "ARCH-004", "ARCH-005", "OWN"]
+    left = model.remove_file(g, spark.createDataFrame([("a",)], "source_file string"))
+    assert {r.id for r in left.nodes.collect()} == {"x", "y"} and left.edges.count() == 1
+    assert audit.lookup(g, "x").count() == 1 and audit.websocket()["protocol"] == "STOMP"
+
+
+def test_walks_have_no_longest_length(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}", "CALLS") for i in range(40)]
+    g = graph(spark, [(f"n{i:03}", "SERVICE", {}) for i in range(41)], chain)
+    start = spark.createDataFrame([("n000",)], "id string")
+    assert traversal.reach(g.edges, start, None).agg({"depth": "max"}).first()[0] == 40
 
 
 def test_streaming_facts(spark, tmp_path):
@@ -109,7 +132,7 @@ def test_streaming_facts(spark, tmp_path):
 
 def test_backlog_and_request_flow_are_whole(spark):
     chain = [f"n{i}" for i in range(25)]
-    start = ("e", "CONTROLLER_ENDPOINT", {"httpMethod": "GET", "path": "/x"})
+    start = ("e", "CONTROLLER_ENDPOINT", {"httpVerb": "GET", "path": "/x"})
     edges = [("e", "n0", "ROUTES_TO"), *((a, b, "CALLS") for a, b in zip(chain, chain[1:], strict=False))]
     g = graph(spark, [start, *((x, "SERVICE", {}) for x in chain)], edges)
     assert {r.id for r in traversal.request_flow(g, "get", "/x").collect()} == {"e", *chain}
