@@ -1,5 +1,7 @@
 import itertools
 import math
+import re
+from collections import Counter
 
 from graphlens.llm import url_filter
 
@@ -8,12 +10,19 @@ HEADS = "page_id long, url string, host string"
 
 def test_viterbi_is_the_cheapest_split():
     counts = {"free": 50.0, "bets": 30.0, "bet": 40.0, "s": 1.0, "win": 20.0, "casino": 10.0, "in": 60.0, "the": 90.0}
-    s = url_filter.Splitter(counts)
-    assert s.split("freebets") == ("free", "bets") and s.split("casinowin") == ("casino", "win")
-    assert s.split("zzqfreezz") == ("zzq", "free", "zz") and s.split("qqq") == ("qqq",)
+    total = sum(counts.values())
+    costs = {w: -math.log(c / total) for w, c in counts.items()}
+    unknown = max(costs.values()) + math.log(10)
+
+    def split(name):
+        spans = [(i + 1, n, costs[name[i : i + n]]) for i in range(len(name)) for n in range(1, len(name) - i + 1) if name[i : i + n] in costs]
+        return url_filter.split_run(name, spans, unknown)
+
+    assert split("freebets") == ["free", "bets"] and split("casinowin") == ["casino", "win"]
+    assert split("zzqfreezz") == ["zzq", "free", "zz"] and split("qqq") == ["qqq"]
 
     def cost(words):
-        return sum(s.cost.get(w, s.unknown + len(w) * math.log(26)) for w in words)
+        return sum(costs.get(w, unknown + len(w) * math.log(26)) for w in words)
 
     for name in ("freebetswin", "xfreewin", "thecasino", "betsin", "inthewin", "qwin"):
         n = len(name)
@@ -22,7 +31,42 @@ def test_viterbi_is_the_cheapest_split():
             for k in range(n)
             for c in itertools.combinations(range(1, n), k)
         )
-        assert math.isclose(cost(s.split(name)), min(map(cost, every)))
+        assert math.isclose(cost(split(name)), min(map(cost, every)))
+
+
+def test_scores_equal_an_independent_naive_bayes(spark):
+    hosts = ["casino-lucky", "lucky-spin", "news-daily", "casino-spin", "garden-news", "casino-lucky-spin", "daily-garden"] * 4 + ["lucky-casino"] * 9
+    urls = [f"http://{h}.example.com/{'play/now' if 'lucky' in h else 'read/article'}/{n}" for n, h in enumerate(hosts)]
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=()).collect()
+    words = {r.page_id: r.words.split() + re.findall("[a-z]+", r.path) for r in out}
+    bad = {r.page_id: bool(set(r.words.split()) & set(url_filter.SEEDS)) for r in out}
+    tallies = {c: Counter(w for i, ws in words.items() if bad[i] == c for w in ws) for c in (True, False)}
+    size = len(tallies[True].keys() | tallies[False].keys())
+    prior = math.log((sum(bad.values()) + 1) / (len(bad) - sum(bad.values()) + 1))
+    for r in out:
+        log = {c: sum(math.log((t[w] + 1) / (t.total() + size + 1)) for w in words[r.page_id]) for c, t in tallies.items()}
+        want = prior + log[True] - log[False]
+        assert math.isclose(r.log_odds, want, abs_tol=1e-5) and r.verdict == ("block" if want > 0 else "allow")
+
+
+def test_company_counts_more_than_the_list(spark):
+    bad = [f"http://casino-lucky-spin.site{i}.com/p" for i in range(60)]
+    good = [f"http://garden-history-school.site{i}.com/p" for i in range(60)]
+    asked = ["http://lucky-spin.other.com/p", "http://garden-history-school-history-garden-poker.other.com/p"]
+    rows = list(enumerate(asked + bad + good))
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=()).collect()}
+    # no seed word, but bad company; a seed word, but much good company
+    assert not set(out[0].words.split()) & set(url_filter.SEEDS) and out[0].verdict == "block"
+    assert "poker" in out[1].words.split() and out[1].verdict == "allow"
+
+
+def test_rare_and_long_words_count(spark):
+    rare = "q" * 30
+    rows = [(i, f"http://{rare}-casino.s{i}.com/p") for i in range(5)] + [(9, f"http://{rare}{rare}.x.com/p"), (10, f"http://{'z' * 70}.x.com/p"), (2**60 + 1, None)]
+    rows += [(20 + i, f"http://word{'abcdefghij'[i % 10]}-{'klmno'[i % 5]}s.y{i}.com/p{i}") for i in range(50)]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert out[9].words.split()[:2] == [rare, rare] and out[9].verdict == "block"
+    assert out[10].words.split()[0] == "z" * 70 and 2**60 + 1 in out
 
 
 def test_rules_hosts_and_verdicts(spark):
