@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -161,21 +160,28 @@ class _Lines(HTMLParser):
 
 
 def regions(ratios: np.ndarray, sigma: float = SIGMA, share: float = SHARE) -> np.ndarray:
-    """Which lines are content: Gaussian-smoothed ratios over a share of the mean ratio.
+    """The content region, from 1 on, of each line that is content; 0 for all others.
 
-    Lines of ratio zero are boilerplate and left out of the smoothing; at both ends the kernel is
-    cut to the lines that there are. The line with the highest value is always content.
+    Lines whose Gaussian-smoothed ratio is over a share of the mean ratio cluster into regions; inside
+    them the lines whose own ratio is over it, too, are content. Lines of ratio zero are boilerplate
+    and left out of the smoothing, and do not end a region; at both ends the kernel is cut to the
+    lines that there are. The line with the highest smoothed ratio is always in a region.
     """
-    chosen = np.zeros(len(ratios), dtype=bool)
+    labels = np.zeros(len(ratios), dtype=np.int64)
     at = np.flatnonzero(ratios > 0)
     if not len(at):
-        return chosen
+        return labels
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth, mass = (np.convolve(x, kernel, mode="full")[reach : reach + len(at)] for x in (ratios[at], np.ones(len(at))))
-    value = smooth / mass
-    chosen[at] = value >= min(value.max(), share * ratios[at].mean())
-    return chosen
+    value, least = smooth / mass, share * ratios[at].mean()
+    inside = value >= min(value.max(), least)
+    number = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]))
+    for n in range(1, number[-1] + 1):
+        own = inside & (number == n)
+        full = own & (ratios[at] >= least)
+        labels[at[full if full.any() else own]] = n
+    return labels
 
 
 def _claimed(seeds: set[int], holders: dict[int, tuple[str, int]]) -> set[int]:
@@ -217,19 +223,15 @@ def main_text(html: str | None) -> str:
     ratios = np.array(
         [0.0 if dropped else max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, dropped in lines]
     )
-    chosen = regions(ratios)
-    picked = [line[3] for line, c in zip(lines, chosen, strict=True) if c]
-    articles = {a for a, _ in picked if a}
+    found = regions(ratios)
+    articles = {line[3][0] for line, n in zip(lines, found, strict=True) if n and line[3][0]}
     if articles:
         return " ".join(t for t, _, _, (a, _), dropped in lines if a in articles and not dropped)
     held: set[int] = set()
-    full = ratios >= SHARE * ratios[ratios > 0].mean() if chosen.any() else chosen
-    # boilerplate, of ratio zero, does not end a region
-    lined = [(line[3][1], c, f) for line, c, f, r in zip(lines, chosen, full, ratios, strict=True) if r > 0]
-    for is_chosen, run in groupby(lined, key=lambda x: x[1]):
-        if is_chosen:
-            run = list(run)
-            held |= _claimed({h for h, _, f in run if f} or {h for h, *_ in run}, parser.holders)
+    for n in range(1, int(found.max(initial=0)) + 1):
+        seeds = {line[3][1] for line, own in zip(lines, found, strict=True) if own == n}
+        if seeds:
+            held |= _claimed(seeds, parser.holders)
     return " ".join(t for t, _, _, (_, h), dropped in lines if h in held and not dropped)
 
 

@@ -71,3 +71,20 @@ def test_edges(spark):
     out = html_text.extract(pages).collect()
     assert sorted(r.n_chars for r in out) == [0, 0, 4, 249_999]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_regions_decide_on_pages_without_helpful_tags(monkeypatch):
+    say = lambda n, w: " ".join(f"{w}{i}" for i in range(n)) + "."
+    one, two, three = say(60, "alpha"), say(40, "beta"), say(55, "gamma")
+    page = f"""<html><body><div><span>Today</span> <b>is</b> <i>fine</i></div><div><a href=x>Home</a> <a href=y>News</a> <a href=z>Mail</a></div>
+    <div><div><p>{one}</p></div><div><p>{two}</p></div><div><p>{three}</p></div></div>
+    <div><span>Call</span> <em>us</em> <i>soon</i></div><div><b>All</b> <i>rights</i> <u>kept</u></div></body></html>"""
+    # two articles: the regions tell which one is the page's
+    both = f"<article><p>{one}</p><p>{two}</p><p>{three}</p></article><article><p><a href=x>Read</a> <i>more</i></p></article>"
+    want = f"{one} {two} {three}"
+    assert html_text.main_text(page) == want and html_text.main_text(both) == want
+    every, largest = (lambda r: (r > 0).astype(int)), (lambda r: (np.arange(len(r)) == r.argmax()).astype(int))
+    monkeypatch.setattr(html_text, "regions", every)
+    assert html_text.main_text(page) != want and html_text.main_text(both) != want
+    monkeypatch.setattr(html_text, "regions", largest)
+    assert html_text.main_text(page) != want
