@@ -6,8 +6,8 @@ lines of a class are cut into t + 1 segments of one width. If two lines are with
 segment i of the shorter one occurs unchanged in the longer one with exactly i edits before it
 (pigeonhole), so at most i places from its own. Every line indexes its segments by (class, segment
 number, content); every line probes, for the classes of its own length and of the t lengths below,
-the few substrings that such a shift allows. Pairs that meet, and whose lengths and numbers of some
-characters agree as far as t edits need, are verified by a banded bit-parallel edit distance: a band of 2t + 1 rows lives in one long, and each column takes
+the few substrings that such a shift allows. Pairs that meet and whose lengths agree are verified by
+a banded bit-parallel edit distance: a band of 2t + 1 rows lives in one long, and each column takes
 a dozen bit operations. Links become classes (connected components), and of each class only the
 first occurrence by (id, line number) stays.
 
@@ -42,13 +42,12 @@ MAX_EDITS = 1
 MIN_CHARS = 24
 #: (characters of the shorter line, edits) from which more edits count as the same, in ascending order.
 BANDS = ((80, 2), (160, 3))
-#: Lines indexed under an entry above which a leader stands in for all pairs.
-CROWD = 500
-#: Characters whose numbers in a line go into its signature.
-COUNTED = ("e", "t", "a", "o", "n", " ")
-#: Ids of lines to verify that are broadcast at most (8 bytes each), and numbers of lines to drop;
-#: beyond them, a shuffle join.
-BROADCAST_ROWS, BROADCAST_LINES = 2_000_000, 1_000_000
+#: Lines indexed under an entry above which texts are compared in the join, and above which a leader
+#: stands in for all pairs.
+BUSY, CROWD = 32, 1000
+#: Ids of lines to verify that are broadcast at most (8 bytes each), and numbers of lines to drop (4
+#: bytes each); beyond them, a shuffle join.
+BROADCAST_ROWS, BROADCAST_LINES = 2_000_000, 4_000_000
 PLACES = 10_000_000_000
 
 
@@ -131,12 +130,11 @@ def _by_edits(make: Callable[[int], Column], most: int) -> Column:
 def _entries(lines: DataFrame, most: int, probing: bool) -> DataFrame:
     """(key, at, ...) of lines with columns chain, line, t, low: at tells which of the places it is."""
     keys = _by_edits(lambda t: _keys(t, _shifts(t) if probing else [(i, 0) for i in range(t + 1)]), most)
-    others = [c for c in lines.columns if c != "chain"]
-    return lines.select(F.posexplode(keys).alias("at", "key"), *others)
+    return lines.select(F.posexplode(keys).alias("at", "key"), *lines.columns)
 
 
 def _indexed(lines: DataFrame, bands: tuple) -> DataFrame:
-    """The lines (id, chain, line, sig) as they are indexed: with their edits t, unless given, and class."""
+    """The lines (id, chain, line, ...) as they are indexed: with their edits t, unless given, and class."""
     length = F.char_length("line")
     edits = F.col("t") if "t" in lines.columns else _edits(length, bands)
     return lines.withColumns({"t": edits, "low": _class(length)}).where("low > t")
@@ -153,52 +151,53 @@ def _probing(lines: DataFrame, bands: tuple) -> DataFrame:
     return lines.select(*(c for c in lines.columns if c != "t"), F.inline(wanted))
 
 
-def _signature(line: Column) -> Column:
-    """A line's length modulo 4096 and, from bit 12 on, its numbers of the counted characters modulo 256."""
-    out = F.char_length(line).cast("long").bitwiseAND(F.lit(4095))
-    for n, c in enumerate(COUNTED):
-        many = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(many.cast("long").bitwiseAND(F.lit(255)), 12 + 8 * n))
-    return out
+def _fits(t: Column) -> Column:
+    """Whether the lengths allow a link of a to b, which is no shorter, within t edits."""
+    return (F.col("b_length") - F.col("a_length")).between(F.lit(0), t) & (F.col("a") != F.col("b"))
 
 
-def _near(a: Column, b: Column, t: Column) -> Column:
-    """Whether the signatures allow t edits from a line to one that is no shorter.
+def _named(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The columns with the side's name: id as a or b, others as a_... or b_..."""
+    kept = [c for c in ("id", *columns) if c in rows.columns]
+    return rows.select(*(F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in kept))
 
-    An edit changes the length by one at most, and the numbers of the counted characters by two.
+
+def _compared(left: DataFrame, right: DataFrame, on: str, most: int) -> DataFrame:
+    """Pairs (a, b) under a common key that a built-in banded distance finds within the edits.
+
+    Both sides hold texts, so the join lets nothing through but near lines; lines that are linked
+    already are not compared.
     """
-    apart = None
-    for n in range(len(COUNTED)):
-        d = (F.shiftrightunsigned(a, 12 + 8 * n) - F.shiftrightunsigned(b, 12 + 8 * n)).bitwiseAND(F.lit(255))
-        step = F.least(d, F.lit(256) - d)
-        apart = step if apart is None else apart + step
-    return ((b - a).bitwiseAND(F.lit(4095)) <= t) & (apart <= 2 * t)
-
-
-def _met(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Pairs (a, b) under a common key whose signatures allow a link, and that no links connect yet; a is the shorter."""
-    a, b = (
-        rows.select(on, *(F.col(c).alias(n if c == "id" else f"{n}_{c}") for c in (*names, "root") if c in rows.columns))
-        for n, rows, names in (("a", left, ("id", "sig", "t")), ("b", right, ("id", "sig")))
-    )
-    fits = _near(F.col("a_sig"), F.col("b_sig"), F.col("a_t")) & (F.col("a") != F.col("b"))
+    columns = (on, "length", "t", "text", "root")
+    a, b = _named(left, "a", *columns), _named(right, "b", *(c for c in columns if c != "t"))
+    near = _fits(F.col("a_t"))
     if "root" in left.columns:
-        fits &= F.col("a_root") != F.col("b_root")
-    return a.hint("shuffle_hash").join(b.withColumnRenamed(on, "_on"), (F.col(on) == F.col("_on")) & fits).select(*_pair("a", "b"))
+        near &= F.col("a_root") != F.col("b_root")
+    near &= F.levenshtein("a_text", "b_text", most) >= 0
+    return a.join(b, (F.col(f"a_{on}") == F.col(f"b_{on}")) & near).select(*_pair("a", "b"))
+
+
+def _with_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (id, ...) with their lines' text and length; lines has (id, line) once each."""
+    wanted = rows.select("id").distinct()
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = lines.join(wanted, "id", "left_semi").select("id", F.col("line").alias("text"))
+    return rows.join(texts, "id")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, bands: tuple) -> DataFrame:
-    """The pairs (a, b) whose lines are within their edits; lines has (id, line) once each."""
+    """The pairs (a, b) whose lines are within their edits; lines has (id, line) once each.
+
+    The built-in banded distance throws most of them out before their letters are laid out.
+    """
     pairs = written(pairs.distinct(), "lines-candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if pairs.count() * 2 <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = lines.join(wanted, "id", "left_semi")
-    letters = written(texts.select("id", F.split("line", "").alias("letters")), "lines-met")
-    both = pairs.join(letters.toDF("a", "x"), "a").join(letters.toDF("b", "y"), "b")
-    # spread out again: few pairs can be much work
-    spread = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     most = max(t for _, t in bands)
+    both = _with_texts(pairs.withColumnRenamed("a", "id"), lines).withColumnsRenamed({"id": "a", "text": "x"})
+    both = _with_texts(both.withColumnRenamed("b", "id"), lines).withColumnsRenamed({"id": "b", "text": "y"})
+    near = written(both.where(F.levenshtein("x", "y", most) >= 0).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")), "lines-met")
+    # spread out again: few pairs can be much work
+    spread = near.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     allowed = _edits(F.least(F.size("x"), F.size("y")), bands)
     return written(spread.where(edit_distance(F.col("x"), F.col("y"), most) <= allowed).select("a", "b"), "lines-links")
 
@@ -228,41 +227,58 @@ def _ends(index: DataFrame, probes: DataFrame, most: int) -> DataFrame:
     short = index.where(F.char_length("line") <= F.col("t"))
     lead = short.groupBy("chain").agg(F.min("id").alias("lead"))
     stars = short.join(lead, "chain").where("id <> lead").select(*_pair("id", "lead"))
-    rests = short.groupBy("chain", "line", "t").agg(F.min(F.struct("id", "root", "sig")).alias("r"))
-    rests = rests.select("chain", "t", "r.*")
-    return stars.union(_met(rests, probes.where(F.char_length("line") <= 2 * most), "chain"))
+    rests = short.groupBy("chain", "line", "t").agg(F.min(F.struct("id", "root", "length", "text")).alias("r"))
+    return stars.union(_compared(rests.select("chain", "t", "r.*"), probes.where(F.char_length("line") <= 2 * most), "chain", most))
 
 
-def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CROWD) -> DataFrame:
+def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CROWD, busy: int = BUSY) -> DataFrame:
     """Pairs (a, b) of line ids that connect all lines within their edits of each other.
 
     lines has (id, line), each line once and longer than its edits; the shorter line of a pair tells
     the edits. Every link outside crowded entries is returned; inside them enough links to give the
-    same components.
+    same components. A line is compared with at most `crowd` others under an entry.
     """
     most = max(t for _, t in bands)
-    index = lines.select("id", F.lit(0).cast("long").alias("chain"), "line", _signature(F.col("line")).alias("sig"))
+    index = lines.select("id", F.lit(0).cast("long").alias("chain"), "line", F.char_length("line").alias("length"))
     probes, found = index, None
     while True:
-        sides = [_entries(_indexed(index, bands), most, False), _entries(_probing(probes, bands), most, True)]
-        lead = F.min(F.struct("id", "sig", "t")).alias("lead")
-        sizes = sides[0].groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > crowd)
-        crowded = written(sizes.select("key", "lead"), "lines-crowded")
-        busy = not crowded.isEmpty()
-        pairs = _met(sides[0].join(crowded, "key", "left_anti") if busy else sides[0], sides[1], "key")
-        members = [written(e.join(crowded, "key"), "lines-members") for e in sides] if busy else []
-        if busy:
-            leads = members[0].where("id = lead").groupBy("key").agg(lead)
-            leads = leads.select("key", F.col("lead.id").alias("_lead"), F.col("lead.sig").alias("_sig"), F.col("lead.t").alias("_t"))
+        entries, asked = _entries(_indexed(index, bands), most, False), _entries(_probing(probes, bands), most, True)
+        sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > min(busy, crowd))
+        full = written(sizes, "lines-busy")
+        some = not full.isEmpty()
+        extra = [c for c in ("root", "chain") if c in index.columns and found is not None]
+        # one pass over the probes: they meet lines under calm entries, and the marks of busy ones
+        calm = entries.join(full, "key", "left_anti") if some else entries
+        left = calm.select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("length").alias("a_length"), F.col("t").alias("a_t"), *(F.col(c).alias(f"a_{c}") for c in extra))
+        marks = full.select(F.col("key").alias("k"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns[1:]))
+        right = asked.select("key", F.col("id").alias("b"), F.col("length").alias("b_length"), "at", "t", "low", *(F.col(c).alias(f"b_{c}") for c in extra))
+        allowed = _fits(F.col("a_t"))
+        if extra:
+            allowed &= F.col("a_root") != F.col("b_root")
+        met = left.unionByName(marks).hint("shuffle_hash").join(right, (F.col("k") == F.col("key")) & (F.col("a").isNull() | allowed))
+        met = written(met.select("key", "a", "b", "b_length", "at", "t", "low", *(f"b_{c}" for c in extra)), "lines-met-keys")
+        pairs = met.where("a is not null").select(*_pair("a", "b"))
+        members = []
+        if some:
+            own = entries.join(full.select("key"), "key").select("key", "id", "length", "at", "t", "low", *extra)
+            other = met.where("a is null").select("key", F.col("b").alias("id"), F.col("b_length").alias("length"), "at", "t", "low", *(F.col(f"b_{c}").alias(c) for c in extra))
+            for rows, frame in ((own, index), (other, probes)):
+                held = _with_texts(written(rows, "lines-members"), lines)
+                # what is left of them at this level; at the first it is the line itself
+                held = held.withColumn("line", F.col("text")) if found is None else held.join(frame.select("chain", "id", "line"), ["chain", "id"]).drop("chain")
+                members.append(written(held.join(full, "key"), "lines-texts"))
+            some_ = [m.where(F.col("n") <= crowd) for m in members]
+            pairs = pairs.union(_compared(*some_, "key", most))
+            members = [m.where(F.col("n") > crowd) for m in members]
+            leads = members[0].where("id = lead").select("key", F.col("id").alias("a"), F.col("text").alias("a_text")).dropDuplicates(["key"])
             for rows in members:
-                both = rows.join(leads, "key").where(F.col("id") != F.col("_lead"))
-                either = _near(F.col("sig"), F.col("_sig"), F.col("_t")) | _near(F.col("_sig"), F.col("sig"), F.col("_t"))
-                pairs = pairs.union(both.where(either).select(*_pair("id", "_lead")))
+                near = (F.col("id") != F.col("a")) & (F.levenshtein("text", "a_text", most) >= 0)
+                pairs = pairs.union(rows.join(leads, "key").where(near).select(*_pair("id", "a")))
         if found is not None:
             pairs = pairs.union(_ends(index, probes, most))
         fresh = _verified(pairs, lines, bands)
         found = fresh if found is None else found.union(fresh)
-        if not busy:
+        if not some or members[0].isEmpty():
             return found
         roots = written(components(found, "lines-stars"), "lines-stars")
         rooted = [rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) for rows in members]
@@ -274,7 +290,7 @@ def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CRO
         index, probes = (
             written(
                 rows.join(apart, "key", "left_semi")
-                .select(F.col("key").alias("chain"), "id", "t", "sig", "root", _rest(most, probing).alias("line"))
+                .select(F.col("key").alias("chain"), "id", "t", "length", "text", "root", _rest(most, probing).alias("line"))
                 .distinct(),
                 "lines-again",
             )
