@@ -37,6 +37,8 @@ CURVE_BINS = 1024
 #: One labelled row in this many is kept from the ridge to fit the curve.
 CALIBRATION_SHARE = 4
 CLIP = 6.0
+#: Ids of labelled rows that are broadcast at most (8 bytes each); beyond it, a shuffle join.
+BROADCAST_IDS = 2_000_000
 
 def _classes() -> np.ndarray:
     kinds = np.zeros((256, 8))
@@ -254,7 +256,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score at least threshold, with their own columns only."""
-    stats = written(docs.select(F.col("doc_id").alias("id"), statistics_of("text").alias("stats")), "quality-statistics")
-    score = scorer(fit(stats, labels))
-    return docs.where(score(statistics_of("text")) >= threshold)
+    """The documents that score at least threshold, with their own columns only.
+
+    Statistics are made of labelled documents for the fit, and then of each document once for its score.
+    """
+    known = labels.where("doc_id is not null").select("doc_id").distinct()
+    if known.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    texts = docs.join(known, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), statistics_of(F.col("text").cast("string")).alias("stats"))
+    score = scorer(fit(written(texts, "quality-statistics"), labels))
+    return docs.where(score(statistics_of(F.col("text").cast("string"))) >= threshold)

@@ -8,11 +8,12 @@ give every record its place in the global permutation; place modulo the number o
 shard, so shard counts differ by one at most (law `rows`).
 
 The scatter runs once and its outcome is committed with the written buckets; a task that is lost
-and repeated never moves a record that another task has already placed.
+and repeated never moves a record that another task has already placed. The same seed gives the same
+order for the same files read in the same splits.
 
 Defined results: null texts count as no bytes; repeated rows are placed once each; null ids are
 kept; an empty table gives an empty result; other columns travel along unless their names clash
-with the added ones, which then replace them.
+with the added ones (size, text_crc32, bucket, place, shard, slot), which then replace them or go.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from graphlens.llm.common import utf8_bytes, written
 BUCKET_BYTES = 8 << 20
 #: Bytes that a record counts besides its text.
 OVERHEAD = 8
+#: Buckets whose sizes are summed together.
+RANGE = 4096
 ADDED = ("size", "text_crc32", "bucket", "place", "shard", "slot")
 
 
@@ -78,9 +81,12 @@ def shards(
     """Every record with its shard and its gapless slot there, after the two passes."""
     buckets = shuffled_buckets(docs, seed, id_col, text_col, bucket_bytes)
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    # one small row per bucket, not per record
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(sizes.select("bucket", before.alias("start")), "sharding-starts")
+    # sums of ranges of buckets first: the one window that sees all of them sees a row a range
+    sizes = written(sizes.withColumn("range", F.floor(F.col("bucket") / RANGE)), "sharding-sizes")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("n")).select("range", before(Window.orderBy("range")).alias("base"))
+    inside = sizes.withColumn("start", before(Window.partitionBy("range").orderBy("bucket")))
+    starts = written(inside.join(F.broadcast(ranges), "range").select("bucket", (F.col("base") + F.col("start")).alias("start")), "sharding-starts")
     spot = F.col("start") + F.col("place")
     return (
         buckets.join(starts, "bucket")

@@ -100,7 +100,11 @@ def resolve_revisits(captures: DataFrame, span_seconds: int = SPAN_SECONDS) -> D
     stored = rows.where((F.col("kind") == "response") & (F.col("status") == 200)).select(
         F.col("record_id").alias("response_id"), F.col("headers").alias("old"), F.col("payload").alias("body")
     ).dropDuplicates(["response_id"])
-    revisits = rows.where("kind = 'revisit'").join(pairs, "record_id", "left").join(stored, "response_id", "left")
+    paired = rows.where("kind = 'revisit'").join(pairs, "record_id", "left")
+    # those without a response would all meet in one task of the join
+    alone = paired.where("response_id is null").select("*", *(F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in ("old", "body")))
+    met = paired.where("response_id is not null").join(stored, "response_id", "left").select(*alone.columns)
+    revisits = met.unionByName(alone)
     found = F.col("response_id").isNotNull() & (F.col("status") == 304)
     fits = found & _agree(F.col("headers"), F.col("old"))
     resolved = revisits.select(

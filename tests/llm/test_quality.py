@@ -50,3 +50,39 @@ def test_edges(spark):
     assert len(out) == 5 and all(r.score == 0.5 and r.predicted == 1 for r in out)
     assert quality.score_documents(docs.limit(0), labels).count() == 0
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_ridge_and_scores_equal_numpy(spark):
+    rnd = np.random.default_rng(8)
+    stats = rnd.normal(size=(300, quality.STATISTICS)).astype(np.float32)
+    y = (stats[:, 0] + 0.3 * stats[:, 1] ** 2 > 0).astype(float)
+    rows = spark.createDataFrame([(s.tolist(), float(v)) for s, v in zip(stats, y, strict=True)], "stats array<float>, y double").repartition(5)
+    model = quality.Model(mean=stats.mean(axis=0).astype(float), scale=stats.std(axis=0).astype(float))
+    gram, moment = quality._normal_equations(rows, model)
+    d = stats.shape[1]
+    rng = np.random.default_rng(quality.SEED)
+    z = np.clip((stats.astype(float) - model.mean) / model.scale, -quality.CLIP, quality.CLIP)
+    spin, phase = rng.normal(size=(d, quality.RANDOM_FEATURES)) / (quality.WIDTH * np.sqrt(d)), rng.uniform(0, 2 * np.pi, quality.RANDOM_FEATURES)
+    wide = np.hstack([np.ones((len(z), 1)), z, np.sqrt(2 / quality.RANDOM_FEATURES) * np.cos(z @ spin + phase)])
+    assert np.allclose(gram, wide.T @ wide) and np.allclose(moment, wide.T @ y)
+    # the random features stand for a Gaussian kernel
+    a, b = z[:40], z[40:80]
+    kernel = np.exp(-((a - b) ** 2).sum(axis=1) / (2 * quality.WIDTH**2 * d))
+    assert np.abs((wide[:40, 1 + d :] * wide[40:80, 1 + d :]).sum(axis=1) - kernel).mean() < 0.08
+
+
+def test_fit_equals_least_squares(spark):
+    rnd = np.random.default_rng(9)
+    stats = rnd.normal(size=(600, quality.STATISTICS)).astype(np.float32)
+    y = (stats[:, 0] > 0).astype(int)
+    frame = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(stats)], "id long, stats array<float>").repartition(4)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(frame, labels)
+    from pyspark.sql import functions as F
+
+    ids = frame.select("id").withColumn("curve", F.pmod(F.xxhash64("id", F.lit(quality.SEED)), F.lit(quality.CALIBRATION_SHARE)) == 0).collect()
+    own = sorted(r.id for r in ids if not r.curve and zlib.crc32(str(r.id).encode()) % 3 != 1)
+    wide, want = model.lift(stats[own].astype(float)), y[own].astype(float)
+    ridge = quality.RIDGE * len(own) * np.eye(wide.shape[1])
+    ridge[0, 0] = 0
+    assert np.allclose(model.weights, np.linalg.solve(wide.T @ wide + ridge, wide.T @ want), atol=1e-6)
