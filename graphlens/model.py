@@ -13,17 +13,18 @@ FACT = NODE + ", source_file string, seq long"
 
 # The vocabulary of node and edge types.
 NODE_TYPES = (
-    "CONTROLLER SERVICE REPOSITORY COMPONENT CONFIGURATION CLASS INTERFACE CONTROLLER_ENDPOINT PERSISTENCE_ENTITY"
-    " DATA_REPOSITORY DATA_CONVERTER MESSAGE_PRODUCER MESSAGE_CONSUMER MESSAGE_TOPIC PROXY MODULE SECURITY_FILTER_CHAIN"
-    " SECURITY_FLAG AUTH_RULE CONFIG_PROPERTIES CONFIG_KEY CONFIG_VALUE DATA_TRANSFER_OBJECT EXTERNAL_SERVICE FEIGN_CLIENT"
-    " TEST METRIC HEALTH_INDICATOR TRACE_SPAN PERFORMANCE_ISSUE PERFORMANCE_HINT SCHEMA_TABLE SCHEMA_COLUMN"
-    " SCHEMA_MIGRATION COMPATIBILITY_ISSUE METHOD CONFIG_PROFILE_GROUP SERVICE_CALL"
-).split()
+    "CONTROLLER", "CONTROLLER_ENDPOINT", "SERVICE", "REPOSITORY", "COMPONENT", "CONFIGURATION", "PERSISTENCE_ENTITY", "DATA_REPOSITORY",
+    "DATA_CONVERTER", "MESSAGE_PRODUCER", "MESSAGE_CONSUMER", "MESSAGE_TOPIC", "PROXY", "CLASS", "INTERFACE", "METHOD", "MODULE",
+    "SECURITY_FILTER_CHAIN", "AUTH_RULE", "SECURITY_FLAG", "CONFIG_PROPERTIES", "CONFIG_KEY", "CONFIG_VALUE", "CONFIG_PROFILE_GROUP",
+    "DATA_TRANSFER_OBJECT", "EXTERNAL_SERVICE", "SERVICE_CALL", "FEIGN_CLIENT", "TEST", "METRIC", "HEALTH_INDICATOR", "TRACE_SPAN",
+    "PERFORMANCE_ISSUE", "PERFORMANCE_HINT", "SCHEMA_TABLE", "SCHEMA_COLUMN", "SCHEMA_MIGRATION", "COMPATIBILITY_ISSUE",
+)
 EDGE_TYPES = (
-    "INJECTS CALLS MAPS_TO PUBLISHES_TO SUBSCRIBES_FROM IMPLEMENTS CONTAINS ROUTES_TO HAS_MANY BELONGS_TO SECURED_BY"
-    " CONFIGURED_BY USES_CONFIG RESOLVES_TO CALLS_REMOTE TESTS MOCKS DEPENDS_ON MEASURES TRACES PERFORMANCE_RISK"
-    " SCHEMA_MAPS_TO COMPATIBILITY_RISK EXTENDS ANNOTATED_WITH ACCEPTS RETURNS LOAD_BALANCED_BY OVERRIDES THROWS"
-).split()
+    "INJECTS", "CALLS", "MAPS_TO", "PUBLISHES_TO", "SUBSCRIBES_FROM", "IMPLEMENTS", "EXTENDS", "ANNOTATED_WITH", "CONTAINS", "ROUTES_TO",
+    "HAS_MANY", "BELONGS_TO", "SECURED_BY", "CONFIGURED_BY", "USES_CONFIG", "RESOLVES_TO", "ACCEPTS", "RETURNS", "CALLS_REMOTE",
+    "LOAD_BALANCED_BY", "TESTS", "MOCKS", "DEPENDS_ON", "OVERRIDES", "MEASURES", "TRACES", "PERFORMANCE_RISK", "SCHEMA_MAPS_TO",
+    "COMPATIBILITY_RISK", "THROWS",
+)
 
 
 @dataclass(frozen=True)

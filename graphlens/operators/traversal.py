@@ -108,6 +108,27 @@ def transaction_scope(graph: Graph, name: str) -> DataFrame:
     return _details(graph, ids).join(remote, "id", "left").withColumn("remote_calls", F.coalesce("remote_calls", F.lit(0)).cast("long"))
 
 
+def transaction_risk(graph: Graph, name: str) -> DataFrame:
+    """One row about the transaction of a class: (id, transactional, remote, exceptions, distributed_risk, performance_issues).
+
+    It is transactional if a transactional proxy calls it, and at risk if remote calls run inside.
+    """
+    start = resolve_id(graph, name)
+    marked = graph.of("PROXY").where(F.coalesce(F.col("metadata")["PROXY_STEREOTYPE"], F.lit("")).contains("TRANSACTION_INTERCEPTOR"))
+    calls = graph.links("CALLS").join(marked.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    proxied = start.join(calls.select(F.col("target_id").alias("id")), "id", "left_semi").agg((F.count("*") > 0).alias("transactional"))
+    walked = reach(graph.links("CALLS"), start, None, expand=graph.of("SERVICE", "PROXY").select("id"), per_seed=False).select("id", "depth")
+    # what the walk only touches, repositories and others, does not add its own calls
+    inside = walked.join(graph.of("SERVICE", "PROXY").select("id"), "id", "left_semi").select("id").union(start).distinct().withColumnRenamed("id", "source_id")
+    real = graph.nodes.select(F.col("id").alias("target_id"))
+    out = graph.links("CALLS_REMOTE", "THROWS").join(inside, "source_id", "left_semi").join(real, "target_id", "left_semi")
+    counts = out.agg(F.count(F.when(F.col("type") == "CALLS_REMOTE", 1)).alias("remote"), F.count(F.when(F.col("type") == "THROWS", 1)).alias("exceptions"))
+    slow = graph.of("PERFORMANCE_ISSUE").where(F.col("metadata")["className"] == name).agg(F.count("*").alias("performance_issues"))
+    # one row each
+    row = start.join(proxied).join(counts).join(slow)
+    return row.select("id", "transactional", "remote", "exceptions", (F.col("transactional") & (F.col("remote") > 0)).alias("distributed_risk"), "performance_issues")
+
+
 def request_flow(graph: Graph, verb: str, path: str, depth: int | None = None) -> DataFrame:
     """Nodes that a request passes, from its endpoint on: (id, name, type, depth, transactional).
 

@@ -163,6 +163,7 @@ def queries() -> dict[str, Query]:
         "blast_radius": _graph(lambda g: traversal.blast_radius(g, "c0", 3)),
         "transaction_boundaries": _graph(lambda g: traversal.transaction_boundaries(g, "c0", 5)),
         "transaction_scope": _graph(lambda g: traversal.transaction_scope(g, "c0")),
+        "transaction_risk": _graph(lambda g: traversal.transaction_risk(g, "s3")),
         "request_flow": request_flow,
         "data_flow": _graph(lambda g: traversal.data_flow(g, "order 1", 5)),
         "search_architecture": _graph(lambda g: search.search(g, "transactional service true")),

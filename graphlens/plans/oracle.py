@@ -186,6 +186,14 @@ def oracle_sql() -> dict[str, str]:
         "blast_radius": sql("SELECT DISTINCT n.id, n.name, n.type FROM seen JOIN nodes n USING (id) WHERE seen.depth > 0", closure, _bfs("SELECT s, t FROM edges", "SELECT id FROM clos", 3, both=True)),
         "transaction_boundaries": sql(f"SELECT c.t AS id, CAST(min(depth) AS BIGINT) AS depth FROM seen JOIN edges c ON c.s = seen.id AND c.type = 'CALLS' WHERE c.t IN ({trans}) GROUP BY c.t", _bfs(_calls("'CALLS'"), start, 5)),
         "transaction_scope": sql("SELECT n.id, n.name, n.type, CAST(d AS BIGINT) AS depth, (SELECT count(*) FROM edges r WHERE r.type = 'CALLS_REMOTE' AND r.s = n.id) AS remote_calls FROM (SELECT id, min(depth) AS d FROM sc GROUP BY id) JOIN nodes n USING (id)", "sc AS (SELECT 'class:c0' AS id, 0 AS depth UNION SELECT e.t, depth + 1 FROM sc JOIN edges e ON e.s = sc.id WHERE e.type = 'CALLS' AND depth < 20 AND (depth = 0 OR sc.id IN (SELECT id FROM nodes WHERE type IN ('SERVICE','PROXY'))))"),
+        "transaction_risk": sql(
+            "SELECT 'class:s3' AS id, EXISTS (SELECT 1 FROM edges WHERE type = 'CALLS' AND t = 'class:s3' AND s IN"
+            f" ({trans})) AS transactional,"
+            " (SELECT count(*) FROM edges WHERE type = 'CALLS_REMOTE' AND s = 'class:s3' AND t IN (SELECT id FROM nodes)) AS remote,"
+            " CAST(0 AS BIGINT) AS exceptions, EXISTS (SELECT 1 FROM edges WHERE type = 'CALLS' AND t = 'class:s3' AND s IN"
+            f" ({trans})) AND EXISTS (SELECT 1 FROM edges WHERE type = 'CALLS_REMOTE' AND s = 'class:s3') AS distributed_risk,"
+            " CAST(0 AS BIGINT) AS performance_issues"
+        ),
         "request_flow": sql("SELECT n.id, n.name, n.type, CAST(min(depth) AS BIGINT) AS depth, coalesce(contains(any_value(proxy), 'TRANSACTION_INTERCEPTOR'), FALSE) OR coalesce(contains(any_value(ann), 'Transactional'), FALSE) AS transactional FROM seen JOIN nodes n USING (id) GROUP BY n.id, n.name, n.type", _bfs(_calls("'ROUTES_TO','CALLS','INJECTS','IMPLEMENTS'"), f"SELECT {_EP} AS id FROM orders WHERE o_orderkey = 1", 40)),
         "data_flow": sql("SELECT n.id, n.name, n.type, CAST(d AS BIGINT) AS depth, d > 0 AND n.id IN (SELECT t FROM edges WHERE type IN ('RETURNS','MAPS_TO')) AS sink FROM (SELECT id, min(depth) AS d FROM seen GROUP BY id) JOIN nodes n USING (id)", _bfs(flow_edges, "SELECT id FROM nodes WHERE contains(name, 'order 1')", 5)),
         "search_architecture": sql("SELECT n.id, n.name, n.type, score FROM (SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM tf JOIN df USING (term), tot WHERE term IN ('transactional', 'service', 'true') GROUP BY id ORDER BY score DESC, id LIMIT 10) JOIN nodes n USING (id)", terms),

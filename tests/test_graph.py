@@ -128,6 +128,9 @@ def test_streaming_facts(spark, tmp_path):
     query.awaitTermination()
     row = refresh.current_nodes(spark, str(tmp_path / "facts")).first()
     assert (row.name, row.type, row.metadata) == ("A", "CLASS", {"k": "2"})
+    refresh.topics(refresh.fact_stream(spark, str(tmp_path / "in")), str(tmp_path / "topics"), str(tmp_path / "cp2")).awaitTermination()
+    sent = spark.read.text(str(tmp_path / "topics"))
+    assert {(r.topic, r.n) for r in sent.groupBy("topic").agg({"*": "count"}).toDF("topic", "n").collect()} == {("graph-updates", 2), ("analysis-progress", 2)}
 
 
 def test_backlog_and_request_flow_are_whole(spark):
