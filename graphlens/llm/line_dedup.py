@@ -151,6 +151,23 @@ def _probing(lines: DataFrame, bands: tuple) -> DataFrame:
     return lines.select(*(c for c in lines.columns if c != "t"), F.inline(wanted))
 
 
+#: What a probe carries in one long, from the lowest bit on, with the numbers of bits.
+PACKED = {"length": 27, "low": 27, "t": 4, "at": 6}
+
+
+def _packed() -> Column:
+    out, low = F.lit(0).cast("long"), 0
+    for name, bits in PACKED.items():
+        out = out.bitwiseOR(F.shiftleft(F.col(name).cast("long").bitwiseAND(F.lit((1 << bits) - 1)), low))
+        low += bits
+    return out
+
+
+def _part(packed: str, n: int) -> Column:
+    bits = [*PACKED.values()]
+    return F.shiftrightunsigned(F.col(packed), sum(bits[:n])).bitwiseAND(F.lit((1 << bits[n]) - 1)).cast("int")
+
+
 def _fits(t: Column) -> Column:
     """Whether the lengths allow a link of a to b, which is no shorter, within t edits."""
     return (F.col("b_length") - F.col("a_length")).between(F.lit(0), t) & (F.col("a") != F.col("b"))
@@ -239,6 +256,8 @@ def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CRO
     same components. A line is compared with at most `crowd` others under an entry.
     """
     most = max(t for _, t in bands)
+    if most > 8:
+        raise ValueError("more than 8 edits")
     index = lines.select("id", F.lit(0).cast("long").alias("chain"), "line", F.char_length("line").alias("length"))
     probes, found = index, None
     while True:
@@ -251,25 +270,24 @@ def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CRO
         calm = entries.join(full, "key", "left_anti") if some else entries
         left = calm.select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("length").alias("a_length"), F.col("t").alias("a_t"), *(F.col(c).alias(f"a_{c}") for c in extra))
         marks = full.select(F.col("key").alias("k"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns[1:]))
-        right = asked.select("key", F.col("id").alias("b"), F.col("length").alias("b_length"), "at", "t", "low", *(F.col(c).alias(f"b_{c}") for c in extra))
-        allowed = _fits(F.col("a_t"))
+        right = asked.select("key", F.col("id").alias("b"), _packed().alias("where"), *(F.col(c).alias(f"b_{c}") for c in extra))
+        allowed = (_part("where", 0) - F.col("a_length")).between(F.lit(0), F.col("a_t")) & (F.col("a") != F.col("b"))
         if extra:
             allowed &= F.col("a_root") != F.col("b_root")
         met = left.unionByName(marks).hint("shuffle_hash").join(right, (F.col("k") == F.col("key")) & (F.col("a").isNull() | allowed))
-        met = written(met.select("key", "a", "b", "b_length", "at", "t", "low", *(f"b_{c}" for c in extra)), "lines-met-keys")
+        met = written(met.select("key", "a", "b", "where", *(f"b_{c}" for c in extra)), "lines-met-keys")
         pairs = met.where("a is not null").select(*_pair("a", "b"))
         members = []
         if some:
             own = entries.join(full.select("key"), "key").select("key", "id", "length", "at", "t", "low", *extra)
-            other = met.where("a is null").select("key", F.col("b").alias("id"), F.col("b_length").alias("length"), "at", "t", "low", *(F.col(f"b_{c}").alias(c) for c in extra))
+            places = {n: _part("where", i).alias(n) for i, n in enumerate(PACKED)}
+            other = met.where("a is null").select("key", F.col("b").alias("id"), *(places[n] for n in ("length", "at", "t", "low")), *(F.col(f"b_{c}").alias(c) for c in extra))
             for rows, frame in ((own, index), (other, probes)):
                 held = _with_texts(written(rows, "lines-members"), lines)
                 # what is left of them at this level; at the first it is the line itself
                 held = held.withColumn("line", F.col("text")) if found is None else held.join(frame.select("chain", "id", "line"), ["chain", "id"]).drop("chain")
                 members.append(written(held.join(full, "key"), "lines-texts"))
-            some_ = [m.where(F.col("n") <= crowd) for m in members]
-            pairs = pairs.union(_compared(*some_, "key", most))
-            members = [m.where(F.col("n") > crowd) for m in members]
+            # leaders first: what they link need not be compared again
             leads = members[0].where("id = lead").select("key", F.col("id").alias("a"), F.col("text").alias("a_text")).dropDuplicates(["key"])
             for rows in members:
                 near = (F.col("id") != F.col("a")) & (F.levenshtein("text", "a_text", most) >= 0)
@@ -278,10 +296,15 @@ def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CRO
             pairs = pairs.union(_ends(index, probes, most))
         fresh = _verified(pairs, lines, bands)
         found = fresh if found is None else found.union(fresh)
-        if not some or members[0].isEmpty():
+        if not some:
             return found
         roots = written(components(found, "lines-stars"), "lines-stars")
         rooted = [rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) for rows in members]
+        few = (rows.where(F.col("n") <= crowd) for rows in rooted)
+        found = found.union(_verified(_compared(*few, "key", most), lines, bands))
+        rooted = [rows.where(F.col("n") > crowd) for rows in rooted]
+        if rooted[0].isEmpty():
+            return found
         both = rooted[0].select("key", "root").union(rooted[1].select("key", "root"))
         apart = both.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two")
         apart = written(apart.select("key"), "lines-apart")
