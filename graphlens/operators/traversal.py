@@ -174,47 +174,62 @@ def cycles(graph: Graph, longest: int = 4, kind: str = "INJECTS") -> DataFrame:
     return every.select("length", F.concat(F.array_join("path", " -> "), F.lit(" -> "), F.get("path", F.lit(0))).alias("path")).distinct()
 
 
+#: Hops that one written round of a spreading value takes; each doubles the round's plan.
+UNROLLED = 2
+
+
+def _spread(steps: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, v): the least value that reaches each id along steps (from_id, to_id), its own included."""
+    now = values
+    while True:
+        before = now
+        for _ in range(UNROLLED):
+            lower = steps.join(now, F.col("from_id") == F.col("id")).groupBy(F.col("to_id").alias("id")).agg(F.min("v").alias("w"))
+            now = now.join(lower, "id", "left").select("id", F.coalesce(F.least("v", "w"), "v").alias("v"))
+        now = settle(now, "spread")
+        if now.join(before.withColumnRenamed("v", "w"), "id").where("v <> w").isEmpty():
+            return now
+
+
 def on_cycles(graph: Graph, kind: str = "INJECTS") -> DataFrame:
     """(id, component): every node on a cycle of any length, with the least id of its strongly connected component.
 
-    Rounds: nodes that no edge enters or leaves go until none does; the least id that reaches a node
+    Rounds: nodes that no edge enters or leaves go while many do; the least id that reaches a node
     is its colour; what reaches the node of that id inside the colour is that node's component. Edges
     between different colours are on no cycle and go, and the rest is coloured again.
     """
     rest = settle(graph.links(kind).select("source_id", "target_id").distinct(), "cycle-edges")
-    out = None
-    while not rest.isEmpty():
-        count, left = rest.count(), None
-        while left != count:
+    count, parts = rest.count(), []
+    while count:
+        left = 2 * count
+        # the colouring bears what a few trimmings leave
+        while count and count < 0.9 * left:
             left = count
-            inner = rest.join(rest.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
-            inner = inner.join(rest.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi")
+            entered = rest.select(F.col("target_id").alias("source_id")).distinct()
+            left_by = rest.select(F.col("source_id").alias("target_id")).distinct()
+            inner = rest.join(entered, "source_id", "left_semi").join(left_by, "target_id", "left_semi")
             rest = settle(inner.select("source_id", "target_id"), "cycle-edges")
             count = rest.count()
         if not count:
             break
-        colours = rest.select(F.col("source_id").alias("id")).distinct().withColumn("colour", F.col("id"))
-        changed = 1
-        while changed:
-            lower = rest.join(colours, F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("id")).agg(F.min("colour").alias("least"))
-            both = settle(colours.join(lower, "id", "left").select("id", F.coalesce(F.least("colour", "least"), "colour").alias("colour"), (F.col("least") < F.col("colour")).alias("new")), "cycle-colours")
-            changed, colours = both.where("new").count(), both.select("id", "colour")
+        forth = rest.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"))
+        ids = rest.select(F.col("source_id").alias("id")).union(rest.select("target_id")).distinct()
+        colours = _spread(forth, ids.withColumn("v", F.col("id"))).withColumnRenamed("v", "colour")
         a, b = colours.toDF("source_id", "from_colour"), colours.toDF("target_id", "to_colour")
-        same = settle(rest.join(a, "source_id").join(b, "target_id").where("from_colour = to_colour").select("source_id", "target_id", F.col("from_colour").alias("colour")), "cycle-same")
-        back = same.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-        found = reach(back, colours.where("id = colour").select("id"), None, per_seed=False).select("id").distinct()
-        found = settle(found.join(colours, "id").select("id", F.col("colour").alias("component")), "cycle-found")
-        # a component of one node is a cycle only by an edge to itself
-        whole = found.join(same.select(F.col("source_id").alias("id"), F.col("colour").alias("component")).distinct(), ["id", "component"], "left_semi")
+        same = settle(rest.join(a, "source_id").join(b, "target_id").where("from_colour = to_colour").select("source_id", "target_id"), "cycle-same")
+        back = same.select(F.col("target_id").alias("from_id"), F.col("source_id").alias("to_id"))
+        reached = _spread(back, colours.select("id", F.when(F.col("id") == F.col("colour"), 0).otherwise(1).alias("v"))).where("v = 0")
+        found = settle(reached.join(colours, "id").select("id", F.col("colour").alias("component")), "cycle-found")
         sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-        loops = same.where("source_id = target_id").select(F.col("source_id").alias("id"), F.lit(True).alias("loop"))
-        whole = whole.join(sizes, "component").join(loops.distinct(), "id", "left").where((F.col("n") > 1) | F.col("loop")).select("id", "component")
-        out = whole if out is None else out.unionByName(whole)
+        loops = same.where("source_id = target_id").select(F.col("source_id").alias("id"), F.lit(True).alias("loop")).distinct()
+        # a component of one node is a cycle only by an edge to itself
+        parts.append(found.join(sizes, "component").join(loops, "id", "left").where((F.col("n") > 1) | F.col("loop")).select("id", "component"))
         for end in ("source_id", "target_id"):
             same = same.join(found.select(F.col("id").alias(end)), end, "left_anti")
         rest = settle(same.select("source_id", "target_id"), "cycle-edges")
+        count = rest.count()
     none = graph.edges.sparkSession.createDataFrame([], "id string, component string")
-    return none if out is None else settle(out, "cycle-components")
+    return settle(reduce(DataFrame.unionByName, parts), "cycle-components") if parts else none
 
 
 def neighbours(graph: Graph, node_id: str) -> DataFrame:
