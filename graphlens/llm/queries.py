@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm import (
+    codebooks,
     decontam,
     html_text,
     line_dedup,
@@ -18,6 +19,7 @@ from graphlens.llm import (
     simhash,
     url_filter,
     warc,
+    whitening,
 )
 from graphlens.llm.common import table
 
@@ -81,6 +83,16 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by 16 codebooks of 64 entries after two rounds."""
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First eight whitened components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
     import corpus_pipeline
@@ -96,10 +108,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packed_sequences,
         op9_benchmark_leaks,
         op10_simhash_components,
+        op11_vector_codes,
+        op12_whitened_embeddings,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_warc_revisits": warc.ORACLE_SQL, "op2_main_text": html_text.ORACLE_SQL}
+    return {"op1_warc_revisits": warc.ORACLE_SQL, "op2_main_text": html_text.ORACLE_SQL, "op11_vector_codes": codebooks.ORACLE_SQL}
