@@ -14,6 +14,7 @@ from graphlens.llm import (
     line_dedup,
     media_chunks,
     packing,
+    pii,
     quality,
     sharding,
     simhash,
@@ -93,6 +94,11 @@ def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: patterns, and what the random field adds."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
     import corpus_pipeline
@@ -110,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_simhash_components,
         op11_vector_codes,
         op12_whitened_embeddings,
+        op13_personal_data,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
