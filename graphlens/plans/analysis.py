@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.model import Graph, fold_edges, fold_nodes
-from graphlens.resolvers import beans, builds, persistence, runtime, web
+from graphlens.resolvers import beans, builds, persistence, runtime, symbols, transfers, web
 from graphlens.resolvers.base import Facts, together
 from graphlens.sources import files as source_files
 from graphlens.sources import java
@@ -26,13 +26,11 @@ def facts(
     root: str,
     profiles: tuple[str, ...] = (),
     class_root: str | None = None,
-    by_simple_name: bool = False,
-    by_field_type: bool = False,
-    match_if_missing: bool = False,
+    **options: bool,
 ) -> Facts:
-    """All facts of a source tree; class_root adds the proxies among class files."""
+    """All facts of a source tree; class_root adds the proxies among class files; options as in facts_of()."""
     files = settle(source_files.text_files(spark, root, KINDS), "files")
-    return facts_of(files, root, profiles, builds.class_files(spark, class_root) if class_root else None, by_simple_name, by_field_type, match_if_missing)
+    return facts_of(files, root, profiles, builds.class_files(spark, class_root) if class_root else None, **options)
 
 
 def facts_of(
@@ -43,32 +41,42 @@ def facts_of(
     by_simple_name: bool = False,
     by_field_type: bool = False,
     match_if_missing: bool = False,
+    by_import: bool = False,
 ) -> Facts:
     """All facts of files (file, text); heads are class files (builds.class_files).
 
     The options mend what a plain reading of names misses: injections of types by their simple names,
-    calls on fields by the fields' types, and conditions that match missing properties.
+    calls on fields by the fields' types, and conditions that match missing properties. by_import reads
+    every type's name as the language does (symbols), instead of the first two, and adds what endpoints
+    accept and return (transfers).
     """
-    classes = settle(java.classes(files), "classes")
+    types = settle(java.types(files), "types")
+    if by_import:
+        types = settle(symbols.qualified(types), "types")
+    classes = types.where("kind in ('class', 'interface')")
     found = settle(beans.beans(classes, _properties(files, r"^application\.(properties|ya?ml)$"), profiles, match_if_missing), "beans")
-    wired = beans.wiring(classes, found, by_simple_name, by_field_type)
+    if by_import:
+        found = settle(beans.with_supertypes(found, symbols.supertypes(types)), "beans")
+    wired = beans.wiring(classes, found, by_simple_name, by_field_type, (types, symbols.receivers(classes)) if by_import else None)
     wired = Facts(settle(wired.nodes, "wired-nodes"), settle(wired.edges, "wired-edges"))
     present = settle(fold_nodes(wired.nodes).select("id", "name", "type"), "present")
     through = beans.proxies(classes, found, wired.edges)
     calls = wired.edges.unionByName(through.edges).distinct()
     ends = web.endpoints(classes)
     ends = Facts(settle(ends.nodes, "endpoints"), ends.edges)
-    data, made = persistence.data(classes), persistence.schema(files)
+    data, made = persistence.data(classes, by_import), persistence.schema(files)
     made = Facts(settle(made.nodes, "schema"), made.edges)
     entities = fold_nodes(wired.nodes.unionByName(data.nodes)).select("id", "name", "type")
     parts = [
         builds.modules(files, root), wired, through, ends, web.security(classes, present, ends.nodes), data, made,
-        persistence.correlated(classes, entities, made.nodes), runtime.messaging(classes, by_field_type),
+        persistence.correlated(classes, entities, made.nodes), runtime.messaging(classes, by_field_type or by_import),
         runtime.configuration(classes, present, _properties(files.where(F.col("file").contains("src/main/resources/")), "^application")),
-        runtime.remote_calls(classes, files.where(F.col("file").endswith(".java")), present), runtime.tests(classes, present),
+        runtime.remote_calls(classes, files.where(F.col("file").endswith(".java")), present), runtime.tests(classes, present, by_import),
         runtime.observability(classes, present), runtime.performance(classes, present, calls), runtime.native(classes, present),
         web.contracts(classes, ends.nodes, builds.specification(files)),
     ]
+    if by_import:
+        parts.append(transfers.transfers(types, ends.nodes, data.nodes))
     if heads is not None:
         parts.append(builds.generated_proxies(heads))
     return together(parts)

@@ -190,10 +190,22 @@ def resolved(requests: DataFrame, beans: DataFrame, by_simple_name: bool = False
     return picked.select("source_id", "wanted", target.alias("target")).where("target is not null")
 
 
-def wiring(classes: DataFrame, found: DataFrame, by_simple_name: bool = False, by_field_type: bool = False) -> Facts:
+def with_supertypes(found: DataFrame, above: DataFrame) -> DataFrame:
+    """Beans that also offer every type above them; above has fqn and above (symbols.supertypes)."""
+    more = above.groupBy(F.col("fqn").alias("qualified_name")).agg(F.collect_set("above").alias("_more"))
+    every = F.array_union("interfaces", F.coalesce("_more", F.array().cast("array<string>")))
+    return found.join(more, "qualified_name", "left").withColumn("interfaces", every).select(*found.columns)
+
+
+def wiring(
+    classes: DataFrame, found: DataFrame, by_simple_name: bool = False, by_field_type: bool = False, symbols: tuple[DataFrame, DataFrame] | None = None
+) -> Facts:
     """Classes (the active beans only, if there are any) with what they inject and call.
 
     A call leads to the name that it is made on; by_field_type leads it to the field's type instead.
+    symbols, of classes with full names, are the declared types (fqn) and the receivers of calls (file,
+    fqn, head, kind): types that no bean offers are injected as they are, and a call leads to the bean
+    that its receiver's type is injected with, else to that type.
     """
     rows = active(classes, found)
     extra = found.select(F.col("qualified_name").alias("fqn"), *(F.col(c).alias(f"_{c}") for c in ("bean_name", "is_primary", "qualifier", "scope", "profiles", "conditions")))
@@ -218,18 +230,26 @@ def wiring(classes: DataFrame, found: DataFrame, by_simple_name: bool = False, b
         F.filter("fields", lambda f: has(f["annotations"], "Autowired")),
     )
     requests = rows.select("file", class_id().alias("source_id"), F.explode(asks).alias("p")).select(
-        "file", "source_id", F.col("p.type").alias("wanted"),
+        "file", "source_id", (F.regexp_extract("p.type", r"^([\w$.]*)", 1) if symbols else F.col("p.type")).alias("wanted"),
         F.when(has(F.col("p.annotations"), "Qualifier"), F.coalesce(unquoted(argument(first(F.col("p.annotations"), "Qualifier"), "")), F.lit("Qualifier"))).alias("qualifier"),
     )
     got = resolved(requests, found, by_simple_name)
     taken = edges(got, F.col("source_id"), class_id("target"), "INJECTS")
     # types that say their package: the platform's own, and all where there are no beans to look in
     left = requests.join(got, ["source_id", "wanted"], "left_anti")
-    left = left if found.isEmpty() else left.where(F.col("wanted").rlike(r"^javax?\."))
+    if symbols:
+        left = left.join(symbols[0].select(F.col("fqn").alias("wanted")).distinct(), "wanted", "left_semi").select(*requests.columns)
+    else:
+        left = left if found.isEmpty() else left.where(F.col("wanted").rlike(r"^javax?\."))
     taken = unite(taken, edges(left, F.col("source_id"), class_id("wanted"), "INJECTS")).distinct()
     ends = unite(got.select(class_id("target").alias("id"), "wanted"), left.select(class_id("wanted").alias("id"), "wanted"))
     missing = ends.join(made.select("id"), "id", "left_anti").groupBy("id").agg(F.min("wanted").alias("wanted"))
     services = nodes(missing, F.col("id"), F.col("wanted"), "SERVICE", 1)
+    if symbols:
+        injected = got.groupBy(F.expr("substring(source_id, 7)").alias("fqn"), F.col("wanted").alias("kind")).agg(F.min("target").alias("bean"))
+        called = symbols[1].join(rows.select("file", "fqn"), ["file", "fqn"], "left_semi").join(injected, ["fqn", "kind"], "left")
+        calls = edges(called.select("fqn", F.coalesce("bean", "kind", "head").alias("to")).distinct(), class_id(), class_id("to"), "CALLS")
+        return Facts(unite(made, told, services), unite(taken, calls))
     target = F.substring_index("scope", ".", 1)
     called = rows.select("fqn", "fields", F.explode(F.flatten(F.transform("methods", lambda m: m["calls"]))).alias("c")).select("fqn", "fields", "c.scope")
     called = called.where("scope is not null and scope <> 'this'")

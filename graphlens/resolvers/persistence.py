@@ -25,14 +25,18 @@ def technology(name: Column) -> Column:
     return F.coalesce(*(F.when(name.rlike(p), t) for p, t in TECHNOLOGIES), F.lit("generic"))
 
 
-def element_type(kind: Column) -> Column:
-    """What a collection or array holds, else the type itself, without packages."""
+def element_type(kind: Column, full_names: bool = False) -> Column:
+    """What a collection or array holds, else the type itself, without packages unless these are wanted."""
     inner = F.regexp_extract(kind, r"<(.*)>", 1)
-    return last_name(F.regexp_replace(F.when(inner != "", F.trim(inner)).otherwise(kind), r"\[\]$", ""))
+    held = F.regexp_replace(F.when(inner != "", F.trim(inner)).otherwise(kind), r"\[\]$", "")
+    return held if full_names else last_name(held)
 
 
-def data(classes: DataFrame) -> Facts:
-    """Data repositories with their entities, entities with their relations, and converters."""
+def data(classes: DataFrame, full_names: bool = False) -> Facts:
+    """Data repositories with their entities, entities with their relations, and converters.
+
+    Where classes have full names, so have the ids of entities that relations lead to.
+    """
     above = classes.where("kind = 'interface'").select("file", "fqn", F.explode("extends").alias("up"))
     name = last_name(F.regexp_extract("up", r"^([\w$.]*)", 1))
     repos = above.where(name.endswith("Repository")).withColumns({"technology": technology(name), "entity": F.regexp_extract("up", r"<\s*([^,<>]+(?:<[^>]*>)?)", 1)})
@@ -54,7 +58,7 @@ def data(classes: DataFrame) -> Facts:
         unite(made, held, entities, nodes(converters, F.concat(F.lit("data_converter:"), "fqn"), F.col("fqn"), "DATA_CONVERTER", 3, sourceFile=F.col("file"))),
         unite(
             edges(typed, repo, entity, "MAPS_TO"),
-            edges(related, own, F.concat(F.lit("persistence_entity:"), element_type(F.col("kind"))), F.col("edge")),
+            edges(related, own, F.concat(F.lit("persistence_entity:"), element_type(F.col("kind"), full_names)), F.col("edge")),
         ).distinct(),
     )
 

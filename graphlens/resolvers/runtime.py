@@ -147,8 +147,11 @@ def remote_calls(classes: DataFrame, files: DataFrame, present: DataFrame) -> Fa
     return Facts(unite(made, found), unite(edges(feign, client, service, "CALLS_REMOTE"), known_).distinct())
 
 
-def tests(classes: DataFrame, present: DataFrame) -> Facts:
-    """Tests of files that are named like tests, and the classes that they test or mock (by id, else by name, with or without packages)."""
+def tests(classes: DataFrame, present: DataFrame, full_names: bool = False) -> Facts:
+    """Tests of files that are named like tests, and the classes that they test or mock (by id, else by name, with or without packages).
+
+    Where classes have full names, a class is found by its own only.
+    """
     rows = classes.where(F.col("file").contains("Test") | F.col("file").contains("test"))
     marks = F.col("annotations")
     kinds = F.filter(F.transform(marks, lambda a: F.when(a["name"] == "SpringBootTest", "INTEGRATION").when(a["name"].isin(*SLICES), "SLICE")), lambda x: x.isNotNull())
@@ -159,6 +162,9 @@ def tests(classes: DataFrame, present: DataFrame) -> Facts:
     held = fields(rows).select("fqn", F.when(has(F.col("marks"), "InjectMocks"), "TESTS").when(has(F.col("marks"), "Mock", "MockBean"), "MOCKS").alias("edge"), F.regexp_replace("kind", r"(\[\])+$", "").alias("to"))
     wanted = unite(named, held.where("edge is not null")).distinct()
     ids = present.select(class_id(F.regexp_replace("id", "^class:", "")).alias("id"), F.regexp_replace("id", "^class:", "").alias("to")).where("id is not null")
+    if full_names:
+        met = wanted.withColumn("to", F.regexp_extract("to", r"^([\w$.]*)", 1)).join(ids, "to")
+        return Facts(made, edges(met, test, F.col("id"), F.col("edge")).distinct())
     names = present.select("id", F.explode(F.array_distinct(F.array("name", last_name(F.col("name"))))).alias("simple"))
     by_name = names.groupBy("simple").agg(F.min("id").alias("other"))
     met = wanted.join(ids, "to", "left").withColumn("simple", last_name(F.col("to"))).join(by_name, "simple", "left").withColumn("target", F.coalesce("id", "other"))

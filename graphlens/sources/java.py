@@ -21,8 +21,8 @@ CALL = "struct<scope:string,name:string,args:array<string>,text:string,loops:arr
 CLASSES = (
     "array<struct<package:string,name:string,fqn:string,kind:string,at:int,extends:array<string>,implements:array<string>,"
     f"annotations:array<{ANNOTATION}>,fields:array<{PARAM}>,constructors:array<struct<params:array<{PARAM}>>>,"
-    f"methods:array<struct<name:string,type:string,params:array<{PARAM}>,annotations:array<{ANNOTATION}>,body:string,calls:array<{CALL}>>>,"
-    f"calls:array<{CALL}>>>"
+    f"methods:array<struct<name:string,type:string,params:array<{PARAM}>,annotations:array<{ANNOTATION}>,body:string,calls:array<{CALL}>,"
+    f"locals:array<struct<name:string,type:string>>>>,calls:array<{CALL}>,imports:array<string>>>"
 )
 TOKEN = re.compile(
     r"//[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[\w$]+(?:\.\d+)?|->|::|\.\.\.|\S", re.DOTALL
@@ -36,15 +36,34 @@ NO_CALLS = frozenset(
     "if for while switch catch synchronized return throw assert else do try new super this instanceof case yield".split()
 )
 CLOSES = {"(": ")", "[": "]", "{": "}", "<": ">"}
+NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
 
-def words(tokens: list[str]) -> str:
-    """Tokens as text: a space between words and after commas only."""
-    out = ""
+def pieces(tokens: list[str]) -> list[str]:
+    """Each token as it stands in a text: a space between words and after commas only."""
+    out, last = [], ""
     for t in tokens:
-        wide = out and (out[-1].isalnum() or out[-1] in "_$?\"'") and (t[0].isalnum() or t[0] in "_$@")
-        out += (" " if wide else "") + t + (" " if t == "," else "")
-    return out.strip()
+        wide = last and (last.isalnum() or last in "_$?\"'") and (t[0].isalnum() or t[0] in "_$@")
+        out.append((" " if wide else "") + t + (" " if t == "," else ""))
+        last = out[-1][-1]
+    return out
+
+
+def words(tokens: list[str]) -> str:
+    """Tokens as text."""
+    return "".join(pieces(tokens)).strip()
+
+
+def matches(tokens: list[str]) -> list[int]:
+    """For each bracket the place of its partner; its own place where it has none. Kinds of brackets count alike, as in close()."""
+    out, opened = list(range(len(tokens))), []
+    for at, t in enumerate(tokens):
+        if t in ("(", "[", "{"):
+            opened.append(at)
+        elif t in (")", "]", "}") and opened:
+            start = opened.pop()
+            out[at], out[start] = start, at
+    return out
 
 
 class Reader:
@@ -52,7 +71,7 @@ class Reader:
 
     def __init__(self, text: str) -> None:
         self.tokens = [t for t in TOKEN.findall(text) if not t.startswith(("//", "/*"))]
-        self.at, self.package, self.found = 0, "", []
+        self.at, self.package, self.found, self.imports = 0, "", [], []
 
     def peek(self, ahead: int = 0) -> str:
         at = self.at + ahead
@@ -86,6 +105,9 @@ class Reader:
                     name.append(self.take())
                 if first == "package":
                     self.package = "".join(name)
+                elif name:
+                    # `static` stays in front: what follows may be a member as well as a type
+                    self.imports.append(words(name))
             elif not self.declaration([]):
                 self.take()
         return self.found
@@ -113,7 +135,7 @@ class Reader:
         """A type with its arguments and dimensions."""
         out = []
         while self.peek():
-            if self.peek() == "@":
+            if self.peek() == "@" and self.peek(1) != "interface":
                 self.marks()
                 continue
             out.append(self.take())
@@ -142,7 +164,7 @@ class Reader:
         made = {
             "package": self.package, "name": name, "fqn": ".".join([*filter(None, [self.package]), *outer, name]), "kind": "annotation" if annotation else kind,
             "at": len(self.found), "extends": [], "implements": [], "annotations": marks, "fields": [], "constructors": [],
-            "methods": [], "calls": [],
+            "methods": [], "calls": [], "imports": self.imports,
         }
         self.found.append(made)
         where = None
@@ -165,7 +187,10 @@ class Reader:
                 depth += (self.peek() in "([{") - (self.peek() in ")]}")
                 self.take()
         while self.at < end - 1:
+            before = self.at
             self.member(made, [*outer, name], end)
+            # whatever cannot be read is passed over
+            self.at = max(self.at, before + 1)
         self.at = end
         return True
 
@@ -183,12 +208,12 @@ class Reader:
             kind = "" if built else self.type()
             name = self.take()
             if self.peek() == "(":
-                method = {"name": name, "type": kind, "params": params(self.group()), "annotations": marks, "body": None, "calls": []}
+                method = {"name": name, "type": kind, "params": params(self.group()), "annotations": marks, "body": None, "calls": [], "locals": []}
                 while self.peek() not in ("{", ";", "") and self.at < end:
                     self.take()
                 if self.peek() == "{":
                     inside = self.group()
-                    method |= {"body": lines(inside), "calls": calls(inside)}
+                    method |= {"body": lines(inside), "calls": calls(inside), "locals": variables(inside)}
                 else:
                     self.take()
                 made["constructors" if built else "methods"].append(method)
@@ -278,48 +303,85 @@ def loops(tokens: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
-def scope(tokens: list[str], end: int) -> int:
-    """Where the expression starts that ends before `end`."""
-    at = end
-    while at > 0:
-        t = tokens[at - 1]
+def starts(tokens: list[str], match: list[int]) -> list[int]:
+    """For each place the start of the expression that ends before it, in one pass: each looks at shorter ones."""
+    out = [0] * (len(tokens) + 1)
+    for end in range(1, len(tokens) + 1):
+        t, at = tokens[end - 1], end
         if t in (")", "]"):
-            depth = 0
-            while at > 0:
-                at -= 1
-                depth += (tokens[at] in (")", "]", "}")) - (tokens[at] in ("(", "[", "{"))
-                if depth == 0:
-                    break
-            if at and re.match(r"[\w$]+$", tokens[at - 1]) and tokens[at - 1] not in NO_CALLS - {"this", "super"}:
+            at = match[end - 1]
+            before = tokens[at - 1] if at else ""
+            if at and re.match(r"[\w$]+$", before) and before not in NO_CALLS - {"this", "super"}:
+                out[end] = out[at]
                 continue
         elif re.match(r"[\w$\"']", t):
+            at = end - 1
+        if at < end and at > 1 and tokens[at - 1] == ".":
+            at = out[at - 1]
+        if at and tokens[at - 1] == "new":
             at -= 1
-        if at and tokens[at - 1] == ".":
-            at -= 1
-            continue
-        break
-    return at - 1 if at and tokens[at - 1] == "new" else at
+        out[end] = at
+    return out
 
 
 def calls(tokens: list[str]) -> list[dict]:
     """The method calls of a body in order."""
-    reader, around, out = Reader(""), loops(tokens), []
-    reader.tokens = tokens
+    around, out, match = loops(tokens), [], matches(tokens)
+    begins, parts = starts(tokens, match), pieces(tokens)
+    text, ends = "".join(parts), [0]
+    for p in parts:
+        ends.append(ends[-1] + len(p))
     for at, t in enumerate(tokens):
         if tokens[at + 1 : at + 2] != ["("] or not re.match(r"[A-Za-z_$][\w$]*$", t) or t in NO_CALLS:
             continue
-        end = reader.close(at + 1)
-        start = scope(tokens, at - 1) if at and tokens[at - 1] == "." else at
+        end = match[at + 1] + 1 if match[at + 1] > at + 1 else len(tokens)
+        start = begins[at - 1] if at and tokens[at - 1] == "." else at
         if start == at and at and (tokens[at - 1] == "new" or re.match(r"[\w$>\]]", tokens[at - 1]) and tokens[at - 1] not in NO_CALLS):
             continue  # a constructor's call or a local declaration
+        if tokens[start] == "new" and all(x == "." or NAME.fullmatch(x) for x in tokens[start + 1 : at]):
+            continue  # a constructor's call by a longer name
         out.append({
-            "scope": words(tokens[start : at - 1]) if start < at else None, "name": t,
-            "args": [words(a) for a in split(tokens[at + 2 : end - 1])], "text": words(tokens[start:end]),
+            "scope": text[ends[start] : ends[at - 1]].strip() if start < at else None, "name": t,
+            "args": [words(a) for a in split(tokens[at + 2 : end - 1])], "text": text[ends[start] : ends[end]].strip(),
             "loops": [{"n": n, "type": kind} for n, (kind, a, b) in enumerate(around) if a <= at < b],
         })
     return out
 
 
+def variables(tokens: list[str]) -> list[dict]:
+    """The local variables of a body with their types; `var` has the type that it is made of, if it is made here."""
+    out = []
+    for at, t in enumerate(tokens):
+        if at == 0 or tokens[at + 1 : at + 2] not in (["="], [";"], [":"]) or not NAME.fullmatch(t) or t in NO_CALLS:
+            continue
+        start = at
+        while start and tokens[start - 1] in ("[", "]"):
+            start -= 1
+        if start and tokens[start - 1] == ">":
+            depth = 0
+            while start:
+                start -= 1
+                depth += (tokens[start] == ">") - (tokens[start] == "<")
+                if depth == 0 or tokens[start] in (";", "{", "}", "("):
+                    break
+        begin = start
+        while begin and NAME.fullmatch(tokens[begin - 1]) and tokens[begin - 1] not in NO_CALLS and tokens[begin - 1] not in MODIFIERS:
+            begin -= 1
+            if begin and tokens[begin - 1] == ".":
+                begin -= 1
+            else:
+                break
+        kind = words(tokens[begin:at])
+        if begin == at or begin == start or tokens[begin : begin + 1] == ["."]:
+            continue
+        if kind == "var":
+            made = tokens[at + 2 : at + 3] == ["new"]
+            kind = re.match(r"[\w$.]*", words(tokens[at + 3 : at + 12])).group() if made else ""
+        if kind:
+            out.append({"name": t, "type": kind})
+    return out
+
+
 def declarations(text: str | None) -> list[dict] | None:
     """The types that a file declares; None where it cannot be read."""
     try:
@@ -339,6 +401,11 @@ def parsed(files: DataFrame) -> DataFrame:
     return rows.select("file", F.when(F.col("types").isNull(), "failed").otherwise("parsed").alias("status"), "types")
 
 
+def types(files: DataFrame) -> DataFrame:
+    """One row for each declared type: file, package, name, fqn, kind, annotations, fields, methods, calls, imports ..."""
+    return parsed(files).select("file", F.inline("types"))
+
+
 def classes(files: DataFrame) -> DataFrame:
-    """One row for each class and interface: file, package, name, fqn, annotations, fields, methods, calls ..."""
-    return parsed(files).select("file", F.inline("types")).where("kind in ('class', 'interface')")
+    """The classes and interfaces among types()."""
+    return types(files).where("kind in ('class', 'interface')")
