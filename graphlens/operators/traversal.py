@@ -174,62 +174,142 @@ def cycles(graph: Graph, longest: int = 4, kind: str = "INJECTS") -> DataFrame:
     return every.select("length", F.concat(F.array_join("path", " -> "), F.lit(" -> "), F.get("path", F.lit(0))).alias("path")).distinct()
 
 
-#: Hops that one written round of a spreading value takes; each doubles the round's plan.
-UNROLLED = 2
-
-
-def _spread(steps: DataFrame, values: DataFrame) -> DataFrame:
-    """(id, v): the least value that reaches each id along steps (from_id, to_id), its own included."""
-    now = values
+def _spread(steps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, v): the least key that reaches each key along steps (a, b), its own included."""
+    now = keys.select("k", F.col("k").alias("v"))
     while True:
         before = now
-        for _ in range(UNROLLED):
-            lower = steps.join(now, F.col("from_id") == F.col("id")).groupBy(F.col("to_id").alias("id")).agg(F.min("v").alias("w"))
-            now = now.join(lower, "id", "left").select("id", F.coalesce(F.least("v", "w"), "v").alias("v"))
+        for _ in range(2):
+            lower = steps.join(now, F.col("a") == F.col("k")).groupBy(F.col("b").alias("k")).agg(F.min("v").alias("w"))
+            now = now.join(lower, "k", "left").select("k", F.coalesce(F.least("v", "w"), "v").alias("v"))
         now = settle(now, "spread")
-        if now.join(before.withColumnRenamed("v", "w"), "id").where("v <> w").isEmpty():
+        if now.join(before.withColumnRenamed("v", "w"), "k").where("v <> w").isEmpty():
             return now
 
 
-def on_cycles(graph: Graph, kind: str = "INJECTS") -> DataFrame:
-    """(id, component): every node on a cycle of any length, with the least id of its strongly connected component.
+def _swapped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
-    Rounds: nodes that no edge enters or leaves go while many do; the least id that reaches a node
-    is its colour; what reaches the node of that id inside the colour is that node's component. Edges
-    between different colours are on no cycle and go, and the rest is coloured again.
+
+def _without(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """Edges that none of the keys (k) is an end of."""
+    for end in ("a", "b"):
+        edges = edges.join(keys.select(F.col("k").alias(end)), end, "left_anti")
+    return edges.select("a", "b")
+
+
+def _dead_ends(edges: DataFrame, count: int) -> DataFrame:
+    """(k): nodes from which only one way leads on, to a node that nothing leaves. Ways double in length each round."""
+    out = edges.groupBy(F.col("a").alias("k")).agg(F.count("*").alias("n"), F.min("b").alias("p"))
+    ends = edges.select(F.col("b").alias("k")).distinct().join(out, "k", "left_anti").select("k", F.col("k").alias("p"), F.lit(True).alias("end"))
+    ways = settle(out.select("k", F.when(F.col("n") == 1, F.col("p")).otherwise(F.col("k")).alias("p"), F.lit(False).alias("end")).unionByName(ends), "ways")
+    for _ in range(0, count.bit_length() + 1, 2):
+        now = ways
+        for _ in range(2):
+            now = now.select("k", "p").join(now.select(F.col("k").alias("p"), F.col("p").alias("q"), "end"), "p").select("k", F.col("q").alias("p"), "end")
+        now = settle(now, "ways")
+        still = now.join(ways.select("k", F.col("p").alias("q")), "k").where("p <> q").isEmpty()
+        ways = now
+        if still:
+            break
+    return ways.where("end").select("k")
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (a, b) without those that no cycle can hold, and how many there are.
+
+    Nodes that nothing enters or leaves go, round by round while many do; then whole paths that end in such.
     """
-    rest = settle(graph.links(kind).select("source_id", "target_id").distinct(), "cycle-edges")
-    count, parts = rest.count(), []
-    while count:
-        left = 2 * count
-        # the colouring bears what a few trimmings leave
-        while count and count < 0.9 * left:
-            left = count
-            entered = rest.select(F.col("target_id").alias("source_id")).distinct()
-            left_by = rest.select(F.col("source_id").alias("target_id")).distinct()
-            inner = rest.join(entered, "source_id", "left_semi").join(left_by, "target_id", "left_semi")
-            rest = settle(inner.select("source_id", "target_id"), "cycle-edges")
+    rest, count, before = edges, edges.count(), None
+    while count and (before is None or count < 0.9 * before):
+        before = count
+        entered, left = rest.select(F.col("b").alias("a")).distinct(), rest.select(F.col("a").alias("b")).distinct()
+        rest = settle(rest.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b"), "cycle-edges")
+        count = rest.count()
+        if count and 0.9 * before <= count < before:
+            for turned in (rest, _swapped(rest)):
+                rest = settle(_without(rest, _dead_ends(turned, count)), "cycle-edges")
             count = rest.count()
-        if not count:
+    return rest, count
+
+
+def _rings(edges: DataFrame, count: int) -> DataFrame:
+    """(k, v): nodes on the cycles that are made by each node's least successor, with the cycle's least key.
+
+    Ways double in length each round. Once their ends stay the same nodes, these are the nodes on cycles; once
+    neighbours on a cycle have met the same least key, it is the cycle's.
+    """
+    first = settle(edges.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("f")), "ways")
+    ways, ends = first.select("k", "f", F.col("f").alias("p"), F.least("k", "f").alias("v")), None
+    for _ in range(0, count.bit_length() + 1, 2):
+        for _ in range(2):
+            on = ways.select(F.col("k").alias("p"), F.col("p").alias("q"), F.col("v").alias("w"))
+            ways = ways.join(on, "p").select("k", "f", F.col("q").alias("p"), F.least("v", "w").alias("v"))
+        ways = settle(ways, "ways")
+        ringed = ways.join(ways.select(F.col("p").alias("k")).distinct(), "k", "left_semi")
+        known = ringed.join(ways.select(F.col("k").alias("f"), F.col("v").alias("w")), "f")
+        n, open_ = known.agg(F.count("*"), F.count(F.when(F.col("v") != F.col("w"), 1))).first()
+        if n == ends and not open_:
             break
-        forth = rest.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"))
-        ids = rest.select(F.col("source_id").alias("id")).union(rest.select("target_id")).distinct()
-        colours = _spread(forth, ids.withColumn("v", F.col("id"))).withColumnRenamed("v", "colour")
-        a, b = colours.toDF("source_id", "from_colour"), colours.toDF("target_id", "to_colour")
-        same = settle(rest.join(a, "source_id").join(b, "target_id").where("from_colour = to_colour").select("source_id", "target_id"), "cycle-same")
-        back = same.select(F.col("target_id").alias("from_id"), F.col("source_id").alias("to_id"))
-        reached = _spread(back, colours.select("id", F.when(F.col("id") == F.col("colour"), 0).otherwise(1).alias("v"))).where("v = 0")
-        found = settle(reached.join(colours, "id").select("id", F.col("colour").alias("component")), "cycle-found")
-        sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-        loops = same.where("source_id = target_id").select(F.col("source_id").alias("id"), F.lit(True).alias("loop")).distinct()
-        # a component of one node is a cycle only by an edge to itself
-        parts.append(found.join(sizes, "component").join(loops, "id", "left").where((F.col("n") > 1) | F.col("loop")).select("id", "component"))
-        for end in ("source_id", "target_id"):
-            same = same.join(found.select(F.col("id").alias(end)), end, "left_anti")
-        rest = settle(same.select("source_id", "target_id"), "cycle-edges")
-        count = rest.count()
+        ends = n
+    return ringed.select("k", "v")
+
+
+def _coloured(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components (k, v) of the least key that reaches each node, and the edges that may be in others.
+
+    The least key that reaches a node is its colour; nodes that reach that key inside the colour are its
+    component. Edges between colours are on no cycle.
+    """
+    keys = rest.select(F.col("a").alias("k")).union(rest.select("b")).distinct()
+    colours = _spread(rest, keys)
+    a, b = colours.toDF("a", "from_colour"), colours.toDF("b", "to_colour")
+    same = settle(rest.join(a, "a").join(b, "b").where("from_colour = to_colour").select("a", "b"), "cycle-same")
+    back = _spread(_swapped(same), keys).withColumnRenamed("v", "w")
+    found = settle(back.join(colours, "k").where("v = w").select("k", "v"), "cycle-found")
+    return found, _without(same, found)
+
+
+def on_cycles(graph: Graph, kind: str = "INJECTS") -> DataFrame:
+    """(id, component): every node on a cycle of any length, with the least id of its strongly connected component.
+
+    Cycles along single successors are contracted first, in rounds that grow with the logarithm of their
+    length; where that leaves most nodes, as among many edges, whole components are found by colours
+    instead. Both go on with what is left, and nothing is done where trimming leaves no edge.
+    """
+    named = settle(graph.links(kind).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "cycle-edges")
     none = graph.edges.sparkSession.createDataFrame([], "id string, component string")
-    return settle(reduce(DataFrame.unionByName, parts), "cycle-components") if parts else none
+    rest, count = _trimmed(named)
+    if not count:
+        return none
+    nodes = lambda e: e.select(F.col("a").alias("k")).union(e.select("b")).distinct()
+    ids = settle(nodes(rest).select(F.col("k").alias("id"), F.monotonically_increasing_id().alias("k")), "cycle-keys")
+    for end in ("a", "b"):
+        rest = rest.join(ids.toDF(end, f"_{end}"), end)
+    rest = settle(rest.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "cycle-edges")
+    loops = rest.where("a = b").select(F.col("a").alias("k")).distinct()
+    rest, roots, n = rest.where("a <> b"), ids.select("k", F.col("k").alias("root")), ids.count()
+    rest, count = _trimmed(settle(rest, "cycle-edges"))
+
+    def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+        return settle(roots.join(found.select(F.col("k").alias("root"), "v"), "root", "left").select("k", F.coalesce("v", "root").alias("root")), "cycle-roots")
+
+    while count:
+        found = settle(_rings(rest, count), "cycle-rings")
+        roots = merged(roots, found)
+        for end in ("a", "b"):
+            rest = rest.join(found.select(F.col("k").alias(end), F.col("v").alias("_v")), end, "left").withColumn(end, F.coalesce("_v", end)).drop("_v")
+        rest, count = _trimmed(settle(rest.select("a", "b").where("a <> b").distinct(), "cycle-edges"))
+        before, n = n, nodes(rest).count() if count else 0
+        if n > before / 2:
+            found, left = _coloured(rest)
+            roots = merged(roots, found)
+            rest, count = _trimmed(settle(left, "cycle-edges"))
+            n = nodes(rest).count() if count else 0
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    knotted = roots.join(sizes, "root").join(loops.withColumn("loop", F.lit(True)), "k", "left").where((F.col("n") > 1) | F.col("loop"))
+    members = settle(knotted.join(ids, "k").select("id", "root"), "cycle-components")
+    return members.join(members.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
 def neighbours(graph: Graph, node_id: str) -> DataFrame:
