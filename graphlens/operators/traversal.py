@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,18 +272,80 @@ def _coloured(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, _without(same, found)
 
 
-def on_cycles(graph: Graph, kind: str = "INJECTS") -> DataFrame:
+#: Edges up to which a task of its own finds their components: some MB, whatever the graph.
+FEW = 200_000
+
+
+def knots(pairs: list[tuple]) -> list[tuple]:
+    """(node, least node of its component) of the nodes on cycles of a few edges: a depth-first search with low links."""
+    out, loops = {}, {a for a, b in pairs if a == b}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    order, low, waiting, on, found = {}, {}, [], set(), []
+    for root in out:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        waiting.append(root)
+        on.add(root)
+        path = [(root, iter(out[root]))]
+        while path:
+            node, rest = path[-1]
+            new = None
+            for x in rest:
+                if x not in order:
+                    new = x
+                    break
+                if x in on:
+                    low[node] = min(low[node], order[x])
+            if new is not None:
+                order[new] = low[new] = len(order)
+                waiting.append(new)
+                on.add(new)
+                path.append((new, iter(out[new])))
+                continue
+            path.pop()
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[node])
+            if low[node] == order[node]:
+                members = []
+                while not members or members[-1] != node:
+                    members.append(waiting.pop())
+                on.difference_update(members)
+                if len(members) > 1 or node in loops:
+                    least = min(members)
+                    found += [(m, least) for m in members]
+    return found
+
+
+def _few(edges: DataFrame, kind: str) -> DataFrame:
+    """(k, v): knots() of edges (a, b) that are known to be few; k and v of a type."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = [p for f in frames for p in zip(f["a"].tolist(), f["b"].tolist(), strict=True)]
+        yield pd.DataFrame(knots(pairs), columns=["k", "v"])
+
+    return edges.repartition(1).mapInPandas(task, f"k {kind}, v {kind}")
+
+
+def on_cycles(graph: Graph, kind: str = "INJECTS", few: int = FEW) -> DataFrame:
     """(id, component): every node on a cycle of any length, with the least id of its strongly connected component.
 
     Cycles along single successors are contracted first, in rounds that grow with the logarithm of their
     length; where that leaves most nodes, as among many edges, whole components are found by colours
-    instead. Both go on with what is left, and nothing is done where trimming leaves no edge.
+    instead. Both go on with what is left; edges that no cycle can hold go before each round. As soon as
+    at most `few` edges are left, one task finds their components.
     """
     named = settle(graph.links(kind).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "cycle-edges")
     none = graph.edges.sparkSession.createDataFrame([], "id string, component string")
-    rest, count = _trimmed(named)
+    rest, count = named, named.count()
+    if count > few:
+        rest, count = _trimmed(named)
     if not count:
         return none
+    if count <= few:
+        return settle(_few(rest, "string").toDF("id", "component"), "cycle-components")
     nodes = lambda e: e.select(F.col("a").alias("k")).union(e.select("b")).distinct()
     ids = settle(nodes(rest).select(F.col("k").alias("id"), F.monotonically_increasing_id().alias("k")), "cycle-keys")
     for end in ("a", "b"):
@@ -294,18 +358,20 @@ def on_cycles(graph: Graph, kind: str = "INJECTS") -> DataFrame:
     def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
         return settle(roots.join(found.select(F.col("k").alias("root"), "v"), "root", "left").select("k", F.coalesce("v", "root").alias("root")), "cycle-roots")
 
-    while count:
+    while count > few:
         found = settle(_rings(rest, count), "cycle-rings")
         roots = merged(roots, found)
         for end in ("a", "b"):
             rest = rest.join(found.select(F.col("k").alias(end), F.col("v").alias("_v")), end, "left").withColumn(end, F.coalesce("_v", end)).drop("_v")
         rest, count = _trimmed(settle(rest.select("a", "b").where("a <> b").distinct(), "cycle-edges"))
         before, n = n, nodes(rest).count() if count else 0
-        if n > before / 2:
+        if count > few and n > before / 2:
             found, left = _coloured(rest)
             roots = merged(roots, found)
             rest, count = _trimmed(settle(left, "cycle-edges"))
             n = nodes(rest).count() if count else 0
+    if count:
+        roots = merged(roots, settle(_few(rest, "long"), "cycle-few"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     knotted = roots.join(sizes, "root").join(loops.withColumn("loop", F.lit(True)), "k", "left").where((F.col("n") > 1) | F.col("loop"))
     members = settle(knotted.join(ids, "k").select("id", "root"), "cycle-components")
