@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from graphlens.sources import files as source_files
 from graphlens.sources import java
 from graphlens.storage import settle
 
+#: Resolvers whose facts are written at the same time.
+AT_ONCE = 8
 KINDS = "*.{java,sql,xml,yaml,yml,json,properties,gradle,kts}"
 
 
@@ -51,6 +55,27 @@ def facts_of(
     accept and return (transfers).
     """
     types = settle(java.types(files), "types")
+    return facts_from(types, settle(kept_texts(files), "texts"), root, profiles, heads, by_simple_name, by_field_type, match_if_missing, by_import)
+
+
+def kept_texts(files: DataFrame) -> DataFrame:
+    """(file, text): what the resolvers read beside declarations: all of other files, of Java files lines with web clients."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(runtime.CLIENTS))
+    return files.select("file", F.when(F.col("file").endswith(".java"), F.array_join(lines, "\n")).otherwise(F.col("text")).alias("text"))
+
+
+def facts_from(
+    types: DataFrame,
+    files: DataFrame,
+    root: str = "/",
+    profiles: tuple[str, ...] = (),
+    heads: DataFrame | None = None,
+    by_simple_name: bool = False,
+    by_field_type: bool = False,
+    match_if_missing: bool = False,
+    by_import: bool = False,
+) -> Facts:
+    """All facts of declared types (java.types) and kept texts; the rest as in facts_of()."""
     if by_import:
         types = settle(symbols.qualified(types), "types")
     classes = types.where("kind in ('class', 'interface')")
@@ -79,7 +104,17 @@ def facts_of(
         parts.append(transfers.transfers(types, ends.nodes, data.nodes))
     if heads is not None:
         parts.append(builds.generated_proxies(heads))
-    return together(parts)
+    return together(_concurrently(parts))
+
+
+def _concurrently(parts: list[Facts]) -> list[Facts]:
+    """Each resolver's facts written to the shared folder, several resolvers at a time: their plans are long and their rows few."""
+
+    def write(part: Facts) -> Facts:
+        return Facts(settle(part.nodes, "facts"), settle(part.edges, "fact-edges"))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(write, parts))
 
 
 def graph_of(found: Facts) -> Graph:

@@ -51,6 +51,9 @@ NATIVE = {
     "lazy": ("Uses @Lazy injection", "Test the changed order of initialisation in native mode."),
 }
 
+#: Lines on which addresses of remote services are looked for.
+CLIENTS = "WebClient|RestTemplate"
+
 
 def _value(name: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), name)
@@ -138,7 +141,7 @@ def remote_calls(classes: DataFrame, files: DataFrame, present: DataFrame) -> Fa
         nodes(feign, service, F.col("service"), "EXTERNAL_SERVICE", 3, protocol=F.lit("Feign")),
         nodes(feign, client, F.col("fqn"), "FEIGN_CLIENT", 3, serviceName=F.col("service")),
     )
-    lines = files.select("file", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("WebClient|RestTemplate"))
+    lines = files.select("file", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(CLIENTS))
     address = F.trim(unquoted(F.regexp_extract("line", r".\.uri\(([^)]+)\)", 1)))
     host = F.when(address.contains("://"), F.regexp_extract(address, r"://([^/]*)", 1)).otherwise(address)
     hosts = lines.select("file", host.alias("service")).where("service <> ''").distinct().join(classes.select("file", "fqn"), "file")
