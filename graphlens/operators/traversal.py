@@ -1,4 +1,4 @@
-"""Traversals: frontier joins, one shuffle a hop, with visited ids removed by an anti-join."""
+"""Traversals: frontier joins with visited ids removed by an anti-join. Edges are bucketed once, so a hop shuffles its front only."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.model import Graph
-from graphlens.storage import settle
+from graphlens.storage import bucketed, settle
 
 
 def resolve_id(graph: Graph, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int | None, both_ways: bool
     Dangling ids are walked through like any others. Without per_seed an id comes once, with its
     distance from the nearest seed, and seed is null: the walk then never holds more rows than ids.
     """
-    steps = settle(_steps(edges, both_ways), "steps")
+    steps = bucketed(_steps(edges, both_ways), "steps", "from_id")
     seed = F.col("id") if per_seed else F.lit(None).cast("string")
     key = ["seed", "id"] if per_seed else ["id"]
     front = settle(seeds.select(seed.alias("seed"), "id", F.lit(0).cast("long").alias("depth")).distinct(), "front")
@@ -58,7 +58,7 @@ def reach_of_several(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame
     Each id keeps the two nearest of the seeds that reach it: they decide both, so the walk holds at
     most two rows an id however many seeds there are.
     """
-    steps = settle(_steps(edges, True), "steps")
+    steps = bucketed(_steps(edges, True), "steps", "from_id")
     held = settle(seeds.select("id", F.col("id").alias("seed"), F.lit(0).cast("long").alias("depth")).distinct(), "held")
     front = held
     for hop in range(1, hops + 1):

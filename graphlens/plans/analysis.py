@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.model import Graph, fold_edges, fold_nodes
-from graphlens.resolvers import beans, builds, persistence, runtime, symbols, transfers, web
+from graphlens.resolvers import beans, builds, persistence, registry, runtime, symbols, transfers, web
 from graphlens.resolvers.base import Facts, together
 from graphlens.sources import files as source_files
 from graphlens.sources import java
@@ -104,7 +104,7 @@ def facts_from(
         parts.append(transfers.transfers(types, ends.nodes, data.nodes))
     if heads is not None:
         parts.append(builds.generated_proxies(heads))
-    return together(_concurrently(parts))
+    return together(_concurrently(parts + registry.resolved(types, files)))
 
 
 def _concurrently(parts: list[Facts]) -> list[Facts]:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.model import Graph
-from graphlens.operators import audit, diff, health, projects, search, traversal
+from graphlens.operators import audit, diff, health, index, projects, search, traversal
+from graphlens.plans import code
 from graphlens.plans.projection import endpoint_id, project
 from graphlens.sources import graph_files
 from graphlens.storage import settle
@@ -28,6 +29,16 @@ def stored(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges)
 
 
+@lru_cache(maxsize=8)
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of all nodes of the stored graph."""
+    return index.build(stored(spark, sf_dir).nodes)
+
+
+def _search(query: str) -> Query:
+    return lambda spark, sf_dir: index.search(indexed(spark, sf_dir), stored(spark, sf_dir).nodes, query)
+
+
 def _graph(f: Callable[[Graph], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(stored(spark, sf_dir))
 
@@ -115,7 +126,7 @@ def custom_rule(graph: Graph) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Query name -> function of (spark, sf_dir)."""
-    return {
+    return code.queries() | {
         "graph_summary": _graph(audit.graph_summary),
         "api_surface": _graph(audit.api_surface),
         "trace_message_flow": _graph(lambda g: audit.message_flow(g, "purchase")),
@@ -166,5 +177,9 @@ def queries() -> dict[str, Query]:
         "transaction_risk": _graph(lambda g: traversal.transaction_risk(g, "s3")),
         "request_flow": request_flow,
         "data_flow": _graph(lambda g: traversal.data_flow(g, "order 1", 5)),
+        "search_boolean": _search("+type:service^2 +metadata:transactional -(name:000000003 OR name:000000006)"),
+        "search_phrase": _search('name:"proxy of"^3 OR type:module'),
+        "search_prefix": _search("name:suppl* AND metadata:true"),
+        "search_near": _search("name:ordr~1 AND NOT metadata:post"),
         "search_architecture": _graph(lambda g: search.search(g, "transactional service true")),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from graphlens.plans import code_oracle
+
 _VERB = "CASE o_orderpriority WHEN '1-URGENT' THEN 'POST' WHEN '2-HIGH' THEN 'PUT' WHEN '4-NOT SPECIFIED' THEN 'DELETE' WHEN '5-LOW' THEN 'PATCH' ELSE 'GET' END"
 _EP = f"'endpoint:' || {_VERB} || ':/orders/' || o_orderkey || ':get'"
 _NATIVE = "CASE lang WHEN 'de' THEN 'Uses reflection' WHEN 'fr' THEN 'Creates dynamic proxies' WHEN 'es' THEN 'Loads resources' ELSE 'Custom scope' END"
@@ -129,8 +131,42 @@ def sql(body: str, *steps: str) -> str:
     return ", ".join((PRELUDE, *steps)) + "\n" + body
 
 
+def flat(body: str) -> str:
+    """A statement over the projected graph that needs no recursion and reads each part of it once or twice."""
+    return PRELUDE.replace("WITH RECURSIVE", "WITH").replace(" AS MATERIALIZED (", " AS (") + "\n" + body
+
+
+_META = "concat_ws(' ', artifact, file, ann, instr, proxy, verb, path, spec, dflt, version, severity, issue)"
+
+
+def _field(name: str, text: str) -> str:
+    """Words (id, w) of a field and its totals."""
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
+    return f"{name}_w AS (SELECT id, {words} AS w FROM nodes), {name}_t AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM {name}_w WHERE len(w) > 0)"
+
+
+def _met(name: str, field: str, word: str, boost: float = 1) -> str:
+    """(id, score) of the nodes with a word in a field."""
+    hits = f"SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = '{word}')) AS tf FROM {field}_w WHERE list_contains(w, '{word}')"
+    idf = "ln(1 + (docs - df + 0.5) / (df + 0.5))"
+    part = f"{boost} * {idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))"
+    return f"{name} AS (SELECT id, {part} AS score FROM ({hits}) h, {field}_t, (SELECT count(*) AS df FROM ({hits})) d)"
+
+
+def _phrase(name: str, field: str, first: str, second: str, boost: float) -> str:
+    """(id, score) of the nodes with two words in a row."""
+    tf = f"len(list_filter(range(1, len(w)), lambda i: w[i] = '{first}' AND w[i + 1] = '{second}'))"
+    idf = " + ".join(f"(SELECT ln(1 + (max(docs) - count(*) + 0.5) / (count(*) + 0.5)) FROM {field}_w, {field}_t WHERE list_contains(w, '{w}'))" for w in (first, second))
+    return f"{name} AS (SELECT id, {boost} * ({idf}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS score FROM (SELECT id, len(w) AS dl, {tf} AS tf FROM {field}_w) h, {field}_t WHERE tf > 0)"
+
+
+def _best(rows: str) -> str:
+    return f"SELECT n.id, n.name, n.type, round(s.score, 4) AS score FROM ({rows}) s JOIN nodes n USING (id) ORDER BY score DESC, n.id LIMIT 10"
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name -> SQL."""
+    name, kind, data = _field("name", "coalesce(name, '')"), _field("kind", "type"), _field("data", _META)
     start = "SELECT 'class:c0' AS id"
     closure = "clos AS (SELECT 'class:c0' AS id UNION SELECT e.t FROM clos JOIN edges e ON e.s = clos.id WHERE e.type IN ('IMPLEMENTS','EXTENDS','CALLS'))"
     trans = "SELECT id FROM nodes WHERE type = 'PROXY' AND contains(proxy, 'TRANSACTION_INTERCEPTOR')"
@@ -138,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
     terms = "toks AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', name, type, artifact, file, ann, instr, proxy, verb, path, spec, dflt, version, severity, issue)), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM nodes), post AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM toks), tf AS (SELECT id, dl, term, count(*) AS tf FROM post GROUP BY ALL), tot AS (SELECT count(*) AS docs, avg(len(w)) AS avgdl FROM toks WHERE len(w) > 0), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
     commits = "SELECT md5(conv_id || ':' || turn) AS hash, text AS message, CASE role WHEN 'user' THEN 'GPG' WHEN 'assistant' THEN 'SSH' END AS signature FROM conversations"
     old = "SELECT o_orderkey AS path, o_totalprice AS size, CASE WHEN o_orderdate < (SELECT m FROM mid) THEN o_orderstatus ELSE 'O' END AS sha256 FROM orders WHERE o_orderdate < (SELECT m FROM mid) OR o_orderstatus = 'O'"
-    return {
+    return code_oracle.oracle_sql() | {
         "graph_summary": sql("SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type"),
         "api_surface": sql("SELECT n.id, n.path, n.verb, coalesce(e.t, 'unknown') AS controller FROM nodes n LEFT JOIN edges e ON e.s = n.id AND e.type = 'ROUTES_TO' WHERE n.type = 'CONTROLLER_ENDPOINT'"),
         "trace_message_flow": sql("SELECT 'producer' AS role, s AS id, name FROM edges e LEFT JOIN nodes n ON n.id = e.s WHERE e.type = 'PUBLISHES_TO' AND t = 'message_topic:purchase' UNION ALL SELECT 'consumer', t, name FROM edges e LEFT JOIN nodes n ON n.id = e.t WHERE e.type = 'SUBSCRIBES_FROM' AND s = 'message_topic:purchase'"),
@@ -151,13 +187,17 @@ def oracle_sql() -> dict[str, str]:
         "undocumented_endpoints": sql(_UNDOCUMENTED),
         "dto_lineage": sql("SELECT CASE type WHEN 'ACCEPTS' THEN 'input' ELSE 'output' END AS direction, type AS relation, s AS id FROM edges WHERE type IN ('ACCEPTS','RETURNS') AND t = 'dto:' || (SELECT min(p_brand) FROM part) UNION ALL SELECT 'mapping', type, t FROM edges WHERE type = 'MAPS_TO' AND s = 'dto:' || (SELECT min(p_brand) FROM part)"),
         "service_topology": sql(f"SELECT n.id, n.name, count(e.s) AS n_callers, {_JOINED.format('e.s')} AS callers FROM nodes n LEFT JOIN edges e ON e.t = n.id AND e.type = 'CALLS_REMOTE' WHERE n.type = 'EXTERNAL_SERVICE' GROUP BY n.id, n.name"),
-        "resilience_gaps": sql("SELECT s AS source_id, t AS target_id FROM edges WHERE type = 'CALLS_REMOTE' AND s IN (SELECT id FROM nodes) AND t IN (SELECT id FROM nodes) AND s NOT IN (SELECT s FROM edges WHERE type = 'CALLS' AND t IN (SELECT id FROM nodes WHERE type = 'PROXY' AND regexp_matches(proxy, 'RETRY|CIRCUIT_BREAKER|BULKHEAD|TIME_LIMITER')))"),
+        "resilience_gaps": flat(
+            "SELECT e.s AS source_id, e.t AS target_id FROM edges e WHERE e.type = 'CALLS_REMOTE' AND EXISTS (SELECT 1 FROM nodes a WHERE a.id = e.s) AND EXISTS (SELECT 1 FROM nodes b WHERE b.id = e.t)"
+            " AND NOT EXISTS (SELECT 1 FROM edges c JOIN nodes p ON p.id = c.t WHERE c.s = e.s AND c.type = 'CALLS' AND p.type = 'PROXY'"
+            " AND regexp_matches(p.proxy, 'RETRY|CIRCUIT_BREAKER|BULKHEAD|TIME_LIMITER'))"
+        ),
         "test_coverage_map": sql("SELECT count(*) FILTER (x) AS tested, count(*) FILTER (NOT x AND m) AS mocked_only, count(*) FILTER (NOT x AND NOT m) AS untested FROM (SELECT id IN (SELECT t FROM edges WHERE type = 'TESTS') AS x, id IN (SELECT t FROM edges WHERE type = 'MOCKS') AS m FROM nodes WHERE type NOT IN ('TEST','PROXY','MODULE'))"),
         "untested_components": sql(_UNTESTED),
         "observability_map": sql(f"SELECT lower(n.type) AS kind, n.id, {_JOINED.format('e.s')} AS watched_by FROM nodes n LEFT JOIN edges e ON e.t = n.id AND e.type IN ('MEASURES','TRACES') WHERE n.type IN ('METRIC','TRACE_SPAN') GROUP BY n.type, n.id"),
         "uninstrumented_services": sql("SELECT id, name, type FROM nodes WHERE type IN ('SERVICE','CONTROLLER') AND instr IS NULL AND id NOT IN (SELECT s FROM edges WHERE type IN ('MEASURES','TRACES'))"),
-        "architecture_rules": sql(_VIOLATIONS.format(more="")),
-        "custom_rule": sql(_VIOLATIONS.format(more=",('OWN-001','WARNING','CALLS','CONTROLLER','SERVICE')")),
+        "architecture_rules": flat(_VIOLATIONS.format(more="")),
+        "custom_rule": flat(_VIOLATIONS.format(more=",('OWN-001','WARNING','CALLS','CONTROLLER','SERVICE')")),
         "performance_antipatterns": sql("SELECT id, CASE type WHEN 'PERFORMANCE_ISSUE' THEN 'issue' ELSE 'hint' END AS kind, name, severity FROM nodes WHERE type IN ('PERFORMANCE_ISSUE','PERFORMANCE_HINT')"),
         "entity_schema": sql("SELECT mapped, unmapped_entities, unmapped_tables, CAST(CASE WHEN mapped = 0 AND unmapped_entities = 0 THEN 100 ELSE greatest(0, 100 - 15 * unmapped_entities - 5 * unmapped_tables) END AS BIGINT) AS score FROM (SELECT count(*) FILTER (id IN (SELECT s FROM edges WHERE type = 'SCHEMA_MAPS_TO')) AS mapped, count(*) FILTER (id NOT IN (SELECT s FROM edges WHERE type = 'SCHEMA_MAPS_TO')) AS unmapped_entities FROM nodes WHERE type = 'PERSISTENCE_ENTITY'), (SELECT count(*) AS unmapped_tables FROM nodes WHERE type = 'SCHEMA_TABLE' AND id NOT IN (SELECT t FROM edges WHERE type = 'SCHEMA_MAPS_TO'))"),
         "migration_timeline": sql(f"SELECT m.id, CAST(m.version AS BIGINT) AS version, {_JOINED.format('t.name')} AS tables, {_JOINED.format('c.name')} AS columns FROM nodes m LEFT JOIN edges e ON e.s = m.id AND e.type = 'CONTAINS' LEFT JOIN nodes t ON t.id = e.t LEFT JOIN edges f ON f.s = t.id AND f.type = 'CONTAINS' LEFT JOIN nodes c ON c.id = f.t WHERE m.type = 'SCHEMA_MIGRATION' GROUP BY m.id, m.version"),
@@ -196,5 +236,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "request_flow": sql("SELECT n.id, n.name, n.type, CAST(min(depth) AS BIGINT) AS depth, coalesce(contains(any_value(proxy), 'TRANSACTION_INTERCEPTOR'), FALSE) OR coalesce(contains(any_value(ann), 'Transactional'), FALSE) AS transactional FROM seen JOIN nodes n USING (id) GROUP BY n.id, n.name, n.type", _bfs(_calls("'ROUTES_TO','CALLS','INJECTS','IMPLEMENTS'"), f"SELECT {_EP} AS id FROM orders WHERE o_orderkey = 1", 40)),
         "data_flow": sql("SELECT n.id, n.name, n.type, CAST(d AS BIGINT) AS depth, d > 0 AND n.id IN (SELECT t FROM edges WHERE type IN ('RETURNS','MAPS_TO')) AS sink FROM (SELECT id, min(depth) AS d FROM seen GROUP BY id) JOIN nodes n USING (id)", _bfs(flow_edges, "SELECT id FROM nodes WHERE contains(name, 'order 1')", 5)),
+        "search_boolean": sql(
+            _best("SELECT id, a.score + b.score AS score FROM a JOIN b USING (id) WHERE id NOT IN (SELECT id FROM name_w WHERE list_contains(w, '000000003') OR list_contains(w, '000000006'))"),
+            kind, data, name, _met("a", "kind", "service", 2), _met("b", "data", "transactional"),
+        ),
+        "search_phrase": sql(_best("SELECT id, sum(score) AS score FROM (FROM a UNION ALL FROM b) GROUP BY id"), name, kind, _phrase("a", "name", "proxy", "of", 3), _met("b", "kind", "module")),
+        "search_prefix": sql(_best("SELECT id, 1 + a.score AS score FROM a JOIN name_w USING (id) WHERE len(list_filter(w, lambda x: starts_with(x, 'suppl'))) > 0"), name, data, _met("a", "data", "true")),
+        "search_near": sql(_best("SELECT id, CAST(1 AS DOUBLE) AS score FROM name_w WHERE len(list_filter(w, lambda x: levenshtein(x, 'ordr') <= 1)) > 0 AND id NOT IN (SELECT id FROM data_w WHERE list_contains(w, 'post'))"), name, data),
         "search_architecture": sql("SELECT n.id, n.name, n.type, score FROM (SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM tf JOIN df USING (term), tot WHERE term IN ('transactional', 'service', 'true') GROUP BY id ORDER BY score DESC, id LIMIT 10) JOIN nodes n USING (id)", terms),
     }

@@ -62,6 +62,30 @@ def write_export(graph: Graph, form: str, path: str) -> None:
     export(graph, form).write.partitionBy("part").text(path)
 
 
+#: What stands before and after the lines of a format.
+FRAMES = {
+    "graphml": (
+        '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="name" for="node" attr.name="name" attr.type="string"/>\n'
+        '<key id="type" for="all" attr.name="type" attr.type="string"/>\n<graph id="architecture" edgedefault="directed">',
+        "</graph>\n</graphml>",
+    ),
+    "dot": ("digraph architecture {\n  rankdir=LR;", "}"),
+}
+
+
+def write_document(graph: Graph, form: str, path: str) -> None:
+    """Writes a document of a format: text files that, one after another by name, are the document.
+
+    The rows are dealt to files by their place (head, nodes, edges, foot), so no task holds them all.
+    """
+    head, foot = FRAMES.get(form.lower(), (None, None))
+    lines = export(graph, form).select(F.when(F.col("part") == "node", 1).otherwise(2).alias("n"), "value")
+    if head:
+        lines = lines.unionByName(graph.nodes.sparkSession.createDataFrame([(0, head), (3, foot)], "n int, value string"))
+    files = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(files, "n", "value").sortWithinPartitions("n", "value").select("value").write.text(path)
+
+
 def write_json(graph: Graph, path: str) -> None:
     """One JSON document that read_json() reads: for graphs that one task can write, others are tables.
 

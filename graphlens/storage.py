@@ -30,3 +30,15 @@ def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     else:
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """Writes df in buckets of a column, as many as a shuffle has partitions, and reads it back.
+
+    A join on that column then shuffles the other side only, however often it is joined.
+    """
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{table}"
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(table)
+    return spark.table(table)

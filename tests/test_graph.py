@@ -141,3 +141,48 @@ def test_backlog_and_request_flow_are_whole(spark):
     assert {r.id for r in traversal.request_flow(g, "get", "/x").collect()} == {"e", *chain}
     small = graph(spark, [("x", "SERVICE", {}), ("y", "SERVICE", {})], [("x", "y", "INJECTS"), ("y", "x", "INJECTS")])
     assert {"dependency cycle", "untested", "not instrumented"} <= {r.reason for r in health.backlog(small).collect()}
+
+
+def test_documents_can_be_loaded(spark, tmp_path):
+    import glob
+    import xml.etree.ElementTree as ET
+
+    g = graph(spark, [(f'n{i}"<&', "SERVICE", {}) for i in range(40)], [('n1"<&', 'n2"<&', "CALLS"), ('n2"<&', "gone", "CALLS")])
+
+    def whole(form):
+        graph_files.write_document(g, form, str(tmp_path / form))
+        return "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/{form}/part-*.txt")))
+
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    (found,) = ET.fromstring(whole("graphml")).findall(f"{space}graph")
+    assert sorted(n.get("id") for n in found.findall(f"{space}node")) == sorted(f'n{i}"<&' for i in range(40))
+    assert [(e.get("source"), e.get("target")) for e in found.findall(f"{space}edge")] == [('n1"<&', 'n2"<&'), ('n2"<&', "gone")]
+    lines = whole("dot").splitlines()
+    assert lines[0] == "digraph architecture {" and lines[-1] == "}" and len(lines) == 45 and all(x.endswith(";") for x in lines[1:-1])
+    assert whole("cypher").count("CREATE (:SERVICE") == 40
+
+
+def test_a_hop_shuffles_its_front_only(spark, monkeypatch):
+    g = graph(spark, [], [(f"n{i}", f"n{i + 1}", "CALLS") for i in range(50)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+    settle = traversal.settle
+    monkeypatch.setattr(traversal, "settle", lambda df, name, by=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, name, by))
+    try:
+        found = traversal.reach(g.edges, spark.createDataFrame([("n0",)], "id string"), 3)
+        assert {(r.id, r.depth) for r in found.collect()} == {("n0", 0), ("n1", 1), ("n2", 2), ("n3", 3)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hop = plans[1]
+    # the table of steps is scanned by buckets, with no exchange between scan and join
+    at = next(n for n, line in enumerate(hop.splitlines()) if "steps_" in line or "from_id" in line and "FileScan" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = hop.splitlines()
+    above, now = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < now:
+            above.append(line)
+            now = depth(line)
+    assert "Bucketed: true" in lines[at]
+    join = next(n for n, line in enumerate(above) if "Join" in line)
+    assert not any("Exchange" in line for line in above[:join])
