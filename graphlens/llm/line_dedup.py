@@ -183,15 +183,25 @@ def _compared(left: DataFrame, right: DataFrame, on: str, most: int) -> DataFram
     """Pairs (a, b) under a common key that a built-in banded distance finds within the edits.
 
     Both sides hold texts, so the join lets nothing through but near lines; lines that are linked
-    already are not compared.
+    already are not compared. Under each key the lines of the root that most of them have are left out
+    on one side: of two lines with different roots, one at least has another root.
     """
-    columns = (on, "length", "t", "text", "root")
-    a, b = _named(left, "a", *columns), _named(right, "b", *(c for c in columns if c != "t"))
+    columns = (on, "length", "t", "text", "root", "most")
     near = _fits(F.col("a_t"))
-    if "root" in left.columns:
-        near &= F.col("a_root") != F.col("b_root")
-    near &= F.levenshtein("a_text", "b_text", most) >= 0
-    return a.join(b, (F.col(f"a_{on}") == F.col(f"b_{on}")) & near).select(*_pair("a", "b"))
+
+    def met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
+        a, b = _named(left, "a", *columns), _named(right, "b", *(c for c in columns if c != "t"))
+        return a.join(b, (F.col(f"a_{on}") == F.col(f"b_{on}")) & near).select(*_pair("a", "b"))
+
+    close = F.levenshtein("a_text", "b_text", most) >= 0
+    if "root" not in left.columns:
+        return met(left, right, near & close)
+    main = left.groupBy(on, "root").agg(F.count("*").alias("rows")).groupBy(on).agg(F.max_by("root", F.struct("rows", "root")).alias("most"))
+    main = written(main, "lines-main")
+    left, right = left.join(main, on), right.join(main, on)
+    near &= F.col("a_root") != F.col("b_root")
+    other = F.col("root") != F.col("most")
+    return met(left.where(other), right, near & close).unionByName(met(left.where(~other), right.where(other), near & close))
 
 
 def _with_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
