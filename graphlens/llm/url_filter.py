@@ -149,8 +149,10 @@ def host_words(urls: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.length("run")),
         lambda i: F.transform(F.sequence(F.lit(1), F.length("run") - i + 1), lambda n: F.struct(i.alias("start"), n.alias("size"), F.substring(F.col("run"), i, n).alias("w"))),
     ))
-    met = short.select("run", F.inline(spans)).join(costs, "w").groupBy("run").agg(F.collect_list(F.struct("start", "size", "cost")).alias("known"))
-    cut = short.join(met, "run", "left").join(F.broadcast(dear)).select("run", _split("run", "known", "unknown").alias("words"))
+    # the first letter stays without a cost, so that a run without known words is kept
+    met = short.select("run", F.inline(spans)).join(costs, "w", "left").where("cost is not null or (start = 1 and size = 1)")
+    known = F.collect_list(F.when(F.col("cost").isNotNull(), F.struct("start", "size", "cost"))).alias("known")
+    cut = met.groupBy("run").agg(known).join(F.broadcast(dear)).select("run", _split("run", "known", "unknown").alias("words"))
     whole = held.join(written(cut, "url-splits"), "run", "left").select("host", "at", F.coalesce("words", F.array("run")).alias("words"))
     return whole.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
 
@@ -159,13 +161,13 @@ def _path_words() -> Column:
     return F.regexp_extract_all(F.translate("path", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z]+)"), 1)
 
 
-def train(urls: DataFrame, hosts: DataFrame) -> tuple[DataFrame, float]:
+def train(urls: DataFrame, hosts: DataFrame, seeds: tuple = SEEDS) -> tuple[DataFrame, float]:
     """((w, odds) of every word, log odds of the classes): add-one multinomial naive Bayes.
 
     urls has a row for each URL (host, path), hosts their words; hosts with a seed word are bad.
     """
-    seeds = F.array(*(F.lit(w) for w in SEEDS))
-    marked = hosts.select("host", "words", F.arrays_overlap("words", seeds).alias("bad"))
+    listed = F.array(*(F.lit(w) for w in seeds)).cast("array<string>")
+    marked = hosts.select("host", "words", F.arrays_overlap("words", listed).alias("bad"))
     # words of hosts and of paths are counted apart, so that neither travels with the other
     of_hosts = urls.groupBy("host").agg(F.count("*").alias("n")).join(marked, "host")
     said = urls.where("path <> '' and host <> ''").select("host", F.explode(_path_words()).alias("w")).groupBy("host", "w").agg(F.count("*").alias("n"))
@@ -178,12 +180,12 @@ def train(urls: DataFrame, hosts: DataFrame) -> tuple[DataFrame, float]:
     return by_word.select("w", odds.alias("odds")), math.log((bad_urls + 1) / (good_urls + 1))
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", seeds: tuple = SEEDS) -> DataFrame:
     """Every row's id, host, path, rule, verdict, words (of the host) and log odds of being bad."""
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = written(urls, "urls")
     hosts = written(host_words(urls), "url-hosts")
-    odds, prior = train(urls, hosts)
+    odds, prior = train(urls, hosts, seeds)
 
     def scored(rows: DataFrame, key: str) -> DataFrame:
         summed = rows.select(key, F.explode("words").alias("w")).join(odds, "w").groupBy(key).agg(F.sum("odds").alias(f"{key}_odds"))

@@ -60,6 +60,20 @@ def test_company_counts_more_than_the_list(spark):
     assert "poker" in out[1].words.split() and out[1].verdict == "allow"
 
 
+def test_unlisted_seeds_are_found_by_company(spark):
+    # every second seed word is taken off the list, domains tell nothing; pairs of bad words still give most of the hosts away
+    listed, unlisted = url_filter.SEEDS[::2], url_filter.SEEDS[1::2]
+    bad = [f"http://{a}-{b}-{c}.s{i}.com/p" for i, (a, b, c) in enumerate(itertools.product(unlisted, listed[:8], ("lucky", "spin")))]
+    good = [f"http://{a}{b}.s{i}.com/p" for i, (a, b) in enumerate(itertools.product(("garden", "history", "school"), url_filter.COMMON[:40]))]
+    asked = [f"http://{w}-{c}.s.com/p" for w in unlisted for c in ("lucky", "spin")]
+    rows = list(enumerate(asked + bad + good))
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=(), seeds=listed).collect()}
+    n = len(asked)
+    assert not any(set(out[i].words.split()) & set(listed) for i in range(n))
+    assert sum(out[i].verdict == "block" for i in range(n)) >= 0.9 * n
+    assert all(out[i].verdict == "allow" for i in range(n + len(bad), len(rows)))
+
+
 def test_rare_and_long_words_count(spark):
     rare = "q" * 30
     rows = [(i, f"http://{rare}-casino.s{i}.com/p") for i in range(5)] + [(9, f"http://{rare}{rare}.x.com/p"), (10, f"http://{'z' * 70}.x.com/p"), (2**60 + 1, None)]
