@@ -30,3 +30,20 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(sharding.shards(docs, 4), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 100 and back.select("shard").distinct().count() == 4
+
+
+def test_places_equal_plain_python(spark, monkeypatch):
+    # small ranges, so that bases of ranges and starts inside them both count
+    monkeypatch.setattr(sharding, "RANGE", 4)
+    texts = {i: "é" * (i % 70) if i % 9 else None for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    buckets = sharding.shuffled_buckets(docs, 7, bucket_bytes=500).collect()
+    order = sorted(buckets, key=lambda r: (r.bucket, r.place))
+    assert len({r.bucket for r in order}) > 3 * 4
+    for bucket in {r.bucket for r in order}:
+        places = [r.place for r in order if r.bucket == bucket]
+        assert places == list(range(len(places)))
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    want = {(r.doc_id, len(raw[r.doc_id]) + 8, zlib.crc32(raw[r.doc_id]), at % 5, at // 5) for at, r in enumerate(order)}
+    got = sharding.shards(docs, 5, 7, bucket_bytes=500).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert len(got) == len(texts) and {tuple(r) for r in got} == want
