@@ -3,7 +3,7 @@ from collections import Counter
 from test_line_dedup import distance
 
 import corpus_pipeline
-from graphlens.llm import decontam, packing
+from graphlens.llm import decontam, packing, simhash, similar
 from graphlens.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,22 @@ def test_stages_against_plain_python(spark):
     want = sum(len(words.encode(t or "")) + 1 for t in clean.text)
     assert packed.length.sum() == want and set(packed.doc_id.dropna()) == set(clean.doc_id.dropna())
     assert (packed.groupby("sequence_id").length.sum() <= 4096).all()
+
+
+def test_near_copies_by_fingerprint_by_similarity_and_by_chains_of_both(spark):
+    said = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    often = lambda name: f"{said('often', 9)} " * 300 + said(name, 20)
+    # 1 and 2 have one fingerprint, but few different shingles in common; 3 is similar to 2 only
+    third = f"{said('often', 9)} " * 2 + said("b", 20)
+    texts = [often("a"), often("b"), third, said("own", 60), said("other", 60)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    sets = [set(similar.shingles(t, 5).tolist()) for t in texts]
+    far = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert far(0, 1) <= 2 and alike(0, 1) < 0.8
+    assert far(0, 2) > 2 < far(1, 2) and alike(0, 2) < 0.8 <= alike(1, 2)
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    kept = lambda d: sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, d, SF).collect())
+    assert kept(docs.where("doc_id <> 3")) == [1, 4, 5]
+    assert kept(docs) == [1, 4, 5]
+    assert kept(docs.limit(0)) == []
