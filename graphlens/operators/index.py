@@ -23,12 +23,14 @@ BUCKETS = 64
 LAYERS = 8
 #: Weights of the fields that a word without a field is looked up in.
 FIELDS = {"type": 4.0, "name": 2.0, "text": 1.0, "metadata": 1.0}
+#: Fields that make up the text, in their order.
+PARTS = ("name", "type", "metadata")
 
 
 def _field(name: str) -> Column:
     # by key: a map has no order of its own
     values = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: e["value"]), " ")
-    return {"text": F.concat_ws(" ", "name", "type", values), "metadata": values}.get(name, F.coalesce(F.col(name), F.lit("")))
+    return values if name == "metadata" else F.coalesce(F.col(name), F.lit(""))
 
 
 def bucket(term: Column) -> Column:
@@ -37,7 +39,11 @@ def bucket(term: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Layers of postings (field, term, id, dl, places, bucket) with the ids (id, field, dl) that each holds, and totals by field."""
+    """Layers of postings (term, id, place, n_name, n_type, n_metadata, bucket) with the ids (id, field, dl) that each holds, and totals by field.
+
+    A posting is one occurrence; its place in the text and the sizes of the parts tell its field. A query groups
+    those of its words, so that building an index shuffles each occurrence once.
+    """
 
     postings: tuple[DataFrame, ...]
     docs: tuple[DataFrame, ...]
@@ -55,12 +61,23 @@ class Index:
 
 
 def _layer(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), _terms(_field(f)).alias("terms")) for f in FIELDS))
-    rows = nodes.select("id", F.inline(fields))
-    docs = settle(rows.select("id", "field", F.size("terms").alias("dl")), "index-docs")
-    words = rows.select("id", "field", F.size("terms").alias("dl"), F.posexplode("terms").alias("place", "term"))
-    found = words.groupBy("field", "term", "id", "dl").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return settle(found.withColumn("bucket", bucket(F.col("term"))), "postings", "bucket"), docs
+    # a node's text is its name, type and metadata in this order: their words are written once, with how many each has
+    said = nodes.select("id", *(F.coalesce(_terms(_field(f)), F.array().cast("array<string>")).alias(f) for f in PARTS))
+    sizes = {f: F.size(f) for f in PARTS} | {"text": sum((F.size(f) for f in PARTS[1:]), F.size(PARTS[0]))}
+    docs = settle(said.select("id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), sizes[f].alias("dl")) for f in FIELDS)))), "index-docs")
+    words = said.select("id", *(sizes[f].alias(f"n_{f}") for f in PARTS), F.posexplode(F.concat(*PARTS)).alias("place", "term"))
+    return settle(words.withColumn("bucket", bucket(F.col("term"))), "postings", "bucket"), docs
+
+
+def _by_field(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """Occurrences as rows (field, term, id, dl, place) of the whole text and of the part that holds them, of these fields."""
+    entries, start = [], F.lit(0)
+    for f in PARTS:
+        at, size = F.col("place") - start, F.col(f"n_{f}")
+        entries.append(F.when((at >= 0) & (at < size), F.struct(F.lit(f).alias("field"), size.alias("dl"), at.alias("place"))))
+        start = start + size
+    entries.append(F.struct(F.lit("text").alias("field"), start.alias("dl"), F.col("place")))
+    return rows.select("term", "id", F.inline(F.array_compact(F.array(*entries)))).where(F.col("field").isin(*fields))
 
 
 def _totals(docs: DataFrame) -> dict[str, tuple[int, int]]:
@@ -119,12 +136,12 @@ def _weight(leaf: Leaf) -> Column:
 
 def _hits(index: Index, leaf: Leaf) -> DataFrame:
     """(id, score) of the nodes that a leaf meets. Prefixes and near terms count as much as their boost, wherever they are found."""
-    inside = F.col("field").isin(*_weights(leaf))
     if leaf.kind in ("prefix", "near"):
         word = leaf.words[0]
         fits = F.col("term").startswith(word) if leaf.kind == "prefix" else F.levenshtein("term", F.lit(word), leaf.edits) >= 0
-        return index.live(index.postings, inside & fits).select("id").distinct().withColumn("score", F.lit(leaf.boost))
-    rows = index.live(index.postings, inside & _buckets(index, leaf.words))
+        return _by_field(index.live(index.postings, fits), _weights(leaf)).select("id").distinct().withColumn("score", F.lit(leaf.boost))
+    rows = _by_field(index.live(index.postings, _buckets(index, leaf.words)), _weights(leaf))
+    rows = rows.groupBy("field", "term", "id", "dl").agg(F.array_sort(F.collect_list("place")).alias("places"))
     spread = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
     # a row for each word of the query and field
     rows = rows.join(F.broadcast(spread), ["field", "term"])

@@ -116,3 +116,21 @@ def test_a_query_reads_the_buckets_of_its_terms_only(spark):
     assert "bucket" in wanted and len(set(re.findall(r"\d+", re.sub(r"#\d+", "", wanted)))) <= 2
     files = {f for f in rows.inputFiles()}
     assert all(re.search(r"bucket=(\d+)", f) for f in files)
+
+
+def test_words_are_written_once_and_keep_their_places_in_each_field(spark):
+    nodes = spark.createDataFrame(
+        [("a", "Red red, blue", "SERVICE", {"k": "blue Red", "j": None}), ("b", None, "TEST", {}), ("c", "", "", None)],
+        "id string, name string, type string, metadata map<string,string>",
+    )
+    built = index.build(nodes)
+    # one row an occurrence, however many fields hold it
+    assert built.postings[0].count() == 7
+    rows = index._by_field(built.postings[0], index.FIELDS).where("id = 'a'").collect()
+    got = {(r.field, r.term): (r.dl, sorted(x.place for x in rows if (x.field, x.term) == (r.field, r.term))) for r in rows}
+    text = ["red", "red", "blue", "service", "blue", "red"]
+    want = {(f, t): (len(ws), [i for i, w in enumerate(ws) if w == t]) for f, ws in {"name": text[:3], "type": text[3:4], "metadata": text[4:], "text": text}.items() for t in ws}
+    assert got == want
+    assert {(r.id, r.field): r.dl for r in built.docs[0].where("id <> 'a'").collect()} == {(i, f): int(i == "b" and f in ("type", "text")) for i in "bc" for f in index.FIELDS}
+    assert [r.id for r in index.search(built, nodes, '"blue service"').collect()] == ["a"]
+    assert index.search(built, nodes, 'name:"blue service"').count() == 0
