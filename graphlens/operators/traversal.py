@@ -176,16 +176,21 @@ def cycles(graph: Graph, longest: int = 4, kind: str = "INJECTS") -> DataFrame:
     return every.select("length", F.concat(F.array_join("path", " -> "), F.lit(" -> "), F.get("path", F.lit(0))).alias("path")).distinct()
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """rows as a side of a sort-merge join: many rounds of small broadcasts would all pass the driver."""
+    return rows.hint("merge")
+
+
 def _spread(steps: DataFrame, keys: DataFrame) -> DataFrame:
     """(k, v): the least key that reaches each key along steps (a, b), its own included."""
     now = keys.select("k", F.col("k").alias("v"))
     while True:
         before = now
         for _ in range(2):
-            lower = steps.join(now, F.col("a") == F.col("k")).groupBy(F.col("b").alias("k")).agg(F.min("v").alias("w"))
-            now = now.join(lower, "k", "left").select("k", F.coalesce(F.least("v", "w"), "v").alias("v"))
+            lower = steps.join(_sorted(now), F.col("a") == F.col("k")).groupBy(F.col("b").alias("k")).agg(F.min("v").alias("w"))
+            now = now.join(_sorted(lower), "k", "left").select("k", F.coalesce(F.least("v", "w"), "v").alias("v"))
         now = settle(now, "spread")
-        if now.join(before.withColumnRenamed("v", "w"), "k").where("v <> w").isEmpty():
+        if now.join(_sorted(before.withColumnRenamed("v", "w")), "k").where("v <> w").isEmpty():
             return now
 
 
@@ -196,21 +201,21 @@ def _swapped(edges: DataFrame) -> DataFrame:
 def _without(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """Edges that none of the keys (k) is an end of."""
     for end in ("a", "b"):
-        edges = edges.join(keys.select(F.col("k").alias(end)), end, "left_anti")
+        edges = edges.join(_sorted(keys.select(F.col("k").alias(end))), end, "left_anti")
     return edges.select("a", "b")
 
 
 def _dead_ends(edges: DataFrame, count: int) -> DataFrame:
     """(k): nodes from which only one way leads on, to a node that nothing leaves. Ways double in length each round."""
     out = edges.groupBy(F.col("a").alias("k")).agg(F.count("*").alias("n"), F.min("b").alias("p"))
-    ends = edges.select(F.col("b").alias("k")).distinct().join(out, "k", "left_anti").select("k", F.col("k").alias("p"), F.lit(True).alias("end"))
+    ends = edges.select(F.col("b").alias("k")).distinct().join(_sorted(out), "k", "left_anti").select("k", F.col("k").alias("p"), F.lit(True).alias("end"))
     ways = settle(out.select("k", F.when(F.col("n") == 1, F.col("p")).otherwise(F.col("k")).alias("p"), F.lit(False).alias("end")).unionByName(ends), "ways")
     for _ in range(0, count.bit_length() + 1, 2):
         now = ways
         for _ in range(2):
-            now = now.select("k", "p").join(now.select(F.col("k").alias("p"), F.col("p").alias("q"), "end"), "p").select("k", F.col("q").alias("p"), "end")
+            now = now.select("k", "p").join(_sorted(now.select(F.col("k").alias("p"), F.col("p").alias("q"), "end")), "p").select("k", F.col("q").alias("p"), "end")
         now = settle(now, "ways")
-        still = now.join(ways.select("k", F.col("p").alias("q")), "k").where("p <> q").isEmpty()
+        still = now.join(_sorted(ways.select("k", F.col("p").alias("q"))), "k").where("p <> q").isEmpty()
         ways = now
         if still:
             break
@@ -226,7 +231,7 @@ def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
     while count and (before is None or count < 0.9 * before):
         before = count
         entered, left = rest.select(F.col("b").alias("a")).distinct(), rest.select(F.col("a").alias("b")).distinct()
-        rest = settle(rest.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b"), "cycle-edges")
+        rest = settle(rest.join(_sorted(entered), "a", "left_semi").join(_sorted(left), "b", "left_semi").select("a", "b"), "cycle-edges")
         count = rest.count()
         if count and 0.9 * before <= count < before:
             for turned in (rest, _swapped(rest)):
@@ -246,10 +251,10 @@ def _rings(edges: DataFrame, count: int) -> DataFrame:
     for _ in range(0, count.bit_length() + 1, 2):
         for _ in range(2):
             on = ways.select(F.col("k").alias("p"), F.col("p").alias("q"), F.col("v").alias("w"))
-            ways = ways.join(on, "p").select("k", "f", F.col("q").alias("p"), F.least("v", "w").alias("v"))
+            ways = ways.join(_sorted(on), "p").select("k", "f", F.col("q").alias("p"), F.least("v", "w").alias("v"))
         ways = settle(ways, "ways")
-        ringed = ways.join(ways.select(F.col("p").alias("k")).distinct(), "k", "left_semi")
-        known = ringed.join(ways.select(F.col("k").alias("f"), F.col("v").alias("w")), "f")
+        ringed = ways.join(_sorted(ways.select(F.col("p").alias("k")).distinct()), "k", "left_semi")
+        known = ringed.join(_sorted(ways.select(F.col("k").alias("f"), F.col("v").alias("w"))), "f")
         n, open_ = known.agg(F.count("*"), F.count(F.when(F.col("v") != F.col("w"), 1))).first()
         if n == ends and not open_:
             break
@@ -266,9 +271,9 @@ def _coloured(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = rest.select(F.col("a").alias("k")).union(rest.select("b")).distinct()
     colours = _spread(rest, keys)
     a, b = colours.toDF("a", "from_colour"), colours.toDF("b", "to_colour")
-    same = settle(rest.join(a, "a").join(b, "b").where("from_colour = to_colour").select("a", "b"), "cycle-same")
+    same = settle(rest.join(_sorted(a), "a").join(_sorted(b), "b").where("from_colour = to_colour").select("a", "b"), "cycle-same")
     back = _spread(_swapped(same), keys).withColumnRenamed("v", "w")
-    found = settle(back.join(colours, "k").where("v = w").select("k", "v"), "cycle-found")
+    found = settle(back.join(_sorted(colours), "k").where("v = w").select("k", "v"), "cycle-found")
     return found, _without(same, found)
 
 
@@ -349,20 +354,20 @@ def on_cycles(graph: Graph, kind: str = "INJECTS", few: int = FEW) -> DataFrame:
     nodes = lambda e: e.select(F.col("a").alias("k")).union(e.select("b")).distinct()
     ids = settle(nodes(rest).select(F.col("k").alias("id"), F.monotonically_increasing_id().alias("k")), "cycle-keys")
     for end in ("a", "b"):
-        rest = rest.join(ids.toDF(end, f"_{end}"), end)
+        rest = rest.join(_sorted(ids.toDF(end, f"_{end}")), end)
     rest = settle(rest.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "cycle-edges")
     loops = rest.where("a = b").select(F.col("a").alias("k")).distinct()
     rest, roots, n = rest.where("a <> b"), ids.select("k", F.col("k").alias("root")), ids.count()
     rest, count = _trimmed(settle(rest, "cycle-edges"))
 
     def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
-        return settle(roots.join(found.select(F.col("k").alias("root"), "v"), "root", "left").select("k", F.coalesce("v", "root").alias("root")), "cycle-roots")
+        return settle(roots.join(_sorted(found.select(F.col("k").alias("root"), "v")), "root", "left").select("k", F.coalesce("v", "root").alias("root")), "cycle-roots")
 
     while count > few:
         found = settle(_rings(rest, count), "cycle-rings")
         roots = merged(roots, found)
         for end in ("a", "b"):
-            rest = rest.join(found.select(F.col("k").alias(end), F.col("v").alias("_v")), end, "left").withColumn(end, F.coalesce("_v", end)).drop("_v")
+            rest = rest.join(_sorted(found.select(F.col("k").alias(end), F.col("v").alias("_v"))), end, "left").withColumn(end, F.coalesce("_v", end)).drop("_v")
         rest, count = _trimmed(settle(rest.select("a", "b").where("a <> b").distinct(), "cycle-edges"))
         before, n = n, nodes(rest).count() if count else 0
         if count > few and n > before / 2:
@@ -373,9 +378,9 @@ def on_cycles(graph: Graph, kind: str = "INJECTS", few: int = FEW) -> DataFrame:
     if count:
         roots = merged(roots, settle(_few(rest, "long"), "cycle-few"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    knotted = roots.join(sizes, "root").join(loops.withColumn("loop", F.lit(True)), "k", "left").where((F.col("n") > 1) | F.col("loop"))
-    members = settle(knotted.join(ids, "k").select("id", "root"), "cycle-components")
-    return members.join(members.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+    knotted = roots.join(_sorted(sizes), "root").join(_sorted(loops.withColumn("loop", F.lit(True))), "k", "left").where((F.col("n") > 1) | F.col("loop"))
+    members = settle(knotted.join(_sorted(ids), "k").select("id", "root"), "cycle-components")
+    return members.join(_sorted(members.groupBy("root").agg(F.min("id").alias("component"))), "root").select("id", "component")
 
 
 def neighbours(graph: Graph, node_id: str) -> DataFrame:

@@ -73,3 +73,14 @@ def test_a_long_path_between_cycles(spark, monkeypatch):
     pairs = [*path, ("a", "b"), ("b", "a"), ("b", "p0000"), (f"p{n:04d}", "c"), ("c", "d"), ("d", "c")]
     assert {tuple(r) for r in traversal.on_cycles(graph(spark, pairs), few=0).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}
     assert len(written) < 60, written
+
+
+def test_rounds_send_no_tables_through_the_driver(spark, monkeypatch):
+    plans, settle = [], traversal.settle
+    monkeypatch.setattr(traversal, "settle", lambda df, name, by=None: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or settle(df, name, by))
+    rnd = random.Random(5)
+    pairs = {(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(70)}
+    found = traversal.on_cycles(graph(spark, pairs), few=0)
+    plans.append(("last", found._jdf.queryExecution().executedPlan().toString()))
+    assert len(plans) > 9 and not [name for name, plan in plans if "Broadcast" in plan]
+    assert {tuple(r) for r in found.collect()} == plain(pairs)
