@@ -54,7 +54,9 @@ def facts_of(
     every type's name as the language does (symbols), instead of the first two, and adds what endpoints
     accept and return (transfers).
     """
-    types = settle(java.types(files), "types")
+    # texts are few bytes and reading declarations is much work: dealt out, however few files of the table hold them
+    dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    types = settle(java.types(dealt), "types")
     return facts_from(types, settle(kept_texts(files), "texts"), root, profiles, heads, by_simple_name, by_field_type, match_if_missing, by_import)
 
 
