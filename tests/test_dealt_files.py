@@ -18,3 +18,10 @@ def test_declarations_are_read_by_as_many_tasks_as_a_shuffle_has(spark, monkeypa
     with pytest.raises(StopIteration):
         analysis.facts_of(files)
     assert len(seen[0]) == 8 and sum(seen[0]) == 200 and min(seen[0]) > 0
+
+
+def test_declarations_are_read_once(spark):
+    files = spark.createDataFrame([("/S.java", "class S {}")], "file string, text string").repartition(3, "file")
+    rows = java.types(files)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("_declared(") == 1
+    assert [r.name for r in rows.collect()] == ["S"]
