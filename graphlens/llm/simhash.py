@@ -90,10 +90,14 @@ def _variants(fp: Column, shift: int, width: int, slot: int) -> list[Column]:
 
 
 def _met(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b) of fingerprints that meet in an index entry."""
+    """Pairs (a, b) of fingerprints that meet in an index entry.
+
+    Sizes are estimated before entries are made of fingerprints, so without the hint some MB of these would
+    be broadcast as 66 times the rows.
+    """
     left = entries.where("side <= 0").select(*keys, F.col("side").alias("ls"), F.col("fp").alias("a"))
     right = entries.where("side <> 0").select(*keys, F.col("side").alias("rs"), F.col("fp").alias("b"))
-    both = left.join(right, keys).where("(ls = -1 and rs = -1 and a < b) or (ls = 0 and rs = 1)")
+    both = left.hint("merge").join(right, keys).where("(ls = -1 and rs = -1 and a < b) or (ls = 0 and rs = 1)")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -105,8 +109,9 @@ def links(distinct: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFra
     """Pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to max_bits bits."""
     fp, parts = F.col("fp"), _cuts(64, max(2, max_bits // 2 + 1))
     entries = [e for i, (s, w) in enumerate(parts) for e in _variants(fp, s, w, i * 65)]
-    # fingerprints are few bytes and their entries many: deal them out before they are made
-    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # fingerprints are few bytes and their entries many: deal them out before they are made, and not
+    # by fp alone: where they are grouped by it already, that would be left out and all end in one task
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.hash("fp"))
     index = dealt.select("fp", F.inline(F.array(*entries)))
     sizes = index.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
     crowded = written(sizes.select("slot", "key"), "simhash-crowded")
@@ -134,7 +139,7 @@ def _refined(members: DataFrame, parts: list[tuple[int, int]], max_bits: int) ->
         )
         left = both.where("side <= 0").select("slot", "key", "slot2", "key2", F.col("side").alias("ls"), F.col("side2").alias("ls2"), F.col("fp").alias("a"))
         right = both.where("side <> 0").select("slot", "key", "slot2", "key2", F.col("side").alias("rs"), F.col("side2").alias("rs2"), F.col("fp").alias("b"))
-        met = left.join(right, ["slot", "key", "slot2", "key2"]).where(
+        met = left.hint("merge").join(right, ["slot", "key", "slot2", "key2"]).where(
             "((ls = -1 and rs = -1 and a < b) or (ls = 0 and rs = 1))"
             " and ((ls2 = -1 and rs2 = -1) or (ls2 <> -1 and rs2 <> -1 and ls2 <> rs2))"
         )

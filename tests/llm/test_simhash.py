@@ -51,6 +51,14 @@ def test_links_equal_brute_force(spark, bits, crowd):
     assert len(got) == len(pairs)
 
 
+def test_entries_of_few_fingerprints_are_dealt_out_and_not_broadcast(spark, tmp_path):
+    spark.range(20_000).selectExpr("xxhash64(id) as fp").write.parquet(str(tmp_path / "prints"))
+    distinct = spark.read.parquet(str(tmp_path / "prints")).groupBy("fp").count().select("fp")
+    plan = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_rows_nulls_copies_and_extra_columns(spark):
     texts = ["the quick brown fox jumps", None, "", "The Quick brown  fox\njumps", "one two", "zzz", None]
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "zzz", "y", 2)]
