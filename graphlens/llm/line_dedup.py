@@ -7,8 +7,7 @@ segment i of the shorter one occurs unchanged in the longer one with exactly i e
 (pigeonhole), so at most i places from its own. Every line indexes its segments by (class, segment
 number, content); every line probes, for the classes of its own length and of the t lengths below,
 the few substrings that such a shift allows. Pairs that meet and whose lengths agree are verified by
-a banded bit-parallel edit distance: a band of 2t + 1 rows lives in one long, and each column takes
-a dozen bit operations. Links become classes (connected components), and of each class only the
+the built-in edit distance of what they do not have in common at both ends. Links become classes (connected components), and of each class only the
 first occurrence by (id, line number) stays.
 
 Texts are not shuffled for the join: entries carry 64-bit line ids, and only lines that meet another
@@ -112,14 +111,6 @@ def _shifts(t: int) -> list[tuple[int, int]]:
     return [(i, s) for i in range(t + 1) for s in range(max(-i, i - t), i + 1)]
 
 
-def _keys(t: int, places: list[tuple[int, int]]) -> Column:
-    """Hashes of the contents at the places (segment, shift), of columns chain, low, line."""
-    width = F.floor(F.col("low") / (t + 1)).cast("int")
-    return F.array(
-        *(F.xxhash64("chain", F.lit(t), "low", F.lit(i), F.substring(F.col("line"), width * i + (s + 1), width)) for i, s in places)
-    )
-
-
 def _by_edits(make: Callable[[int], Column], most: int) -> Column:
     chosen = F.when(F.col("t") == 1, make(1))
     for t in range(2, most + 1):
@@ -128,9 +119,20 @@ def _by_edits(make: Callable[[int], Column], most: int) -> Column:
 
 
 def _entries(lines: DataFrame, most: int, probing: bool) -> DataFrame:
-    """(key, at, ...) of lines with columns chain, line, t, low: at tells which of the places it is."""
-    keys = _by_edits(lambda t: _keys(t, _shifts(t) if probing else [(i, 0) for i in range(t + 1)]), most)
-    return lines.select(F.posexplode(keys).alias("at", "key"), *lines.columns)
+    """(key, at, ...) of lines with columns chain, line, t, low: at tells which of the places it is.
+
+    Places are dealt out first and hashed one a row: an expression for each of them is more code than the
+    JVM compiles.
+    """
+
+    def places(t: int) -> Column:
+        found = _shifts(t) if probing else [(i, 0) for i in range(t + 1)]
+        return F.array(*(F.struct(F.lit(n).alias("at"), F.lit(i).alias("segment"), F.lit(s).alias("shift")) for n, (i, s) in enumerate(found)))
+
+    dealt = lines.select(*lines.columns, F.inline(_by_edits(places, most)))
+    width = F.expr("low div (t + 1)").cast("int")
+    content = F.substring(F.col("line"), width * F.col("segment") + F.col("shift") + 1, width)
+    return dealt.select(F.xxhash64("chain", "t", "low", "segment", content).alias("key"), "at", *lines.columns)
 
 
 def _indexed(lines: DataFrame, bands: tuple) -> DataFrame:
@@ -147,8 +149,9 @@ def _probing(lines: DataFrame, bands: tuple) -> DataFrame:
         F.struct((F.col("t") if given else _edits(own - d, bands)).alias("t"), _class(own - d).alias("low"))
         for d in range(max(t for _, t in bands) + 1)
     ]
-    wanted = F.filter(F.array_distinct(F.array(*kinds)), lambda k: k["low"] > k["t"])
-    return lines.select(*(c for c in lines.columns if c != "t"), F.inline(wanted))
+    # both fall with the length: if the first and the last are equal, all are
+    wanted = F.when(kinds[0] == kinds[-1], F.array(kinds[0])).otherwise(F.array_distinct(F.array(*kinds)))
+    return lines.select(*(c for c in lines.columns if c != "t"), F.inline(wanted)).where("low > t")
 
 
 #: What a probe carries in one long, from the lowest bit on, with the numbers of bits.
@@ -168,6 +171,55 @@ def _part(packed: str, n: int) -> Column:
     return F.shiftrightunsigned(F.col(packed), sum(bits[:n])).bitwiseAND(F.lit((1 << bits[n]) - 1)).cast("int")
 
 
+def _parity(text: str) -> Column:
+    """Which of 64 groups of letters a text holds an odd number of times, as bits: an edit changes at most two."""
+    letters = F.transform(F.split(text, ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64))))
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseXOR(bit))
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _common(x: Column, y: Column, at: Callable[[Column, Column, Column], Column]) -> Column:
+    """Letters in which x and y agree from an end on, up to 4095: at(text, found, more) gives the next ones of a text.
+
+    A text that ends before gives fewer, so these are equal for equal texts only.
+    """
+    steps = F.array(*(F.lit(1 << n) for n in range(11, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(at(x, n, k) == at(y, n, k), n + k).otherwise(n))
+
+
+def distance(x: Column, y: Column, most: int) -> Column:
+    """Edit distance of two texts if at most `most`, else -1.
+
+    The built-in distance takes time by the square of the length, so it sees what is left of both without
+    their common start and end. Of this, cut into segments, each edit can touch one only: the others must
+    occur in the other text, at most `most` places from their own.
+    """
+    cuts = 4 * most
+
+    def left(x: Column, y: Column, same: Column, cut: Callable[[Column, Column], Column], f: Callable[[Column], Column]) -> Column:
+        return _with(same, lambda n: _with(F.struct(cut(x, n).alias("x"), cut(y, n).alias("y")), f))
+
+    def kept(x: Column, y: Column, width: Column) -> Column:
+        own = lambda i: F.substring(x, width * i + 1, width)
+        near = lambda i: F.substring(y, F.greatest(width * i + (1 - most), F.lit(1)), width + 2 * most)
+        touched = F.filter(F.sequence(F.lit(0), F.lit(cuts - 1)), lambda i: ~F.contains(near(i), own(i)))
+        return F.when((width > 0) & (F.size(touched) > most), F.lit(-1)).otherwise(F.levenshtein(x, y, most))
+
+    def rest(r: Column) -> Column:
+        return _with(F.floor(F.char_length(r["x"]) / cuts).cast("int"), lambda width: kept(r["x"], r["y"], width))
+
+    def ended(r: Column) -> Column:
+        same = _common(r["x"], r["y"], lambda text, n, k: F.substring(text, -(n + k), k))
+        return left(r["x"], r["y"], same, lambda text, n: F.substring(text, F.lit(1), F.char_length(text) - n), rest)
+
+    same = _common(x, y, lambda text, n, k: F.substring(text, n + 1, k))
+    return left(x, y, same, lambda text, n: F.substring(text, n + 1, F.char_length(text)), ended)
+
+
 def _fits(t: Column) -> Column:
     """Whether the lengths allow a link of a to b, which is no shorter, within t edits."""
     return (F.col("b_length") - F.col("a_length")).between(F.lit(0), t) & (F.col("a") != F.col("b"))
@@ -186,14 +238,16 @@ def _compared(left: DataFrame, right: DataFrame, on: str, most: int) -> DataFram
     already are not compared. Under each key the lines of the root that most of them have are left out
     on one side: of two lines with different roots, one at least has another root.
     """
-    columns = (on, "length", "t", "text", "root", "most")
+    columns = (on, "length", "t", "text", "parity", "root", "most")
     near = _fits(F.col("a_t"))
 
     def met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
         a, b = _named(left, "a", *columns), _named(right, "b", *(c for c in columns if c != "t"))
         return a.join(b, (F.col(f"a_{on}") == F.col(f"b_{on}")) & near).select(*_pair("a", "b"))
 
-    close = F.levenshtein("a_text", "b_text", most) >= 0
+    close = distance(F.col("a_text"), F.col("b_text"), most) >= 0
+    if "parity" in left.columns and "parity" in right.columns:
+        close = (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= 2 * most) & close
     if "root" not in left.columns:
         return met(left, right, near & close)
     main = left.groupBy(on, "root").agg(F.count("*").alias("rows")).groupBy(on).agg(F.max_by("root", F.struct("rows", "root")).alias("most"))
@@ -204,29 +258,25 @@ def _compared(left: DataFrame, right: DataFrame, on: str, most: int) -> DataFram
     return met(left.where(other), right, near & close).unionByName(met(left.where(~other), right.where(other), near & close))
 
 
-def _with_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """rows (id, ...) with their lines' text and length; lines has (id, line) once each."""
+def _with_texts(rows: DataFrame, lines: DataFrame, parity: bool = False) -> DataFrame:
+    """rows (id, ...) with their lines' text and, if asked for, its letters' parity; lines has (id, line) once each."""
     wanted = rows.select("id").distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = lines.join(wanted, "id", "left_semi").select("id", F.col("line").alias("text"))
+    texts = lines.join(wanted, "id", "left_semi").select("id", F.col("line").alias("text"), *([_parity("line").alias("parity")] if parity else []))
     return rows.join(texts, "id")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, bands: tuple) -> DataFrame:
-    """The pairs (a, b) whose lines are within their edits; lines has (id, line) once each.
-
-    The built-in banded distance throws most of them out before their letters are laid out.
-    """
+    """The pairs (a, b) whose lines are within their edits; lines has (id, line) once each."""
     pairs = written(pairs.distinct(), "lines-candidates")
     most = max(t for _, t in bands)
     both = _with_texts(pairs.withColumnRenamed("a", "id"), lines).withColumnsRenamed({"id": "a", "text": "x"})
     both = _with_texts(both.withColumnRenamed("b", "id"), lines).withColumnsRenamed({"id": "b", "text": "y"})
-    near = written(both.where(F.levenshtein("x", "y", most) >= 0).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")), "lines-met")
-    # spread out again: few pairs can be much work
-    spread = near.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    allowed = _edits(F.least(F.size("x"), F.size("y")), bands)
-    return written(spread.where(edit_distance(F.col("x"), F.col("y"), most) <= allowed).select("a", "b"), "lines-links")
+    # spread out: few pairs can be much work
+    spread = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    allowed = _edits(F.least(F.char_length("x"), F.char_length("y")), bands)
+    return written(spread.where(distance(F.col("x"), F.col("y"), most).between(F.lit(0), allowed)).select("a", "b"), "lines-links")
 
 
 def _pair(a: str, b: str) -> tuple[Column, Column]:
@@ -292,42 +342,42 @@ def links(lines: DataFrame, bands: tuple[tuple[int, int], ...], crowd: int = CRO
             own = entries.join(full.select("key"), "key").select("key", "id", "length", "at", "t", "low", *extra)
             places = {n: _part("where", i).alias(n) for i, n in enumerate(PACKED)}
             other = met.where("a is null").select("key", F.col("b").alias("id"), *(places[n] for n in ("length", "at", "t", "low")), *(F.col(f"b_{c}").alias(c) for c in extra))
-            for rows, frame in ((own, index), (other, probes)):
-                held = _with_texts(written(rows, "lines-members"), lines)
-                # what is left of them at this level; at the first it is the line itself
-                held = held.withColumn("line", F.col("text")) if found is None else held.join(frame.select("chain", "id", "line"), ["chain", "id"]).drop("chain")
-                members.append(written(held.join(full, "key"), "lines-texts"))
-            # leaders first: what they link need not be compared again
-            leads = members[0].where("id = lead").select("key", F.col("id").alias("a"), F.col("text").alias("a_text")).dropDuplicates(["key"])
+            members = [written(rows, "lines-members") for rows in (own, other)]
+            # leaders first: what they link need not be compared again. Many entries have the same leader
+            leads = members[0].join(full, "key").where("id = lead").select("key", "lead", F.col("length").alias("lead_length")).dropDuplicates(["key"])
             for rows in members:
-                near = (F.col("id") != F.col("a")) & (F.levenshtein("text", "a_text", most) >= 0)
-                pairs = pairs.union(rows.join(leads, "key").where(near).select(*_pair("id", "a")))
-        if found is not None:
+                near = (F.col("id") != F.col("lead")) & (F.abs(F.col("length") - F.col("lead_length")) <= most)
+                pairs = pairs.union(rows.join(leads, "key").where(near).select(*_pair("id", "lead")).distinct())
+        first = found is None
+        if not first:
             pairs = pairs.union(_ends(index, probes, most))
         fresh = _verified(pairs, lines, bands)
-        found = fresh if found is None else found.union(fresh)
+        found = fresh if first else found.union(fresh)
         if not some:
             return found
         roots = written(components(found, "lines-stars"), "lines-stars")
         rooted = [rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) for rows in members]
-        few = (rows.where(F.col("n") <= crowd) for rows in rooted)
-        found = found.union(_verified(_compared(*few, "key", most), lines, bands))
-        rooted = [rows.where(F.col("n") > crowd) for rows in rooted]
-        if rooted[0].isEmpty():
-            return found
         both = rooted[0].select("key", "root").union(rooted[1].select("key", "root"))
-        apart = both.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two")
-        apart = written(apart.select("key"), "lines-apart")
-        if apart.isEmpty():
+        apart = both.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
+        apart = written(full.select("key", "n").join(apart, "key"), "lines-apart")
+        # texts are fetched for entries only whose lines are not linked yet
+        held = []
+        for rows, frame in zip(rooted, (index, probes), strict=True):
+            rows = _with_texts(written(rows.join(apart, "key"), "lines-rooted"), lines, True)
+            # what is left of them at this level; at the first it is the line itself
+            rows = rows.withColumn("line", F.col("text")) if first else rows.join(frame.select("chain", "id", "line"), ["chain", "id"]).drop("chain")
+            held.append(written(rows, "lines-texts"))
+        few = (rows.where(F.col("n") <= crowd) for rows in held)
+        found = found.union(_verified(_compared(*few, "key", most), lines, bands))
+        held = [rows.where(F.col("n") > crowd) for rows in held]
+        if held[0].isEmpty():
             return found
         index, probes = (
             written(
-                rows.join(apart, "key", "left_semi")
-                .select(F.col("key").alias("chain"), "id", "t", "length", "text", "root", _rest(most, probing).alias("line"))
-                .distinct(),
+                rows.select(F.col("key").alias("chain"), "id", "t", "length", "text", "root", _rest(most, probing).alias("line")).distinct(),
                 "lines-again",
             )
-            for rows, probing in zip(rooted, (False, True), strict=True)
+            for rows, probing in zip(held, (False, True), strict=True)
         )
 
 
@@ -370,10 +420,12 @@ def dedup_lines(
     text = F.col(text_col).cast("string")
     place, own = _places(docs, id_col, text)
     numbers = isinstance(docs.schema[id_col].dataType, T.IntegralType)
-    every = docs.select(place.alias("place"), own.alias("own"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    # once a document: beside the lines they would be computed for each
+    named = docs.select(place.alias("place"), own.alias("own"), text.alias("text"))
+    every = named.select("place", "own", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     length = F.char_length("line")
     every = every.where((length >= min_chars) | (length >= shortest) & F.col("line").rlike(r"\S"))
-    lines = every.where(length >= min_chars).select(F.xxhash64("line").alias("id"), "line").groupBy("id").agg(F.first("line").alias("line"))
+    lines = every.where(length >= min_chars).select(F.xxhash64("line").alias("id"), "line").distinct()
     lines = written(lines, "lines-distinct")
     seen = written(
         every.select(
@@ -413,7 +465,7 @@ def dedup_lines(
 
     # split once: the parts are an argument of the inner function
     cut = F.transform(F.array(F.split(text, "\n", -1)), left)[0]
-    breaks = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return (
         docs.withColumns({a: place, b: own})
         .join(dropped, [a, b], "left")

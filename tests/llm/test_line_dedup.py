@@ -35,6 +35,19 @@ def test_banded_distance(spark, t):
         assert (r.d == want) if want <= t else (r.d > t), (r, want)
 
 
+@pytest.mark.parametrize("t", [1, 2, 3])
+def test_distance_of_what_is_not_in_common(spark, t):
+    rnd = random.Random(t)
+    pairs = [("", ""), ("abc", "abc"), ("ab", "cab"), ("ab", "abab"), ("", "abc"), ("aaaa", "aaa")]
+    for _ in range(400):
+        a = "".join(rnd.choices("abcé ", k=rnd.choice([1, 3, 8, 30, 60, 150])))
+        pairs.append((a, rnd.choice([edited(rnd, a, rnd.randint(0, 5)), a[::-1], a[3:] + a[:3]])))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for r in df.select("x", "y", line_dedup.distance(F.col("x"), F.col("y"), t).alias("d")).collect():
+        want = distance(r.x, r.y)
+        assert r.d == (want if want <= t else -1), (r, want)
+
+
 def classes(lines, t):
     root = {x: x for x in lines}
 
@@ -142,6 +155,24 @@ def test_numbered_lines_make_few_candidates(spark, monkeypatch):
     assert sum(made) <= 12 * len(ends), made
 
 
+def test_near_copies_fetch_few_texts(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = "".join(rnd.choices("abcdefgh ", k=400))
+    copies = {base[:p] + rnd.choice("xyz") + base[p + 1 :] for p in range(400)}
+    fetched, plain = [], line_dedup._with_texts
+
+    def counted(rows, *more):
+        fetched.append(rows.count())
+        return plain(rows, *more)
+
+    monkeypatch.setattr(line_dedup, "_with_texts", counted)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(copies))], "doc_id long, text string")
+    out = line_dedup.dedup_lines(df, bands=line_dedup.BANDS)
+    assert out.where("n_dropped = 0").count() == 1
+    # both lines of a pair with a leader, not every entry of a line
+    assert sum(fetched) <= 8 * len(copies), fetched
+
+
 def test_text_ids_and_clashing_names(spark):
     line = "a line of more than twenty-four letters"
     rows = [("b", line, 1, 2, 3), ("a", f"{line}\nown", 4, 5, 6), (None, line, 7, 8, 9), ("10", "x", 1, 1, 1)]
